@@ -160,3 +160,17 @@ RANDOM_STATE = 42
 INTERIM_COLUMNS = ("transaction_id", "text", "label", "amount", "transaction_type", "dataset_source")
 TRANSFORMER_THRESHOLD = 0.0039
 VOICE_THRESHOLD = 0.5
+
+# Python's str whitespace set (what ``\s`` and ``str.strip()`` use), as a regex class
+# that Java and RE2 read the same way.
+WHITESPACE_CLASS = (r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# Unicode word character (letters, numbers, underscore).
+WORD_CLASS = r"[\p{L}\p{N}_]"
+
+TEXT_SOURCES = ("merchant", "narrative", "invoice", "ticket")
+CHOOSE_ORDER = ("invoice", "merchant", "narrative", "ticket")
+SOURCE_HEADERS = {"merchant": "[MERCHANT]", "narrative": "[NARRATIVE]", "invoice": "[INVOICE]", "ticket": "[TICKET]"}
+
+# brand names watched by the edit-distance typosquatting check
+WATCHED_BRANDS = ("amazon", "paypal", "apple", "google", "microsoft")

@@ -116,7 +116,7 @@ def dashboard_factors(w_num: Column, w_nlp: Column, w_voice: Column,
 
 def dashboard_narrative(score: Column, mode: Column, top: Column) -> Column:
     band = F.when(score >= 0.71, "High").when(score >= 0.31, "Moderate").otherwise("Low")
-    first = F.coalesce(F.element_at(top, 1)["feature"], F.lit("No dominant factor"))
+    first = F.coalesce(F.try_element_at(top, F.lit(1))["feature"], F.lit("No dominant factor"))
     return F.concat(band, F.lit(" fraud risk ("), F.format_number(score, 2), F.lit(") via "), mode,
                     F.lit(" ensemble. "), first, F.lit(" was the primary signal."))
 

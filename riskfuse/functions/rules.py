@@ -78,6 +78,15 @@ def numerical_signals(amount: Column, country: Column, category: Column,
     }
 
 
+def locale_amount(x: Column) -> Column:
+    """en-US locale text of a 2-decimal amount: thousands separators, no trailing zeros."""
+    cents = F.round(x * 100, 0).cast("long")
+    frac = (F.when(cents % 100 == 0, F.lit(""))
+            .when(cents % 10 == 0, F.concat(F.lit("."), ((cents % 100) / 10).cast("long").cast("string")))
+            .otherwise(F.concat(F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))))
+    return F.concat(F.format_number(F.floor(x), 0), frac)
+
+
 def numerical_flags(amount: Column, country: Column, category: Column) -> Column:
     """Dashboard flags: array<struct<label, detail, severity>> (large amount, country, category)."""
     aa = amount_anomaly(amount, "dashboard")
@@ -85,8 +94,8 @@ def numerical_flags(amount: Column, country: Column, category: Column) -> Column
     cat = norm_category(category)
     large = F.when(amount > 5000, F.struct(
         F.lit("Large transaction").alias("label"),
-        F.concat(F.lit("$"), F.format_number(amount, 2), F.lit(" — "),
-                 F.format_number(F.round(aa * 100, 0), 0), F.lit("% anomaly score")).alias("detail"),
+        F.concat(F.lit("$"), locale_amount(amount), F.lit(" — "),
+                 F.round(aa * 100, 0).cast("long").cast("string"), F.lit("% anomaly score")).alias("detail"),
         F.when(aa > 0.7, "high").otherwise("med").alias("severity")))
     geo = F.when(ctry.isin(*C.DASH_RISK_COUNTRIES), F.struct(
         F.lit("High-risk country").alias("label"), ctry.alias("detail"), F.lit("high").alias("severity")))

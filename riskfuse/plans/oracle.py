@@ -100,10 +100,11 @@ def _service_eval_ctes(src: str = "sc") -> str:
                                        ("voice", "w_voice", C.VOICE_SIGNALS, "voice_used")):
         for s in sigs:
             fac_rows.append(
-                f"SELECT transaction_id, {ordinal} AS ordinal, '{names[s]}' AS feature, "
+                f"SELECT transaction_id, opt_explain, {ordinal} AS ordinal, '{modality}' AS modality, "
+                f"'{s}' AS signal, '{names[s]}' AS feature, "
                 f"round({wcol} * abs({s} - 0.5e0) * 2e0, 4) AS impact, "
                 f"CASE WHEN {s} > 0.5e0 THEN 'positive' ELSE 'negative' END AS direction "
-                f"FROM ev WHERE opt_explain AND {wcol} <> 0 AND {gate} AND {s} IS NOT NULL")
+                f"FROM ev WHERE {wcol} <> 0 AND {gate} AND {s} IS NOT NULL")
             ordinal += 1
     fac_union = "\n    UNION ALL ".join(fac_rows)
     return f"""
@@ -170,8 +171,9 @@ ev AS (
     CASE WHEN override_reason = 'Fallback mode override: score > 0.6' THEN 'block'
          WHEN override_reason IS NOT NULL THEN 'review' ELSE base_decision END AS decision
   FROM ov),
-fac AS (
+fac_all AS (
     {fac_union}),
+fac AS (SELECT * FROM fac_all WHERE opt_explain),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY impact DESC, ordinal) AS rk FROM fac),
 topf AS (
@@ -230,9 +232,15 @@ AND channel IN ('online', 'phone', 'in_person', 'atm')
 AND (opt_threshold IS NULL OR (opt_threshold >= 0 AND opt_threshold <= 1))"""
 
 
+def service_chain(explain: str | None = None, src_where: str = VALID_TXN_WHERE) -> str:
+    """WITH-chain ending in ``decisions`` (the flat evaluate output) for the service policy."""
+    replace = f" REPLACE ({explain} AS opt_explain)" if explain else ""
+    return (f"WITH {REQ_CTE},\nreqf AS (SELECT *{replace} FROM req WHERE {src_where}),\n{VEL_CTES},"
+            f"{_service_scores_cte('req_v')},{_service_eval_ctes('sc')},\ndecisions AS ({SERVICE_EVAL_SELECT})\n")
+
+
 def evaluate_sql() -> str:
-    return (f"WITH {REQ_CTE},\nreqf AS (SELECT * FROM req WHERE {VALID_TXN_WHERE}),\n{VEL_CTES},"
-            f"{_service_scores_cte('req_v')},{_service_eval_ctes('sc')}\n{SERVICE_EVAL_SELECT}")
+    return service_chain() + "SELECT * FROM decisions"
 
 
 ORACLES: dict[str, str] = {}
@@ -243,3 +251,6 @@ def register(name: str, sql: str) -> None:
 
 
 register("evaluate", evaluate_sql())
+
+# more oracles register themselves on import (they use the helpers above)
+from riskfuse.plans import oracle_fusion  # noqa: E402,F401

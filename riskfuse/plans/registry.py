@@ -31,3 +31,175 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("evaluate")
 def q_evaluate(spark, sf_dir):
     return FO.flatten_decision(FO.decision_pipeline(valid_requests(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- fusion family
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from riskfuse import config as C  # noqa: E402
+from riskfuse.functions import explain as X  # noqa: E402
+from riskfuse.functions import fusion as FU  # noqa: E402
+from riskfuse.functions import rules as R  # noqa: E402
+from riskfuse.functions import text as T  # noqa: E402
+from riskfuse.operators import aggregates as AG  # noqa: E402
+from riskfuse.operators import audit as AU  # noqa: E402
+
+
+def decisions(spark, sf_dir, policy="service", velocity=True):
+    """Full (unflattened) decision rows for the valid requests."""
+    return FO.decision_pipeline(valid_requests(spark, sf_dir), policy, velocity=velocity)
+
+
+@query("val_txn")
+def q_val_txn(spark, sf_dir):
+    v = V.val_txn(view(spark, sf_dir, "txn_req"))
+    return v.select("transaction_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("resolve_modalities")
+def q_resolve_modalities(spark, sf_dir):
+    r = FO.resolve_modalities(view(spark, sf_dir, "txn_req"))
+    desc, conf = FU.combo_info(F.col("nlp_requested"), F.col("voice_requested"))
+    return r.select("transaction_id", "nlp_requested", "voice_requested",
+                    F.array_join(FU.modality_list(("numerical", F.lit(True)), ("nlp", F.col("nlp_requested")),
+                                                  ("voice", F.col("voice_requested"))), ",").alias("modalities_requested"),
+                    desc.alias("combo_description"), conf.alias("combo_confidence"))
+
+
+@query("evaluate_dashboard")
+def q_evaluate_dashboard(spark, sf_dir):
+    return FO.flatten_decision(decisions(spark, sf_dir, "dashboard", velocity=False))
+
+
+@query("evaluate_no_explain")
+def q_evaluate_no_explain(spark, sf_dir):
+    req = valid_requests(spark, sf_dir).withColumn("opt_explain", F.lit(False))
+    return FO.flatten_decision(FO.decision_pipeline(req))
+
+
+def _factor_array_cols():
+    return X.factor_array([
+        ("numerical", F.col("w_numerical"), [(s, F.col(s)) for s in C.NUMERICAL_SIGNALS]),
+        ("nlp", F.col("w_nlp"), [(s, F.when(F.col("nlp_used"), F.col(s))) for s in C.NLP_SIGNALS]),
+        ("voice", F.col("w_voice"), [(s, F.when(F.col("voice_used"), F.col(s))) for s in C.VOICE_SIGNALS]),
+    ])
+
+
+@query("factors_long")
+def q_factors_long(spark, sf_dir):
+    d = decisions(spark, sf_dir)
+    return (d.select("transaction_id", F.explode(_factor_array_cols()).alias("f"))
+            .select("transaction_id", "f.ordinal", "f.modality", "f.signal", "f.feature", "f.impact", "f.direction"))
+
+
+def top_long(d):
+    return (d.select("transaction_id", F.posexplode("top_factors").alias("pos", "f"))
+            .select("transaction_id", (F.col("pos") + 1).alias("rank"), "f.feature", "f.impact", "f.direction"))
+
+
+@query("top_factors")
+def q_top_factors(spark, sf_dir):
+    return top_long(decisions(spark, sf_dir))
+
+
+@query("top_factors_dashboard")
+def q_top_factors_dashboard(spark, sf_dir):
+    return top_long(decisions(spark, sf_dir, "dashboard", velocity=False))
+
+
+@query("factor_rollup")
+def q_factor_rollup(spark, sf_dir):
+    return AG.factor_rollup(top_long(decisions(spark, sf_dir)))
+
+
+@query("numerical_score")
+def q_numerical_score(spark, sf_dir):
+    t = view(spark, sf_dir, "txn_req")
+    s = R.numerical_signals(F.col("amount"), F.col("country"), F.col("merchant_category"), None, "service")
+    d = R.numerical_signals(F.col("amount"), F.col("country"), F.col("merchant_category"), None, "dashboard")
+    return t.select("transaction_id",
+                    *[s[k].alias(f"svc_{k}") for k in ("score", "amount_anomaly", "velocity_risk", "pattern_deviation", "geo_risk")],
+                    *[d[k].alias(f"dash_{k}") for k in ("score", "amount_anomaly", "velocity_risk", "pattern_deviation", "geo_risk")])
+
+
+@query("numerical_flags")
+def q_numerical_flags(spark, sf_dir):
+    t = view(spark, sf_dir, "txn_req")
+    flags = R.numerical_flags(F.col("amount"), F.col("country"), F.col("merchant_category"))
+    return t.select("transaction_id", F.array_join(F.transform(flags, lambda f: F.concat_ws(
+        "|", f["label"], f["detail"], f["severity"])), ";").alias("flags"))
+
+
+@query("text_rule_score")
+def q_text_rule_score(spark, sf_dir):
+    t = view(spark, sf_dir, "txn_req")
+    s = R.text_signals(F.col("merchant_text"), F.col("narrative_text"), "service")
+    d = R.text_signals(F.col("merchant_text"), F.col("narrative_text"), "dashboard")
+    keys = ("score", "semantic_risk", "typosquatting_risk", "entity_inconsistency")
+    return t.select("transaction_id", *[s[k].alias(f"svc_{k}") for k in keys],
+                    *[d[k].alias(f"dash_{k}") for k in keys],
+                    F.array_join(s["risk_words"], ",").alias("svc_risk_words"),
+                    F.array_join(d["risk_words"], ",").alias("dash_risk_words"),
+                    F.array_join(F.slice(d["risk_words"], 1, 3), ", ").alias("dash_flag_words"),
+                    F.array_join(R.typosquat_matches(F.col("merchant_text")), ",").alias("typo_matches"))
+
+
+@query("velocity_risk")
+def q_velocity_risk(spark, sf_dir):
+    return FO.with_velocity(view(spark, sf_dir, "txn_req")).select("transaction_id", "txn_count_window", "velocity_risk")
+
+
+@query("join_streams")
+def q_join_streams(spark, sf_dir):
+    """Stream scores as separate tables (failed calls produce no row), joined back by id."""
+    req = FO.with_velocity(valid_requests(spark, sf_dir))
+    scored = FO.attach_rule_scores(req)
+    num = scored.select("transaction_id", *FO.NUM_COLS[:1], *[c for c in FO.NUM_COLS[1:] if c != "velocity_risk"])
+    nlp = scored.filter(~F.col("text_stream_error")).select("transaction_id", *FO.NLP_COLS)
+    voice = scored.filter(~F.col("voice_stream_error")).select("transaction_id", *FO.VOICE_COLS)
+    base = req.drop(*[c for c in FO.NUM_COLS + FO.NLP_COLS + FO.VOICE_COLS if c in req.columns and c != "velocity_risk"])
+    return FO.flatten_decision(FO.evaluate(FO.join_streams(base, num, nlp, voice)))
+
+
+@query("batch_totals")
+def q_batch_totals(spark, sf_dir):
+    return AG.batch_totals(decisions(spark, sf_dir))
+
+
+def audit_log(spark, sf_dir):
+    d = decisions(spark, sf_dir)
+    rid = F.concat(F.lit("req-"), F.floor(F.col("okey") / 2).cast("string"))
+    ts = F.date_format(F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("okey").cast("decimal(18,6)")),
+                       "yyyy-MM-dd'T'HH:mm:ss")
+    return AU.to_audit(d, rid, ts, (F.col("okey") % 500).cast("double") / 10)
+
+
+@query("audit_latest")
+def q_audit_latest(spark, sf_dir):
+    return AU.flatten_audit(AU.audit_latest(audit_log(spark, sf_dir)))
+
+
+@query("audit_get")
+def q_audit_get(spark, sf_dir):
+    return AU.flatten_audit(AU.audit_get(audit_log(spark, sf_dir), "req-100"))
+
+
+@query("audit_list")
+def q_audit_list(spark, sf_dir):
+    return AU.flatten_audit(AU.audit_list(audit_log(spark, sf_dir)))
+
+
+@query("audit_filter")
+def q_audit_filter(spark, sf_dir):
+    return AU.flatten_audit(AU.audit_filter(audit_log(spark, sf_dir), "block"))
+
+
+@query("audit_counts")
+def q_audit_counts(spark, sf_dir):
+    return AG.audit_counts(audit_log(spark, sf_dir))
+
+
+@query("recent_k")
+def q_recent_k(spark, sf_dir):
+    return AU.flatten_audit(AU.recent_k(audit_log(spark, sf_dir), 200))

@@ -79,9 +79,79 @@ FROM documents d
 JOIN labels l ON d.doc_id = l.doc_id
 """
 
+# Scored labelled rows for the metric operators: three deterministic "models"
+# whose scores correlate with the label and contain many ties.
+PREDS_SQL = """
+SELECT CAST(d.doc_id AS STRING) AS transaction_id,
+       l.toxic AS label,
+       CAST((d.doc_id * 7919) % 100 + l.toxic * 35 AS DOUBLE) / 135 AS score,
+       CAST((d.doc_id * 104729) % 100 + l.toxic * 15 AS DOUBLE) / 115 AS score_b,
+       CAST((d.doc_id * 31) % 1000 + l.quality * 200 + l.toxic * 100 AS DOUBLE) / 1300 AS score_c
+FROM documents d
+JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+# PaySim-like ledger: one row per line item.
+LEDGER_SQL = """
+SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS STRING) AS ledger_id,
+       o.o_custkey AS cust_id,
+       l.l_linenumber AS step,
+       CASE (l.l_orderkey + l.l_linenumber) % 5 WHEN 0 THEN 'PAYMENT' WHEN 1 THEN 'TRANSFER'
+            WHEN 2 THEN 'CASH_OUT' WHEN 3 THEN 'DEBIT' ELSE 'CASH_IN' END AS type,
+       l.l_extendedprice AS amount,
+       o.o_totalprice AS oldbalanceOrg,
+       o.o_totalprice - l.l_extendedprice AS newbalanceOrig,
+       l.l_quantity * 100 AS oldbalanceDest,
+       l.l_quantity * 100 + l.l_extendedprice AS newbalanceDest,
+       CASE WHEN l.l_returnflag = 'R' AND l.l_discount >= CAST(0.09 AS DOUBLE) THEN 1 ELSE 0 END AS isFraud
+FROM lineitem l
+JOIN orders o ON l.l_orderkey = o.o_orderkey
+"""
+
+# Sparse identity side table (two customer segments only).
+IDENTITY_SQL = """
+SELECT c_custkey AS cust_id, c_mktsegment AS device_type, c_acctbal AS acct_balance
+FROM customer
+WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')
+"""
+
+# Card-transaction rows with the columns of the second source (many nulls).
+IEEE_SQL = """
+SELECT o.o_orderkey AS TransactionID,
+       o.o_totalprice / 100 AS TransactionAmt,
+       CASE WHEN o.o_orderstatus = 'F' AND o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS isFraud,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'W' WHEN 1 THEN 'C' WHEN 2 THEN 'R' WHEN 3 THEN 'H' END AS ProductCD,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'visa' WHEN 1 THEN 'mastercard' WHEN 2 THEN 'american express' END AS card4,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'debit' WHEN 1 THEN 'credit' END AS card6,
+       CASE WHEN o.o_orderkey % 2 = 0 THEN 'gmail.com' END AS P_emaildomain,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN 'anonymous.com' END AS R_emaildomain,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' END AS DeviceType,
+       CASE WHEN o.o_orderkey % 6 = 0 THEN 'Windows' END AS DeviceInfo,
+       CASE WHEN o.o_orderkey % 5 = 0 THEN 'chrome 63.0' END AS id_31,
+       CASE WHEN o.o_orderkey % 10 = 0 THEN 'Windows 10' END AS id_30,
+       CASE WHEN o.o_orderkey % 4 = 0 THEN '1920x1080' END AS id_33,
+       CAST(c.c_nationkey * 10 + 100 AS DOUBLE) AS addr1,
+       CASE WHEN o.o_orderkey % 9 <> 0 THEN CAST(87 AS DOUBLE) END AS addr2
+FROM orders o
+JOIN customer c ON o.o_custkey = c.c_custkey
+"""
+
 VIEWS = {
     "txn_req": TXN_REQ_SQL,
     "labelled": LABELLED_SQL,
+    "preds": PREDS_SQL,
+    "ledger": LEDGER_SQL,
+    "identity": IDENTITY_SQL,
+    "ieee": IEEE_SQL,
+}
+
+VIEW_TABLES = {
+    "txn_req": ("orders", "customer", "nation"),
+    "labelled": ("documents", "labels"),
+    "preds": ("documents", "labels"),
+    "ledger": ("lineitem", "orders"),
+    "identity": ("customer",),
+    "ieee": ("orders", "customer"),
 }
 
 
@@ -89,9 +159,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Register the driver tables that a view needs and return the view."""
     from riskfuse.session import register_tables
 
-    needed = {
-        "txn_req": ("orders", "customer", "nation"),
-        "labelled": ("documents", "labels"),
-    }[name]
-    register_tables(spark, sf_dir, needed)
+    register_tables(spark, sf_dir, VIEW_TABLES[name])
     return spark.sql(VIEWS[name])
