@@ -203,3 +203,7 @@ def q_audit_counts(spark, sf_dir):
 @query("recent_k")
 def q_recent_k(spark, sf_dir):
     return AU.flatten_audit(AU.recent_k(audit_log(spark, sf_dir), 200))
+
+
+# further query families register themselves on import
+from riskfuse.plans import queries_text  # noqa: E402,F401
