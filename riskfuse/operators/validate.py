@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
+from riskfuse.functions.text import strip_ws
 
 
 def _errors(*checks: tuple[Column, str]) -> Column:
@@ -37,7 +38,7 @@ def valid_only(df: DataFrame) -> DataFrame:
 
 
 def _nonblank(c: Column) -> Column:
-    return c.isNotNull() & (F.trim(c) != "")
+    return c.isNotNull() & (strip_ws(c) != "")
 
 
 def val_text_req(df: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def clean_dataset(df: DataFrame, text_col: str = "text", label_col: str = "label
     if missing:
         raise ValueError(f"Dataset is missing required columns: {sorted(missing)}")
     out = (df.dropna(subset=[text_col, label_col])
-           .withColumn(text_col, F.trim(F.col(text_col).cast("string")))
+           .withColumn(text_col, strip_ws(F.col(text_col).cast("string")))
            .filter(F.col(text_col) != "")
            .withColumn(label_col, F.col(label_col).cast("int")))
     if id_col in df.columns:
@@ -121,7 +122,7 @@ def val_schema_strict(df: DataFrame, source: str | None = None) -> DataFrame:
         F.col("transaction_type").cast("string").alias("transaction_type"),
         F.lower(F.col("dataset_source").cast("string")).alias("dataset_source"),
     )
-    stats = out.agg(F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("empty"),
+    stats = out.agg(F.count_if(F.col("text").isNull() | (strip_ws(F.col("text")) == "")).alias("empty"),
                     F.count_distinct("label").alias("classes")).first()
     if stats["empty"]:
         raise ValueError(f"{source or 'dataset'}: {stats['empty']} rows with empty text")

@@ -255,3 +255,4 @@ register("evaluate", evaluate_sql())
 # more oracles register themselves on import (they use the helpers above)
 from riskfuse.plans import oracle_fusion  # noqa: E402,F401
 from riskfuse.plans import oracle_text  # noqa: E402,F401
+from riskfuse.plans import oracle_data  # noqa: E402,F401
