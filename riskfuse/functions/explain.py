@@ -10,9 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
-from riskfuse.functions.numeric import rnd
+from riskfuse.functions.numeric import compact, rnd
 
-FACTOR_TYPE = "struct<ordinal:int,modality:string,signal:string,feature:string,impact:double,direction:string>"
+# sort key first: (-impact, ordinal) orders by impact descending, ties in insertion order
+FACTOR_TYPE = ("struct<neg_impact:double,ordinal:int,modality:string,signal:string,feature:string,"
+               "impact:double,direction:string>")
+DASH_FACTOR_TYPE = "struct<neg_impact:double,ordinal:int,feature:string,impact:double,direction:string>"
 
 
 def display_name(signal: str) -> Column:
@@ -30,7 +33,8 @@ def factor_array(modalities: list[tuple[str, Column, list[tuple[str, Column]]]])
     for modality, weight, signals in modalities:
         for signal, value in signals:
             impact = rnd(weight * F.abs(value - F.lit(0.5)) * F.lit(2.0), 4)
-            items.append(F.when((weight != 0) & value.isNotNull(), F.struct(
+            items.append(((weight != 0) & value.isNotNull(), F.struct(
+                (-impact).alias("neg_impact"),
                 F.lit(ordinal).alias("ordinal"),
                 F.lit(modality).alias("modality"),
                 F.lit(signal).alias("signal"),
@@ -39,23 +43,21 @@ def factor_array(modalities: list[tuple[str, Column, list[tuple[str, Column]]]])
                 F.when(value > 0.5, "positive").otherwise("negative").alias("direction"),
             )))
             ordinal += 1
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return compact(items, FACTOR_TYPE)
 
 
 def top_k(factors: Column, k: int = C.TOP_FACTORS_COUNT) -> Column:
-    """Stable top-k by impact descending (ties keep insertion order)."""
-    ordered = F.array_sort(
-        factors,
-        lambda a, b: F.when(a["impact"] > b["impact"], -1).when(a["impact"] < b["impact"], 1)
-        .when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0),
-    )
-    return F.slice(ordered, 1, k)
+    """Stable top-k by impact descending (ties keep insertion order): a native
+    ``sort_array`` on (-impact, ordinal, ...) structs, then ``slice``."""
+    return F.slice(F.sort_array(factors, asc=True), 1, k)
 
 
-def factors_text(factors: Column) -> Column:
+def factors_text(factors: Column, k: int = C.TOP_FACTORS_COUNT + 1) -> Column:
     """Flat text form 'feature|impact|direction;...' (impact with 4 decimals)."""
-    return F.array_join(F.transform(factors, lambda f: F.concat_ws(
-        "|", f["feature"], F.format_number(f["impact"], 4), f["direction"])), ";")
+    def item(i):
+        f = F.try_element_at(factors, F.lit(i))
+        return F.when(f.isNotNull(), F.concat_ws("|", f["feature"], F.format_number(f["impact"], 4), f["direction"]))
+    return F.concat_ws(";", *[item(i) for i in range(1, k + 1)])
 
 
 def _impact_level(impact: Column) -> Column:
@@ -71,9 +73,12 @@ def narrative(score: Column, mode: Column, top: Column,
     detail = (F.when(mode == "partial", F.concat(F.lit("partial ensemble ("), used, F.lit(")")))
               .when(mode == "full", F.lit("full tri-modal ensemble (Numerical + NLP + Voice)"))
               .otherwise(F.lit("fallback mode (Numerical only)")))
-    first3 = F.transform(F.slice(top, 1, 3), lambda f: F.concat(
-        f["feature"], F.lit(" ("), _impact_level(f["impact"]), F.lit(" "), f["direction"], F.lit(" impact)")))
-    factors = F.when(F.size(top) > 0, F.concat(F.lit("Primary factors: "), F.array_join(first3, ", "), F.lit("."))) \
+    def item(i):
+        f = F.try_element_at(top, F.lit(i))
+        return F.when(f.isNotNull(), F.concat(f["feature"], F.lit(" ("), _impact_level(f["impact"]), F.lit(" "),
+                                              f["direction"], F.lit(" impact)")))
+    first3 = F.concat_ws(", ", item(1), item(2), item(3))
+    factors = F.when(F.size(top) > 0, F.concat(F.lit("Primary factors: "), first3, F.lit("."))) \
         .otherwise(F.lit("No significant risk factors identified."))
     return F.concat(risk, F.lit(" ("), F.format_number(score, 2), F.lit(") detected using "), detail,
                     F.lit(". "), factors)
@@ -100,18 +105,18 @@ def dashboard_factors(w_num: Column, w_nlp: Column, w_voice: Column,
                       nlp_used: Column, voice_used: Column) -> Column:
     """Thresholded, damped factors (numerical > .4, text > .3, deepfake > .5), sorted, no cap."""
     def fac(ordinal, name, cond, impact):
-        return F.when(cond, F.struct(
-            F.lit(ordinal).alias("ordinal"), F.lit(name).alias("feature"),
-            rnd(impact, 4).alias("impact"), F.lit("positive").alias("direction")))
-    items = F.array(
+        imp = rnd(impact, 4)
+        return (cond, F.struct((-imp).alias("neg_impact"), F.lit(ordinal).alias("ordinal"), F.lit(name).alias("feature"),
+                               imp.alias("impact"), F.lit("positive").alias("direction")))
+    items = [
         fac(0, "Transaction Amount Anomaly", F.coalesce(amount_anomaly, F.lit(0.0)) > 0.4, w_num * amount_anomaly * F.lit(0.9)),
         fac(1, "Geographic Risk", F.coalesce(geo, F.lit(0.0)) > 0.4, w_num * geo * F.lit(0.8)),
         fac(2, "Behavioral Pattern Deviation", F.coalesce(pattern, F.lit(0.0)) > 0.4, w_num * pattern * F.lit(0.7)),
         fac(3, "Merchant Typosquatting Risk", nlp_used & (typo > 0.3), w_nlp * typo * F.lit(0.9)),
         fac(4, "Semantic Risk in Description", nlp_used & (semantic > 0.3), w_nlp * semantic * F.lit(0.8)),
         fac(5, "Deepfake Voice Detected", voice_used & (deepfake > 0.5), w_voice * deepfake * F.lit(0.95)),
-    )
-    return top_k(F.filter(items, lambda x: x.isNotNull()), 6)
+    ]
+    return top_k(compact(items, DASH_FACTOR_TYPE), 6)
 
 
 def dashboard_narrative(score: Column, mode: Column, top: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
-from riskfuse.functions.numeric import rnd
+from riskfuse.functions.numeric import compact, rnd
 
 
 def _d(x: float) -> Column:
@@ -84,16 +84,24 @@ def risk_level(score: Column) -> Column:
 
 
 def base_confidence(score: Column, s_num: Column, s_nlp: Column, s_voice: Column) -> Column:
-    """Agreement of the present scores (population variance) mixed with boundary distance."""
-    present = F.filter(F.array(s_num, s_nlp, s_voice), lambda x: x.isNotNull())
-    n = F.size(present).cast("double")
-    mean = F.aggregate(present, _d(0.0), lambda acc, x: acc + x) / n
-    var = F.aggregate(present, _d(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
-    agreement = F.when(F.size(present) > 1, _d(1.0) - F.least(_d(1.0), var * _d(4.0))).otherwise(_d(0.7))
+    """Agreement of the present scores (population variance) mixed with boundary distance.
+
+    Plain arithmetic over the three optional scores (absent ones add 0.0 in the
+    same order a running sum over the present ones would), no array lambdas.
+    """
+    present = [s_num.isNotNull(), s_nlp.isNotNull(), s_voice.isNotNull()]
+    n = sum((p.cast("double") for p in present[1:]), present[0].cast("double"))
+    total = F.coalesce(s_num, _d(0.0)) + F.coalesce(s_nlp, _d(0.0)) + F.coalesce(s_voice, _d(0.0))
+    mean = total / n
+
+    def sq(s: Column) -> Column:
+        return F.when(s.isNotNull(), (s - mean) * (s - mean)).otherwise(_d(0.0))
+    var = (sq(s_num) + sq(s_nlp) + sq(s_voice)) / n
+    agreement = F.when(n > 1, _d(1.0) - F.least(_d(1.0), var * _d(4.0))).otherwise(_d(0.7))
     dist = F.least(F.abs(score - _d(0.30)), F.abs(score - _d(0.70)))
     boundary = F.least(_d(1.0), dist / _d(0.35))
     conf = rnd(agreement * _d(0.6) + boundary * _d(0.4), 4)
-    return F.when(F.size(present) == 0, _d(0.5)).otherwise(conf)
+    return F.when(n == 0, _d(0.5)).otherwise(conf)
 
 
 def availability_penalty(mode: Column, voice_requested: Column, n_failed: Column) -> Column:
@@ -139,7 +147,7 @@ def combo_info(nlp_available: Column, voice_available: Column) -> tuple[Column,
 
 def modality_list(*flags: tuple[str, Column]) -> Column:
     """Ordered array of modality names whose flag is true."""
-    return F.filter(F.array(*[F.when(f, F.lit(name)) for name, f in flags]), lambda x: x.isNotNull())
+    return compact([(f, F.lit(name)) for name, f in flags], "string")
 
 
 def modality_status(requested: Column, failed: Column) -> Column:

@@ -19,3 +19,14 @@ def rnd(x: Column, digits: int) -> Column:
 
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+
+
+def compact(items, elem_type: str) -> Column:
+    """Array of the values whose condition holds, in order: [(cond, value), ...].
+
+    Built as ``concat`` of one-element / empty arrays: a native, code-generated
+    expression (a ``filter`` lambda would run interpreted, row by row).
+    """
+    empty = F.array().cast(f"array<{elem_type}>")
+    parts = [F.when(cond, F.array(value)).otherwise(empty) for cond, value in items]
+    return F.concat(*parts) if parts else empty

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
-from riskfuse.functions.numeric import rnd
+from riskfuse.functions.numeric import compact, rnd
 
 
 def _d(x: float) -> Column:
@@ -101,7 +101,9 @@ def numerical_flags(amount: Column, country: Column, category: Column) -> Column
         F.lit("High-risk country").alias("label"), ctry.alias("detail"), F.lit("high").alias("severity")))
     catf = F.when(cat.isin(*C.DASH_RISK_CATEGORIES), F.struct(
         F.lit("High-risk category").alias("label"), cat.alias("detail"), F.lit("high").alias("severity")))
-    return F.filter(F.array(large, geo, catf), lambda x: x.isNotNull())
+    flag = "struct<label:string,detail:string,severity:string>"
+    return compact([(amount > 5000, large), (ctry.isin(*C.DASH_RISK_COUNTRIES), geo),
+                    (cat.isin(*C.DASH_RISK_CATEGORIES), catf)], flag)
 
 
 # ------------------------------------------------------------------ text
@@ -128,15 +130,14 @@ def risk_words(merchant: Column, narrative: Column, policy: str = "service") ->
     """Listed risk words found (as substrings) in lower(merchant + ' ' + narrative), list order."""
     words = C.SERVICE_RISK_WORDS if policy == "service" else C.DASH_RISK_WORDS
     all_text = F.lower(F.concat(F.coalesce(merchant, F.lit("")), F.lit(" "), F.coalesce(narrative, F.lit(""))))
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(all_text, w))
+    return compact([(F.contains(all_text, F.lit(w)), F.lit(w)) for w in words], "string")
 
 
 def typosquat_matches(merchant: Column) -> Column:
     """Dashboard: first match of each case-insensitive pattern, in pattern order."""
     m = F.coalesce(merchant, F.lit(""))
-    found = [F.when(F.regexp_like(m, F.lit("(?i)" + p)), F.regexp_extract(m, "(?i)(" + p + ")", 1))
-             for p in C.DASH_TYPO_PATTERNS]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    return compact([(F.regexp_like(m, F.lit("(?i)" + p)), F.regexp_extract(m, "(?i)(" + p + ")", 1))
+                    for p in C.DASH_TYPO_PATTERNS], "string")
 
 
 def text_signals(merchant: Column, narrative: Column, policy: str = "service",

@@ -132,7 +132,7 @@ def fold_digits(token: Column) -> Column:
 
 def merchant_tokens(text: Column) -> Column:
     """Lower-case word tokens (Unicode letters/digits) of a merchant string."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
 def highlight_pattern(typo_matches: Column, words: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskfuse import config as C
 from riskfuse.functions import rules as R
 from riskfuse.functions import text as T
-from riskfuse.functions.numeric import clip
+from riskfuse.functions.numeric import clip, compact
 
 
 def payload(df: DataFrame) -> dict:
@@ -55,10 +55,10 @@ def typosquat_distance(df: DataFrame, text_col: str = "merchant_text", id_col: s
     excluding the exact brand spelling. The brand list is a fixed literal array, so
     the comparison is an in-row ``transform`` (no join, no pair generation)."""
     toks = df.select(id_col, F.posexplode(T.merchant_tokens(F.col(text_col))).alias("pos", "token"))
-    brand_arr = F.array(*[F.lit(b) for b in brands])
     folded = T.fold_digits(F.col("token"))
-    cand = F.transform(brand_arr, lambda b: F.struct(b.alias("brand"), F.levenshtein(folded, b).alias("distance")))
-    hits = F.filter(cand, lambda c: (c["distance"] <= 1) & (F.col("token") != c["brand"]))
+    hits = compact([((F.levenshtein(folded, F.lit(b)) <= 1) & (F.col("token") != F.lit(b)),
+                     F.struct(F.lit(b).alias("brand"), F.levenshtein(folded, F.lit(b)).alias("distance")))
+                    for b in brands], "struct<brand:string,distance:int>")
     return (toks.select(id_col, "pos", "token", F.explode(hits).alias("h"))
             .select(id_col, "pos", "token", "h.brand", "h.distance"))
 

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
+from riskfuse.functions.numeric import compact
 from riskfuse.functions.text import strip_ws
 
 
 def _errors(*checks: tuple[Column, str]) -> Column:
-    arr = F.array(*[F.when(bad, F.lit(msg)) for bad, msg in checks])
-    return F.filter(arr, lambda x: x.isNotNull())
+    return compact([(bad, F.lit(msg)) for bad, msg in checks], "string")
 
 
 def val_txn(df: DataFrame) -> DataFrame:

@@ -61,8 +61,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def balance(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Spread an input that arrives in fewer splits than the cluster has cores.
+
+    Only plan metadata is consulted (split count, file-size statistics; no job).
+    Large inputs already arrive as thousands of splits and pass through
+    unchanged; a small file with a single row group would otherwise run every
+    downstream operator in one task.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        n_splits = df.rdd.getNumPartitions()
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are best effort
+        return df
+    if n_splits < cores and size >= min_bytes:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
