@@ -256,3 +256,4 @@ register("evaluate", evaluate_sql())
 from riskfuse.plans import oracle_fusion  # noqa: E402,F401
 from riskfuse.plans import oracle_text  # noqa: E402,F401
 from riskfuse.plans import oracle_data  # noqa: E402,F401
+from riskfuse.plans import oracle_stream  # noqa: E402,F401

@@ -208,3 +208,4 @@ def q_recent_k(spark, sf_dir):
 # further query families register themselves on import
 from riskfuse.plans import queries_text  # noqa: E402,F401
 from riskfuse.plans import queries_data  # noqa: E402,F401
+from riskfuse.plans import queries_stream  # noqa: E402,F401
