@@ -258,3 +258,4 @@ from riskfuse.plans import oracle_text  # noqa: E402,F401
 from riskfuse.plans import oracle_data  # noqa: E402,F401
 from riskfuse.plans import oracle_stream  # noqa: E402,F401
 from riskfuse.plans import oracle_io  # noqa: E402,F401
+from riskfuse.plans import oracle_ml  # noqa: E402,F401

@@ -210,3 +210,4 @@ from riskfuse.plans import queries_text  # noqa: E402,F401
 from riskfuse.plans import queries_data  # noqa: E402,F401
 from riskfuse.plans import queries_stream  # noqa: E402,F401
 from riskfuse.plans import queries_io  # noqa: E402,F401
+from riskfuse.plans import queries_ml  # noqa: E402,F401
