@@ -24,6 +24,24 @@ def canonicalize(df: DataFrame, combine: bool = True, **clean_kw) -> DataFrame:
     return df.select("transaction_id", txt.alias("text"), src.alias("text_source"), lang.alias("language"))
 
 
+def with_heuristic(df: DataFrame, text_col: str = "text", out: str = "heuristic_risk") -> DataFrame:
+    """Keyword heuristic with each pass materialised as its own column (stripped text,
+    lower-case text, cue hits, '!' count, CAPS words), so no regex or scan over a long
+    text runs twice."""
+    staged = df.withColumn("_h_t", T.strip_ws(F.coalesce(F.col(text_col), F.lit(""))))
+    staged = staged.withColumn("_h_low", F.lower(F.col("_h_t")))
+    staged = staged.withColumns({
+        "cue_hits": T.cue_hits(F.col("_h_low")),
+        "exclamations": T.exclamations(F.col("_h_t")),
+        "caps_words": T.caps_words(F.col("_h_t")),
+    })
+    score = (F.lit(0.12) * F.col("cue_hits").cast("double")
+             + F.lit(0.03) * F.least(F.col("exclamations"), F.lit(5)).cast("double")
+             + F.lit(0.02) * F.least(F.col("caps_words"), F.lit(5)).cast("double"))
+    return staged.withColumn(out, F.when(F.col("_h_t") == "", F.lit(0.5)).otherwise(clip(score, 0.0, 1.0))) \
+        .drop("_h_t", "_h_low")
+
+
 def nlp_output(canon: DataFrame, model_score: str | None = None, model_version: str | None = None,
                threshold: float | None = None) -> DataFrame:
     """Score canonical texts: a plugged model column when present, else the keyword heuristic.
@@ -31,7 +49,8 @@ def nlp_output(canon: DataFrame, model_score: str | None = None, model_version:
     The fallback is per row: rows whose model score is null get the heuristic and
     ``heuristic_v1`` as version (the service falls back per request).
     """
-    heur = T.heuristic_risk(F.col("text"))
+    canon = with_heuristic(canon, "text", "_heur").drop("cue_hits", "exclamations", "caps_words")
+    heur = F.col("_heur")
     if model_score:
         score = F.coalesce(F.col(model_score), heur)
         version = F.when(F.col(model_score).isNotNull(), F.lit(model_version)).otherwise(F.lit(C.HEURISTIC_VERSION))
@@ -39,7 +58,7 @@ def nlp_output(canon: DataFrame, model_score: str | None = None, model_version:
     else:
         score, version, thr = heur, F.lit(C.HEURISTIC_VERSION), F.lit(None).cast("double")
     out = canon.withColumns({"score_nlp": clip(score, 0.0, 1.0),
-                             "model_version": version, "threshold_used": thr})
+                             "model_version": version, "threshold_used": thr}).drop("_heur")
     return out.withColumns({
         "status": T.text_status(F.col("text"), F.col("model_version")),
         "semantic_risk": F.col("score_nlp"),

@@ -17,6 +17,12 @@ from riskfuse.plans.queries_text import valid_text_requests
 from riskfuse.plans.registry import query
 from riskfuse.plans.views import view
 from riskfuse.session import read_table
+from riskfuse.streaming.stream import materialize
+
+
+def _release(*dfs):
+    for d in dfs:
+        d.unpersist()
 
 
 def split_labelled(spark, sf_dir):
@@ -40,6 +46,7 @@ def _fit_text_model(spark, sf_dir, kind="logreg", C_=1.0):
     feats = ML.fit_features(train)
     tr = feats.transform(train).select("label", "features").cache()
     model = ML.train_logreg(tr, C_) if kind == "logreg" else ML.train_svm(tr, C_)
+    tr.unpersist()
     return df, feats, model
 
 
@@ -51,20 +58,25 @@ def _scored(df, feats, model):
 def q_train_logreg(spark, sf_dir):
     df, feats, model = _fit_text_model(spark, sf_dir, "logreg")
     out = _scored(df.filter(F.col("split") == "test"), feats, model)
-    return out.select("transaction_id", "label", rnd(F.col("score"), 6).alias("score"),
-                      F.col("prediction").cast("int").alias("prediction"))
+    res = materialize(out.select("transaction_id", "label", rnd(F.col("score"), 6).alias("score"),
+                                 F.col("prediction").cast("int").alias("prediction")), "logreg-pred")
+    _release(df)
+    return res
 
 
 @query("train_svm")
 def q_train_svm(spark, sf_dir):
     df, feats, model = _fit_text_model(spark, sf_dir, "svm")
     out = _scored(df.filter(F.col("split") == "test"), feats, model)
-    return out.select("transaction_id", "label", rnd(F.col("score"), 6).alias("score"),
-                      F.col("prediction").cast("int").alias("prediction"))
+    res = materialize(out.select("transaction_id", "label", rnd(F.col("score"), 6).alias("score"),
+                                 F.col("prediction").cast("int").alias("prediction")), "svm-pred")
+    _release(df)
+    return res
 
 
 def _report(df, feats, model, run):
-    scored = _scored(df.filter(F.col("split") != "train"), feats, model).select("split", "label", "score").cache()
+    scored = materialize(_scored(df.filter(F.col("split") != "train"), feats, model).select("split", "label", "score"),
+                         "scored")
     val = scored.filter(F.col("split") == "validation")
     best = M.best_threshold(M.prefix_counts(val)).first()
     thr = float(best["threshold"])
@@ -81,7 +93,9 @@ def _report(df, feats, model, run):
 def q_train_eval_report(spark, sf_dir):
     """clean -> split -> fit on train -> F1-best threshold on validation -> metrics on validation + test."""
     df, feats, model = _fit_text_model(spark, sf_dir, "logreg")
-    return _report(df, feats, model, "logreg_C1")
+    res = materialize(_report(df, feats, model, "logreg_C1"), "report")
+    _release(df)
+    return res
 
 
 GRID = (("logreg", 0.5), ("logreg", 1.0), ("svm", 1.0))
@@ -97,8 +111,9 @@ def q_grid_search(spark, sf_dir):
     runs = None
     for kind, c in GRID:
         model = ML.train_logreg(tr, c) if kind == "logreg" else ML.train_svm(tr, c)
-        rep = _report(df, feats, model, f"{kind}_C{c}").filter(F.col("split") == "validation")
+        rep = materialize(_report(df, feats, model, f"{kind}_C{c}").filter(F.col("split") == "validation"), "run")
         runs = rep if runs is None else runs.unionByName(rep)
+    _release(tr, df)
     return M.leaderboard(runs.select("run", "pr_auc", "recall", "f1", "precision", "threshold"))
 
 
@@ -107,8 +122,9 @@ def q_train_voice_lr(spark, sf_dir):
     """Embeddings -> bonafide/spoof logistic regression -> EER and its threshold."""
     emb = read_table(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") < 5).cast("int"))
     model = ML.train_voice_lr(emb)
-    pred = ML.positive_scores(model.transform(ML.embeddings_features(emb)))
-    return M.eer(M.prefix_counts(pred.select("label", "score")))
+    pred = materialize(ML.positive_scores(model.transform(ML.embeddings_features(emb))).select("label", "score"),
+                       "voice-scores")
+    return M.eer(M.prefix_counts(pred))
 
 
 @query("label_to_int")

@@ -41,8 +41,7 @@ def q_clean_text_lower(spark, sf_dir):
 @query("heuristic_risk")
 def q_heuristic_risk(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", T.clean_text(F.col("text"), max_chars=None).alias("t"))
-    return d.select("doc_id", T.cue_hits(F.col("t")).alias("cue_hits"), T.exclamations(F.col("t")).alias("exclamations"),
-                    T.caps_words(F.col("t")).alias("caps_words"), T.heuristic_risk(F.col("t")).alias("heuristic_risk"))
+    return TO.with_heuristic(d, "t").select("doc_id", "cue_hits", "exclamations", "caps_words", "heuristic_risk")
 
 
 @query("val_text_req")

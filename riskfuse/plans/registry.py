@@ -88,14 +88,20 @@ def _factor_array_cols():
 
 @query("factors_long")
 def q_factors_long(spark, sf_dir):
+    """All factors, one row each. ``inline`` over a projected struct array: extracting
+    fields after an explode would let nested-field aliasing copy the fused expression
+    into the generator once per field."""
     d = decisions(spark, sf_dir)
-    return (d.select("transaction_id", F.explode(_factor_array_cols()).alias("f"))
-            .select("transaction_id", "f.ordinal", "f.modality", "f.signal", "f.feature", "f.impact", "f.direction"))
+    fields = ("ordinal", "modality", "signal", "feature", "impact", "direction")
+    return d.select("transaction_id", F.inline(F.transform(_factor_array_cols(), lambda f: F.struct(
+        *[f[c].alias(c) for c in fields]))))
 
 
 def top_long(d):
-    return (d.select("transaction_id", F.posexplode("top_factors").alias("pos", "f"))
-            .select("transaction_id", (F.col("pos") + 1).alias("rank"), "f.feature", "f.impact", "f.direction"))
+    """Top factors, one row per (transaction, rank), via ``inline`` (see factors_long)."""
+    return d.select("transaction_id", F.inline(F.transform("top_factors", lambda f, i: F.struct(
+        (i + 1).alias("rank"), f["feature"].alias("feature"), f["impact"].alias("impact"),
+        f["direction"].alias("direction")))))
 
 
 @query("top_factors")
@@ -175,34 +181,47 @@ def audit_log(spark, sf_dir):
     return AU.to_audit(d, rid, ts, (F.col("okey") % 500).cast("double") / 10)
 
 
+def audit_table(spark, sf_dir):
+    """The audit store as a Parquet table in the shared checkpoint folder.
+
+    Written once; lookups and filters then push down to its scan (a filter on a
+    decision computed in the same plan would instead be rewritten into the fused
+    expression). The write also cuts the lineage reliably.
+    """
+    from riskfuse.streaming.stream import work_dir
+    path = work_dir(spark, "audit-table")
+    audit_log(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("audit_latest")
 def q_audit_latest(spark, sf_dir):
-    return AU.flatten_audit(AU.audit_latest(audit_log(spark, sf_dir)))
+    return AU.flatten_audit(AU.audit_latest(audit_table(spark, sf_dir)))
 
 
 @query("audit_get")
 def q_audit_get(spark, sf_dir):
-    return AU.flatten_audit(AU.audit_get(audit_log(spark, sf_dir), "req-100"))
+    return AU.flatten_audit(AU.audit_get(audit_table(spark, sf_dir), "req-100"))
 
 
 @query("audit_list")
 def q_audit_list(spark, sf_dir):
-    return AU.flatten_audit(AU.audit_list(audit_log(spark, sf_dir)))
+    return AU.flatten_audit(AU.audit_list(audit_table(spark, sf_dir)))
 
 
 @query("audit_filter")
 def q_audit_filter(spark, sf_dir):
-    return AU.flatten_audit(AU.audit_filter(audit_log(spark, sf_dir), "block"))
+    return AU.flatten_audit(AU.audit_filter(audit_table(spark, sf_dir), "block"))
 
 
 @query("audit_counts")
 def q_audit_counts(spark, sf_dir):
-    return AG.audit_counts(audit_log(spark, sf_dir))
+    return AG.audit_counts(audit_table(spark, sf_dir))
 
 
 @query("recent_k")
 def q_recent_k(spark, sf_dir):
-    return AU.flatten_audit(AU.recent_k(audit_log(spark, sf_dir), 200))
+    return AU.flatten_audit(AU.recent_k(audit_table(spark, sf_dir), 200))
 
 
 # further query families register themselves on import
