@@ -21,7 +21,7 @@ def _request_stream(spark, sf_dir):
     req = FO.with_velocity(valid_requests(spark, sf_dir))
     src = ST.work_dir(spark, "requests")
     ST.stage_files(req, src, N_FILES)
-    return spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    return spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 4).parquet(src)
 
 
 @query("stream_evaluate")

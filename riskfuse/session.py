@@ -64,19 +64,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def balance(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """Spread an input that arrives in fewer splits than the cluster has cores.
 
-    Only plan metadata is consulted (split count, file-size statistics; no job).
-    Large inputs already arrive as thousands of splits and pass through
-    unchanged; a small file with a single row group would otherwise run every
-    downstream operator in one task.
+    Only metadata is consulted: the file list and the size statistics give the
+    expected split count (files, or bytes / ``spark.sql.files.maxPartitionBytes``).
+    Large inputs arrive as thousands of splits and pass through unchanged; a small
+    single-row-group file would otherwise run every downstream operator in one task.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     try:
-        n_splits = df.rdd.getNumPartitions()
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        n_files = len(df.inputFiles())
     except Exception:  # noqa: BLE001 - statistics are best effort
         return df
-    if n_splits < cores and size >= min_bytes:
+    max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    expected_splits = max(n_files, -(-size // max(max_bytes, 1)))
+    if expected_splits < cores and size >= min_bytes:
         return df.repartition(cores)
     return df
 
