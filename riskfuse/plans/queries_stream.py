@@ -3,8 +3,6 @@ runs the stream to completion (availableNow) and returns the sink as a DataFrame
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from riskfuse.operators import audit as AU
@@ -43,13 +41,15 @@ def q_stream_counters(spark, sf_dir):
 def q_stream_velocity(spark, sf_dir):
     """Per-user event counts in 1-hour event-time windows (watermark 1 hour, update mode)."""
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts")
-    lo_hi = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = lo_hi["lo"], lo_hi["hi"]
-    step = (hi - lo) / N_FILES
-    bounds = [lo + step * i for i in range(N_FILES)] + [hi + datetime.timedelta(seconds=1)]
+    key = F.unix_micros(F.col("ts").cast("timestamp"))   # numeric event-time key (same session rules as rows)
+    keyed = ev.withColumn("_k", key)
+    lo_hi = keyed.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+    lo, hi = int(lo_hi["lo"]), int(lo_hi["hi"])
+    bounds = [lo + (hi - lo) * i // N_FILES for i in range(N_FILES)] + [hi + 1]
     src, sink, ck = ST.work_dir(spark, "events"), ST.work_dir(spark, "velocity"), ST.work_dir(spark, "ck")
-    ST.stage_files_ordered(ev, src, bounds, "ts")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.stage_files_ordered(keyed, src, bounds, "_k")
+    ev = keyed.drop("_k")
+    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(src).drop("_k")
     ST.run_available_now(ST.velocity_windows(stream, "user_id", "ts"), sink, ck, mode="update", sink="log")
     return ST.latest_by_key(spark.read.parquet(sink), ["user_id", "window_start", "window_end"], [])
 
