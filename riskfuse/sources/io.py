@@ -4,7 +4,7 @@ declared schemas (no inference pass over the data)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,11 +102,14 @@ def transcript_flatten(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_jsonl(df: DataFrame, path: str) -> int:
-    """Write JSON lines and return the number of records, counted during the same write
-    with ``observe`` (no second pass over the data)."""
-    obs = Observation("jsonl_export")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(path)
-    return int(obs.get["rows"])
+    """Write JSON lines and return the number of records written.
+
+    The count reads the written lines back as plain text (no JSON parsing, no recompute
+    of the source plan). ``observe`` would count during the write, but on this Spark
+    version a registered observation leaves the session unserialisable for later jobs.
+    """
+    df.write.mode("overwrite").json(path)
+    return df.sparkSession.read.text(path).count()
 
 
 def write_sample_jsonl(df: DataFrame, order_col: str, path: str, n: int = 200) -> None:

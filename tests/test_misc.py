@@ -35,7 +35,7 @@ def test_threshold_resolution():
     assert ML.resolve_threshold(None, {}, "sklearn") == 0.5
 
 
-def test_export_jsonl_counts_in_one_pass(spark):
+def test_export_jsonl_counts_written_lines(spark):
     df = spark.range(37).selectExpr("cast(id as string) as request_id")
     path = work_dir(spark, "export")
     assert IO.export_jsonl(df, path) == 37
