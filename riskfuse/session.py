@@ -39,10 +39,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the operator (a shared file system);
-    only when it is unset (tests, local runs) a fresh local folder is used.
+    Driver and executors must both reach it. Where it is unset, a fresh local folder
+    serves a session in local mode (tests), whose executors are threads of the driver;
+    any other master raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,17 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="riskfuse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def balance(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """Spread an input that arrives in fewer splits than the cluster has cores.
 
