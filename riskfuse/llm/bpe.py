@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fragments longer than this are not kept in a worker's table, which holds at most TABLE_SIZE.
 LONGEST_KEPT, TABLE_SIZE = 64, 500_000
@@ -188,8 +189,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
 
     kept = [c for c in df.columns if c != "decoded"]
     rows = df.select(*kept)
-    schema = rows.schema.add("decoded", "string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:

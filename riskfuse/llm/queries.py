@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfuse.llm import bpe
+from riskfuse.llm import bpe, packing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,13 @@ def byte_bpe() -> str:
 @query("op4_forced_boundary_bpe")
 def op4(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query("op5_token_store")
+def op5(spark, sf_dir):
+    return token_store.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), end_id=2)
+
+
+@query("op8_mixture_packing")
+def op8(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
