@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per session's context,
+    for sessions that were not started with it on their Python path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskfuse_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="riskfuse-package-"), "riskfuse.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("riskfuse", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._riskfuse_shipped = True
+
+
 def balance(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """Spread an input that arrives in fewer splits than the cluster has cores.
 
