@@ -7,8 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, packing, token_store
+from riskfuse.llm import bpe, packing, token_store, url_reputation, warc
+from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +24,7 @@ def query(name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -44,3 +47,23 @@ def op5(spark, sf_dir):
 @query("op8_mixture_packing")
 def op8(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
+
+
+@query("op3_url_reputation")
+def op3(spark, sf_dir):
+    """A page's outcome is the label of the document with its id: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, url_reputation.RULES)
+
+
+ORACLES["op3_url_reputation"] = url_reputation.ORACLE
+
+
+@query("op9_warc_dictionary")
+def op9(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op9_warc_dictionary"] = warc.ORACLE
