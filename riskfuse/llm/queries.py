@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, gam, packing, token_store, url_reputation, warc
+from riskfuse.llm import bpe, gam, line_spread, packing, token_store, url_reputation, warc
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,11 @@ ORACLES["op9_warc_dictionary"] = warc.ORACLE
 @query("op7_additive_quality")
 def op7(spark, sf_dir):
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_line_spread")
+def op2(spark, sf_dir):
+    return line_spread.cleaned(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_line_spread"] = line_spread.ORACLE
