@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, gam, line_spread, packing, setsketch, token_store, url_reputation, warc
+from riskfuse.llm import bpe, gam, line_spread, packing, setsketch, token_store, url_reputation, warc, winnow
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ ORACLES["op2_line_spread"] = line_spread.ORACLE
 @query("op10_setsketch_dedup")
 def op10(spark, sf_dir):
     return setsketch.duplicates(table(spark, sf_dir, "documents"), k=4, similarity=80)
+
+
+@query("op6_winnowing")
+def op6(spark, sf_dir):
+    return winnow.compared(table(spark, sf_dir, "documents"))
