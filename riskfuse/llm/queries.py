@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, gam, line_spread, packing, setsketch, token_store, url_reputation, warc, winnow
+from riskfuse.llm import bpe, crosspoly, gam, line_spread, packing, setsketch, token_store, url_reputation, warc, winnow
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op10(spark, sf_dir):
 @query("op6_winnowing")
 def op6(spark, sf_dir):
     return winnow.compared(table(spark, sf_dir, "documents"))
+
+
+@query("op1_cross_polytope")
+def op1(spark, sf_dir):
+    return crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
