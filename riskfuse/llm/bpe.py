@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fragments longer than this are not kept in a worker's table, which holds at most TABLE_SIZE.
-LONGEST_KEPT, TABLE_SIZE = 64, 500_000
+LONGEST_KEPT, TABLE_SIZE = 64, 150_000
 
 #: Unicode's White_Space characters (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -45,9 +45,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Decoder:
+    """Bytes of each id of a tokenizer file; equal to the library's
+    ``decode(ids, skip_special_tokens=False)``. Ids are bytes: little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        code = {c: b for b, c in enumerate(byte_alphabet())}
+        self.pieces = {i: bytes(code[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in code for c in t)}
+        self.pieces |= {a["id"]: a["content"].encode() for a in spec.get("added_tokens") or []}
+
+    def decode(self, ids: bytes) -> str:
+        table = self.pieces
+        return b"".join([table.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+
+
 class ForcedBoundaryBPE:
-    """Encoder and decoder for one tokenizer file, equal to the library's
-    ``encode(text, add_special_tokens=False)`` and ``decode(ids, skip_special_tokens=False)``
+    """Encoder for one tokenizer file, equal to the library's ``encode(text, add_special_tokens=False)``
     without truncation and padding. Ids are bytes: little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
@@ -76,7 +91,6 @@ class ForcedBoundaryBPE:
                 for a, b in zip(t, t[1:]):
                     inside[a, b] = True
         self.inside = inside
-        self.pieces = {**vocabulary, **{a["id"]: a["content"].encode() for a in added}}
         self.special = {a["content"]: np.uint32(a["id"]).tobytes() for a in added}
         if any(a.get("single_word") or a.get("lstrip") or a.get("rstrip") for a in added):
             raise ValueError(f"{path}: added tokens that take in their surroundings are not covered")
@@ -127,10 +141,6 @@ class ForcedBoundaryBPE:
         first, *words = text.split(" ")
         return self._others[first] + b"".join(map(self._words.__getitem__, words))
 
-    def decode(self, ids: bytes) -> str:
-        import numpy as np
-        table = self.pieces
-        return b"".join([table.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
 
 class _Table(dict):
@@ -147,14 +157,14 @@ class _Table(dict):
         return ids
 
 
-_LOADED: dict[str, ForcedBoundaryBPE] = {}
+_LOADED: dict[tuple, Decoder | ForcedBoundaryBPE] = {}
 
 
-def loaded(path: str) -> ForcedBoundaryBPE:
-    """The encoder of this worker process for a tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = ForcedBoundaryBPE(path)
-    return _LOADED[path]
+def loaded(path: str, kind: type = ForcedBoundaryBPE):
+    """The encoder (or ``Decoder``) of this worker process for a tokenizer file."""
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = kind(path)
+    return _LOADED[path, kind]
 
 
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -181,7 +191,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer_path)
+        bpe = loaded(tokenizer_path, Decoder)
         for batch in batches:
             texts = [bpe.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())],

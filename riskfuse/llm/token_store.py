@@ -73,8 +73,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, sample
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = bpe.loaded(tokenizer_path)
-    width = 2 if max([end_id, *sizes.pieces]) < 1 << 16 else 4
+    width = 2 if max(end_id, *bpe.Decoder(tokenizer_path).pieces) < 1 << 16 else 4
     trained = train_dictionary(rows, tokenizer_path, width, sample_docs, dictionary_bytes)
     sha = hashlib.sha256(trained).digest()
     shared.put_file(folder, f"dictionary-{sha.hex()}", [trained])
