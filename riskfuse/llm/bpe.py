@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfuse.llm import shared
+
 #: Fragments longer than this are not kept in a worker's table, which holds at most TABLE_SIZE.
 LONGEST_KEPT, TABLE_SIZE = 64, 150_000
 
@@ -177,7 +179,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             ids = pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
@@ -192,7 +194,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path, Decoder)
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             texts = [bpe.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())],
                                              names=[*batch.schema.names, "decoded"])

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskfuse.llm import shared
+
 #: Characters counted one by one (share of all bytes).
 MARKS = ".,!?|#*$%&@/<>{}=;:-_'\""
 FEATURES = ("log_bytes", "log_words", "word_bytes", "distinct_words", "long_words", "capital_words", "marked_words", "stop_rate",
@@ -168,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **settings
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             x = features(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             p = model.score(features(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()),
                                               pa.array((p >= threshold).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
@@ -205,7 +207,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             keep = model.score(features([t or "" for t in batch.column(text).to_pylist()])) >= threshold
             yield batch.filter(pa.array(keep))
 

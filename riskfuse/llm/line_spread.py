@@ -52,38 +52,39 @@ def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
 
 
 def remove(docs: DataFrame, min_sites: int = 10, site_col: str = "source") -> DataFrame:
-    """``docs`` with two columns more: ``cleaned`` (the text without the lines removed from it; lines
-    are joined again as they were) and ``n_removed``.
+    """``docs`` with two columns more: ``__cleaned`` (the text without the lines removed from it; lines
+    are joined again as they were) and ``__n_removed``. Column names that begin with ``__`` are taken.
 
     Blank lines are never counted nor removed. A null text stays null, with none removed. Rows that
     repeat a doc_id share its decisions; rows with a null doc_id lose every boilerplate line that some
-    row with an id holds. Columns of ``docs`` called cleaned or n_removed are replaced.
+    row with an id holds.
     """
     found = shared.written(occurrences(docs, site_col), "lines")
     gone = found.join(boilerplate(found, min_sites), "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__removed")).withColumnRenamed("doc_id", "__id")
-    kept = [F.col(c) for c in docs.columns if c.lower() not in ("cleaned", "n_removed", "__id", "__removed")]
-    both = docs.select(*kept).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = lines_of(F.col("text"))
     stays = F.filter(lines, lambda x: (F.btrim(x, F.lit(ENDS)) == "") | ~F.array_contains(F.col("__removed"), line_key(x)))
     touched = F.col("__removed").isNotNull()
-    return both.select(*kept, F.when(touched & F.col("text").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col("text")).alias("cleaned"),
-                       F.when(touched, F.size(lines) - F.size(stays)).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*docs.columns, F.when(touched & F.col("text").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col("text")).alias("__cleaned"),
+                       F.when(touched, F.size(lines) - F.size(stays)).otherwise(F.lit(0)).cast("long").alias("__n_removed"))
 
 
 def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """The result of ``op2``: doc_id, the cleaned text and the number of lines removed."""
     rows = remove(docs.select("doc_id", "source", "text"), min_sites)
-    return rows.select("doc_id", F.col("cleaned").alias("text"), "n_removed")
+    return rows.select("doc_id", F.col("__cleaned").alias("text"), F.col("__n_removed").alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """``docs``, same columns, with cleaned texts (and ``n_chars`` of them); a document that held nothing
-    but boilerplate, all of it kept elsewhere, is left out. Documents that were blank before stay."""
-    rows = remove(docs, min_sites).where((F.col("n_removed") == 0) | (F.btrim("cleaned", F.lit(ENDS + "\n")) != ""))
-    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    changed = F.col("n_removed") > 0
-    return rows.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
+    """``docs``, same columns, with cleaned texts (and ``n_chars`` of them, if that is a column); a document
+    that held nothing but boilerplate, all of it kept elsewhere, is left out. Documents that were blank
+    before stay."""
+    rows = remove(docs, min_sites).where((F.col("__n_removed") == 0) | (F.btrim("__cleaned", F.lit(ENDS + "\n")) != ""))
+    new = {"text": F.col("__cleaned")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__cleaned").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[F.when(F.col("__n_removed") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
 
 
 ORACLE = """

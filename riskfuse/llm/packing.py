@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         encoder, part, place = bpe.loaded(tokenizer_path), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             queue, at, tokens, ids = [], [], [], []
             for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 queue.append(queue_of.get(source, 0))
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
     schedule = Schedule(sums, weights, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             out = []
             for doc_id, source, queue, at, tokens, ids in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 view = memoryview(ids)

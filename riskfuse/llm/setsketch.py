@@ -117,7 +117,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import numpy as np
         hashes = _hashes()
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             sizes, digests, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, k)
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             found, keep = [], []
             for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, k).tobytes()
@@ -266,10 +266,9 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one with its smallest id. Of rows that
-    repeat that id one stays; rows with a null id stay unless they are linked with others."""
+    """``docs``, all columns, with one document of each component: the one with its smallest id. Rows that
+    repeat an id are one document, of which one row stays; rows with a null id all stay."""
     found = duplicates(docs.select("doc_id", "text"), k, similarity)
     kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    alone = docs.where(F.col("doc_id").isNull())
-    rows = docs.join(kept, docs.doc_id == F.col("__kept"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).union(alone)
+    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where(F.col("doc_id").isNull()))

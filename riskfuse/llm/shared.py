@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches, rows: int = 512):
+    """Record batches cut into pieces of at most ``rows`` rows, so that what a task makes of one piece stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def open_fs(path: str):
     """(pyarrow file system, path in it) of a folder given as URI or plain path."""
     from pyarrow import fs

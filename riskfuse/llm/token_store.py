@@ -85,7 +85,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, sample
         bpe_ = bpe.loaded(tokenizer_path)
         given = zstandard.ZstdCompressionDict(trained, dict_type=zstandard.DICT_TYPE_FULLDICT) if trained else None
         compress = zstandard.ZstdCompressor(level=level, dict_data=given, write_checksum=True).compress
-        part, index, tokens = TaskContext.get().partitionId(), [], 0
+        part, index, tokens, batches = TaskContext.get().partitionId(), [], 0, shared.in_slices(batches)
 
         def parts(first) -> Iterator[bytes]:
             nonlocal tokens
