@@ -62,7 +62,7 @@ def name(places: Column) -> Column:
 def likeness(one: Column, other: Column) -> Column:
     """Share of common hashes in all hashes of two fingerprints; two empty ones are alike."""
     common = F.size(F.array_intersect(one, other))
-    return F.coalesce(common / (F.size(one) + F.size(other) - common), F.lit(1.0))
+    return F.coalesce(F.try_divide(common, F.size(one) + F.size(other) - common), F.lit(1.0))
 
 
 def fingerprints(docs: DataFrame, k: int = 12, w: int = 16) -> DataFrame:
