@@ -136,6 +136,7 @@ EMAIL_PATTERN = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE_PATTERN = r"\b(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{3}\)?[\s.-]?)\d{3}[\s.-]?\d{4}\b"
 CARD_PATTERN = r"\b(?:\d[ -]*?){13,19}\b"
 MAX_CHARS = 6000
+NUMERICAL_MISSING = "numerical score is missing (required)"
 NO_TEXT = "[NO_TEXT]"
 
 FRAUD_CUES = (

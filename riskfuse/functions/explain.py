@@ -52,12 +52,10 @@ def top_k(factors: Column, k: int = C.TOP_FACTORS_COUNT) -> Column:
     return F.slice(F.sort_array(factors, asc=True), 1, k)
 
 
-def factors_text(factors: Column, k: int = C.TOP_FACTORS_COUNT + 1) -> Column:
-    """Flat text form 'feature|impact|direction;...' (impact with 4 decimals)."""
-    def item(i):
-        f = F.try_element_at(factors, F.lit(i))
-        return F.when(f.isNotNull(), F.concat_ws("|", f["feature"], F.format_number(f["impact"], 4), f["direction"]))
-    return F.concat_ws(";", *[item(i) for i in range(1, k + 1)])
+def factors_text(factors: Column) -> Column:
+    """Flat text form 'feature|impact|direction;...' of all factors (impact with 4 decimals)."""
+    return F.array_join(F.transform(factors, lambda f: F.concat_ws(
+        "|", f["feature"], F.format_number(f["impact"], 4), f["direction"])), ";")
 
 
 def _impact_level(impact: Column) -> Column:

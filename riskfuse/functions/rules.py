@@ -84,7 +84,7 @@ def locale_amount(x: Column) -> Column:
     frac = (F.when(cents % 100 == 0, F.lit(""))
             .when(cents % 10 == 0, F.concat(F.lit("."), ((cents % 100) / 10).cast("long").cast("string")))
             .otherwise(F.concat(F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))))
-    return F.concat(F.format_number(F.floor(x), 0), frac)
+    return F.concat(F.format_number(F.floor(cents / 100), 0), frac)
 
 
 def numerical_flags(amount: Column, country: Column, category: Column) -> Column:

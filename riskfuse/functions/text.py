@@ -29,9 +29,10 @@ def strip_ws(text: Column) -> Column:
 
 
 def clean_text(text: Column, lowercase: bool = False, collapse_whitespace: bool = True,
-               max_chars: int | None = C.MAX_CHARS, mask: bool = True) -> Column:
+               max_chars: int | None = None, mask: bool = True) -> Column:
     """null -> ''; CRLF/CR -> LF, tab -> space; collapse whitespace + strip (or strip);
-    optional lower; mask PII; truncate to ``max_chars`` code points + ' …'."""
+    optional lower; mask PII; with ``max_chars``, cut to that many code points + ' …' (the
+    service cuts at ``config.MAX_CHARS``; the default keeps whole texts)."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     t = F.replace(F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")),
                   F.lit("\t"), F.lit(" "))

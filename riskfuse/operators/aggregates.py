@@ -27,7 +27,7 @@ def audit_counts(audit: DataFrame) -> DataFrame:
 def label_dist(df: DataFrame, label: str = "label") -> DataFrame:
     """Class counts and shares; the total is a window over the (tiny) per-class result."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over the per-class rows only
+    total = F.sum("n").over(Window.partitionBy())  # over the per-class rows only
     return counts.withColumn("share", F.col("n").cast("double") / total.cast("double"))
 
 

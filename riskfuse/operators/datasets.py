@@ -42,11 +42,8 @@ def approximate_mode(class_counts: dict, n_draws: int) -> dict:
 def split_sizes(class_counts: dict, ratios=C.SPLIT_RATIOS) -> dict:
     """Two-stage stratified sizes: train vs rest, then rest into validation vs test."""
     train_r, val_r, test_r = ratios
-    if abs(train_r + val_r + test_r - 1.0) > 1e-9:
-        raise ValueError(f"train/val/test must sum to 1.0, got {train_r + val_r + test_r:.6f}")
-    for name, v in (("train_size", train_r), ("val_size", val_r), ("test_size", test_r)):
-        if v <= 0 or v >= 1:
-            raise ValueError(f"{name} must be between 0 and 1, got {v}")
+    if min(ratios) <= 0 or abs(sum(ratios) - 1.0) > 1e-9:
+        raise ValueError(f"three positive split shares that add up to 1 are needed, not {ratios}")
     n = sum(class_counts.values())
     n_temp = math.ceil((val_r + test_r) * n)
     train = approximate_mode(class_counts, n - n_temp)
@@ -62,24 +59,32 @@ def hash_key(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+#: A column with more distinct values than this is no class label.
+MAX_CLASSES = 1000
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Counts per class (one small aggregate; the number of classes is tiny)."""
-    return {r[0]: int(r[1]) for r in df.groupBy(label).count().collect()}
+    """Counts per class (one aggregate); raises if the column has more than MAX_CLASSES values."""
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} distinct values; it is no class label")
+    return {r[0]: int(r[1]) for r in rows}
 
 
 def stratum_rank(df: DataFrame, label: str = "label", id_col: str = "transaction_id",
                  seed: int = C.RANDOM_STATE, counts: dict | None = None) -> DataFrame:
-    """Add ``_rank``: 0-based position of the row inside its class by md5 key."""
+    """Add ``_rank``: 0-based position of the row inside its class by md5 key, then by the other
+    columns, so rows that repeat an id keep one order."""
     counts = counts or class_counts(df, label)
     n = max(sum(counts.values()), 1)
-    digits = min(4, max(1, math.ceil(math.log(max(n / 200_000, 1), 16)) + 1))
+    digits = max(1, math.ceil(math.log(max(n / 200_000, 1), 16)) + 1)
     keyed = df.withColumn("_key", hash_key(id_col, seed)).withColumn("_bucket", F.substring("_key", 1, digits))
     bucket_counts = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     w_off = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucket_counts.select(label, "_bucket", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"))
-    # offsets has at most len(counts) * 16**digits rows (<= 65,536 per class): safe to broadcast
-    w = Window.partitionBy(label, "_bucket").orderBy("_key")
-    return (keyed.join(F.broadcast(offsets), [label, "_bucket"])
+    others = [c for c, kind in df.dtypes if c != label and not kind.startswith("map")]
+    w = Window.partitionBy(label, "_bucket").orderBy("_key", *others)
+    return (keyed.join(offsets, [label, "_bucket"])
             .withColumn("_rank", F.col("_off") + F.row_number().over(w) - 1)
             .drop("_off", "_bucket", "_key"))
 
@@ -128,7 +133,18 @@ def rate_before_after(before: DataFrame, after: DataFrame, label: str = "label")
 # ----------------------------------------------------------------- templates / contracts
 
 def _num_text(c: F.Column) -> F.Column:
-    return c.cast("double").cast("string")
+    """A number as Python writes a float: plain digits from 0.0001 up to 1e16, an exponent of two
+    digits at least elsewhere."""
+    x = c.cast("double")
+    java = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,20)").cast("string"), "0+$", ""), "\\.$", ".0")
+    size = F.abs(x)
+    sign = F.when(F.contains(java, F.lit("E-")), "-").otherwise("+")
+    power = F.regexp_extract(java, "E-?([0-9]+)$", 1)
+    power = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    scientific = F.concat(F.regexp_replace(F.regexp_replace(java, "E.*$", ""), "\\.0$", ""), F.lit("e"), sign, power)
+    return (F.when(~F.contains(java, F.lit("E")), java)
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific))
 
 
 def text_paysim(df: DataFrame) -> DataFrame:

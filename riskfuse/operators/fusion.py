@@ -66,12 +66,12 @@ def with_velocity(df: DataFrame, key: str = "cust_id", ts: str = "ts", days: int
     window task; the join back is on (key, day) and AQE splits skewed pairs.
     """
     day = F.to_date(F.col(ts))
-    daily = (df.select(F.col(key).alias("_vk"), day.alias("_vd"))
+    daily = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_vk"), day.alias("_vd"))
              .groupBy("_vk", "_vd").agg(F.count(F.lit(1)).alias("_vn")))
     w = Window.partitionBy("_vk").orderBy(F.unix_date("_vd")).rangeBetween(-(days - 1), 0)
     vel = daily.select("_vk", "_vd", F.sum("_vn").over(w).alias("txn_count_window"))
     out = df.join(vel, (F.col(key) == F.col("_vk")) & (day == F.col("_vd")), "left").drop("_vk", "_vd")
-    n = F.col("txn_count_window").cast("double")
+    n = F.coalesce(F.col("txn_count_window").cast("double"), F.lit(1.0))  # no customer or no time: the base risk
     return out.withColumn("velocity_risk", rnd(F.least(F.lit(cap), F.lit(base) + F.lit(step) * (n - 1)), 4))
 
 
@@ -80,22 +80,27 @@ NLP_COLS = ["score_nlp", "semantic_risk", "typosquatting_risk", "entity_inconsis
 VOICE_COLS = ["score_voice", "deepfake_probability", "voice_stress_indicator", "speaker_consistency"]
 
 
-def attach_rule_scores(df: DataFrame, policy: str = "service", params: dict | None = None) -> DataFrame:
-    """Numerical + text stream scores from the rule scorers, and the voice stream
-    score from ``voice_spoof_prob`` / ``voice_stress``; stream errors null the score."""
+def attach_numerical(df: DataFrame, policy: str = "service", params: dict | None = None) -> DataFrame:
+    """Numerical stream score and signals; ``velocity_risk`` is used where the column exists."""
     vel = F.col("velocity_risk") if "velocity_risk" in df.columns else None
     num = R.numerical_signals(F.col("amount"), F.col("country"), F.col("merchant_category"),
                               vel, policy, params)
+    return df.withColumns({"score_numerical": num["score"], **{s: num[s] for s in NUM_COLS[1:]}})
+
+
+def attach_rule_scores(df: DataFrame, policy: str = "service", params: dict | None = None) -> DataFrame:
+    """Numerical, text and voice stream scores."""
+    return attach_numerical(attach_text_voice(df, policy, params), policy, params)
+
+
+def attach_text_voice(df: DataFrame, policy: str = "service", params: dict | None = None) -> DataFrame:
+    """Text stream scores from the rule scorer, and the voice stream score from
+    ``voice_spoof_prob`` / ``voice_stress``; stream errors null the score."""
     txt = R.text_signals(F.col("merchant_text"), F.col("narrative_text"), policy, params)
     text_err = _col_or(df, "text_stream_error", False)
     voice_err = _col_or(df, "voice_stream_error", False)
     spoof = F.col("voice_spoof_prob")
     cols = {
-        "score_numerical": num["score"],
-        "amount_anomaly": num["amount_anomaly"],
-        "velocity_risk": num["velocity_risk"],
-        "pattern_deviation": num["pattern_deviation"],
-        "geo_risk": num["geo_risk"],
         "score_nlp": F.when(~text_err, txt["score"]),
         "semantic_risk": F.when(~text_err, txt["semantic_risk"]),
         "typosquatting_risk": F.when(~text_err, txt["typosquatting_risk"]),
@@ -112,18 +117,26 @@ def join_streams(requests: DataFrame, numerical: DataFrame, nlp: DataFrame | Non
                  voice: DataFrame | None, key: str = "transaction_id") -> DataFrame:
     """Assemble stream score tables per transaction: left equi joins on the id.
 
-    A missing right row means the stream produced nothing (score null). Score
-    tables are de-duplicated on the key first so the request row count is kept.
-    AQE chooses broadcast or sort-merge from runtime sizes.
+    A missing right row means the stream produced nothing (score null). A stream that
+    scored a transaction twice counts with its latest row (column ``scored_at``, then the
+    largest other values), so the request row count is kept. AQE chooses broadcast or
+    sort-merge from runtime sizes.
     """
-    out = requests.join(numerical.dropDuplicates([key]), key, "left")
+    out = requests.join(latest_score(numerical, key), key, "left")
     if nlp is not None:
-        out = out.join(nlp.dropDuplicates([key]), key, "left")
+        out = out.join(latest_score(nlp, key), key, "left")
     if voice is not None:
-        out = out.join(voice.dropDuplicates([key]), key, "left")
+        out = out.join(latest_score(voice, key), key, "left")
     return out
 
 
+def latest_score(scores: DataFrame, key: str = "transaction_id", at: str = "scored_at") -> DataFrame:
+    """One row per key: the latest by ``at`` where that column exists; ties to the largest other values."""
+    others = [c for c in scores.columns if c not in (key, at)]
+    order = F.struct(*([F.col(at)] if at in scores.columns else []), *others)
+    return scores.groupBy(key).agg(F.max(order).alias("_last")).select(key, *[F.col("_last")[c].alias(c) for c in others])
+
+
 # ----------------------------------------------------------------- evaluate
 
 def evaluate(df: DataFrame, policy: str = "service") -> DataFrame:
@@ -154,8 +167,8 @@ def evaluate(df: DataFrame, policy: str = "service") -> DataFrame:
     stage2 = stage1.withColumns({
         "w_numerical": w_num, "w_nlp": w_nlp, "w_voice": w_voice, "ensemble_mode": mode,
         "modalities_requested": FU.modality_list(("numerical", F.lit(True)), ("nlp", nlp_req), ("voice", voice_req)),
-        "modalities_used": FU.modality_list(("numerical", F.lit(True)), ("nlp", nlp_used), ("voice", voice_used)),
-        "modalities_failed": FU.modality_list(("nlp", nlp_failed), ("voice", voice_failed)),
+        "modalities_used": FU.modality_list(("numerical", s_num.isNotNull()), ("nlp", nlp_used), ("voice", voice_used)),
+        "modalities_failed": FU.modality_list(("numerical", s_num.isNull()), ("nlp", nlp_failed), ("voice", voice_failed)),
     })
     w_num, w_nlp, w_voice, mode = F.col("w_numerical"), F.col("w_nlp"), F.col("w_voice"), F.col("ensemble_mode")
     score = FU.fraud_score(s_num, s_nlp, s_voice, w_num, w_nlp, w_voice)
@@ -212,12 +225,13 @@ def evaluate(df: DataFrame, policy: str = "service") -> DataFrame:
         contrib_nlp = F.when(nlp_used, rnd(w_nlp * (s_nlp - F.lit(0.02)), 4))
         contrib_voice = F.when(voice_used, rnd(w_voice * (s_voice - F.lit(0.02)), 4))
 
-    return stage6.withColumns({
+    out = stage6.withColumns({
         "fraud_score": rnd(score, 4),
         "confidence": F.col("final_confidence"),
         "risk_level": FU.risk_level(score),
         "override_applied": F.col("override_reason").isNotNull(),
-        "status_numerical": F.lit("ok"),
+        "status_numerical": F.when(s_num.isNull(), "error").otherwise("ok"),
+        "error": F.when(s_num.isNull(), F.lit(C.NUMERICAL_MISSING)),
         "status_nlp": FU.modality_status(nlp_req, nlp_failed),
         "status_voice": FU.modality_status(voice_req, voice_failed),
         "contrib_numerical": contrib_num,
@@ -228,11 +242,26 @@ def evaluate(df: DataFrame, policy: str = "service") -> DataFrame:
         "model_version": F.lit(C.MODEL_VERSION),
         "policy": F.lit(policy),
     }).drop("_score", "_s_nlp", "_s_voice")
+    # without the required numerical score there is no decision: an error row
+    decided = F.col("status_numerical") == "ok"
+    return out.withColumns({
+        **{c: F.when(decided, F.col(c)) for c in DECIDED_COLUMNS},
+        "override_applied": decided & F.col("override_applied"),
+        "top_factors": F.when(decided, F.col("top_factors")).otherwise(F.slice("top_factors", 1, 0)),
+    })
+
+
+#: Null in error rows.
+DECIDED_COLUMNS = [
+    "fraud_score", "decision", "base_decision", "confidence", "risk_level", "ensemble_mode", "w_numerical", "w_nlp", "w_voice",
+    "base_confidence", "availability_penalty", "override_reason", "contrib_numerical", "contrib_nlp", "contrib_voice",
+    "narrative", "missing_note",
+]
 
 
 DECISION_COLUMNS = [
     "transaction_id", "fraud_score", "decision", "base_decision", "confidence", "risk_level",
-    "ensemble_mode", "model_version", "w_numerical", "w_nlp", "w_voice", "status_nlp", "status_voice",
+    "ensemble_mode", "model_version", "w_numerical", "w_nlp", "w_voice", "status_numerical", "status_nlp", "status_voice", "error",
     "base_confidence", "availability_penalty", "override_applied", "override_reason",
     "contrib_numerical", "contrib_nlp", "contrib_voice", "narrative", "missing_note",
 ]
@@ -251,6 +280,13 @@ def flatten_decision(df: DataFrame) -> DataFrame:
 
 def decision_pipeline(req: DataFrame, policy: str = "service", params: dict | None = None,
                       velocity: bool = True) -> DataFrame:
-    """Request table -> (velocity) -> rule + voice scores -> evaluate."""
-    df = with_velocity(req) if velocity else req
-    return evaluate(attach_rule_scores(df, policy, params), policy)
+    """Request table -> text + voice scores -> (velocity) -> numerical score -> evaluate.
+
+    Texts become scores in the scan; the velocity join then shuffles no text column.
+    """
+    df = attach_text_voice(resolve_modalities(req), policy, params).drop(*TEXT_COLS)
+    df = with_velocity(df) if velocity else df
+    return evaluate(attach_numerical(df, policy, params), policy)
+
+
+TEXT_COLS = ["merchant_text", "narrative_text", "invoice_text", "ticket_text"]

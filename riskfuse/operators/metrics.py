@@ -6,14 +6,14 @@ global window (which would pull every score into one task):
 
 1. ``groupBy(score)`` -> positives/negatives per distinct score (partial aggregation,
    so a score value holding a third of all rows is still one row);
-2. bucket the distinct scores by approximate quantile edges (<= ``buckets`` numbers
-   reach the driver);
-3. per-bucket totals (<= buckets+1 rows) -> prefix offsets -> broadcast;
-4. running sums inside each bucket (``Window.partitionBy(bucket)``) + offset.
+2. the distinct scores are range-partitioned, descending, and written once to the shared
+   folder with their range's number; as many ranges as the shuffle has partitions;
+3. per-range totals (one row per range) -> prefix offsets;
+4. running sums inside each range (``Window.partitionBy(bucket)``) + offset.
 
 AUC and average precision need no "previous row": the step of a point is its
-own count. Only the EER's collinear-point drop needs the next row, reached by an
-equi-join on the global index.
+own count. Only the EER's collinear-point drop needs the next row: ``lead`` inside the
+range, and the next range's first row from the table of ranges.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfuse.session import materialize
+
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     y = F.col(label).cast("int")
@@ -28,37 +30,37 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> D
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")))
 
 
-def prefix_counts(df: DataFrame, score: str = "score", label: str = "label",
-                  buckets: int = 256) -> DataFrame:
+def prefix_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Distinct thresholds in descending order with cumulative counts.
 
     Columns: score, pos, neg, idx (0-based rank, descending score), tp, fp,
-    P, N (class totals), M (number of distinct scores).
+    P, N (class totals), M (number of distinct scores), pos_next, neg_next (of the next
+    lower score; null at the last).
     """
     spark = df.sparkSession
-    g = score_counts(df, score, label)
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(g.approxQuantile("score", probs, 0.5 / buckets))) if buckets > 1 else []
-    edge_arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    gb = g.withColumn("bucket", F.size(F.filter(edge_arr, lambda e: e <= F.col("score"))))
-    totals = gb.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"),
-                                      F.count(F.lit(1)).alias("bc")).collect()  # <= len(edges)+1 rows
+    g = score_counts(df, score, label).repartitionByRange(F.col("score").desc())
+    g = materialize(g.withColumn("bucket", F.spark_partition_id()), "score-counts")
+    totals = g.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), F.count(F.lit(1)).alias("bc"),
+                                     F.max_by(F.struct("pos", "neg"), "score").alias("top")).collect()  # one row per range
     rows, acc_p, acc_n, acc_c = [], 0, 0, 0
-    for t in sorted(totals, key=lambda r: -r["bucket"]):
-        rows.append((int(t["bucket"]), acc_p, acc_n, acc_c))
+    totals = sorted(totals, key=lambda r: r["bucket"])
+    for t, after in zip(totals, [*(x["top"] for x in totals[1:]), None]):
+        rows.append((int(t["bucket"]), acc_p, acc_n, acc_c, after and after["pos"], after and after["neg"]))
         acc_p += int(t["bp"])
         acc_n += int(t["bn"])
         acc_c += int(t["bc"])
-    offsets = spark.createDataFrame(rows or [(0, 0, 0, 0)], "bucket int, off_p long, off_n long, off_c long")
-    w = (Window.partitionBy("bucket").orderBy(F.col("score").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (gb.join(F.broadcast(offsets), "bucket")
+    offsets = spark.createDataFrame(rows, "bucket int, off_p long, off_n long, off_c long, below_p long, below_n long")
+    by_score = Window.partitionBy("bucket").orderBy(F.col("score").desc())
+    w = by_score.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (g.join(offsets, "bucket")
             .select("score", "pos", "neg",
-                    (F.col("off_c") + F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("idx"),
+                    (F.col("off_c") + F.row_number().over(by_score) - 1).alias("idx"),
                     (F.col("off_p") + F.sum("pos").over(w)).alias("tp"),
                     (F.col("off_n") + F.sum("neg").over(w)).alias("fp"),
                     F.lit(acc_p).cast("long").alias("P"), F.lit(acc_n).cast("long").alias("N"),
-                    F.lit(acc_c).cast("long").alias("M")))
+                    F.lit(acc_c).cast("long").alias("M"),
+                    F.coalesce(F.lead("pos").over(by_score), F.col("below_p")).alias("pos_next"),
+                    F.coalesce(F.lead("neg").over(by_score), F.col("below_n")).alias("neg_next")))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -103,12 +105,10 @@ def eer(pc: DataFrame) -> DataFrame:
     of i (non-zero second difference of the cumulative curve); (0, 0) at +inf
     is prepended; the first point minimising |fnr - fpr| wins.
     """
-    nxt = pc.select((F.col("idx") - 1).alias("idx"), F.col("pos").alias("pos_next"), F.col("neg").alias("neg_next"))
-    j = pc.join(nxt, "idx", "left")
     last = F.col("M") - 1
     keep = ((F.col("idx") == 0) | (F.col("idx") == last) | (F.col("M") <= 2)
             | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
-    pts = j.filter(keep).select(
+    pts = pc.filter(keep).select(
         "idx", F.col("score").alias("thr"),
         (F.col("fp") / F.col("N")).alias("fpr"), (F.lit(1.0) - F.col("tp") / F.col("P")).alias("fnr"))
     start = pc.agg(F.lit(-1).cast("long").alias("idx"), F.lit(float("inf")).alias("thr"),

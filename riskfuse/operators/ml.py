@@ -7,39 +7,43 @@
                        with the idf shifted by +1 (``ElementwiseProduct``) and L2 ``Normalizer``.
 * ``train_logreg`` / ``train_svm`` - class-balanced linear models; C maps to
                        ``regParam = 1 / (C * sum of weights)`` with standardization off.
-* ``score_batch``    - a pluggable per-batch scorer (``mapInPandas``, model loaded once per
+* ``score_batch``    - a pluggable per-batch scorer (iterator pandas UDF, model loaded once per
                        task); rows it cannot score fall back to the keyword heuristic per row.
 """
 
-from __future__ import annotations
-
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normalizer, NGram, RegexTokenizer,
                                 SQLTransformer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
-from riskfuse.functions import text as T
 from riskfuse.functions.numeric import clip
+from riskfuse.operators.text_ops import with_heuristic
+
+
+#: Letters with marks: Latin, Greek and Cyrillic blocks that hold precomposed letters (fixed values).
+ACCENT_BLOCKS = ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000))
 
 
 def _accent_table() -> tuple[str, str]:
-    """Single-character accent folding for U+00C0..U+024F (Latin-1 Supplement and
-    Latin Extended-A/B), derived by rule: NFKD, drop combining marks, keep 1:1 maps."""
+    """Single-character accent folding, derived by rule: NFKD, drop combining marks, keep 1:1 maps."""
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
-        ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
-            src.append(ch)
-            dst.append(base)
+    for lo, hi in ACCENT_BLOCKS:
+        for ch in map(chr, range(lo, hi)):
+            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+            if len(base) == 1 and base != ch:
+                src.append(ch)
+                dst.append(base)
     return "".join(src), "".join(dst)
 
 
@@ -47,8 +51,8 @@ ACCENT_SRC, ACCENT_DST = _accent_table()
 
 
 def strip_accents(text: Column) -> Column:
-    """Native ``translate`` over the rule-built table (Latin scripts)."""
-    return F.translate(text, ACCENT_SRC, ACCENT_DST)
+    """Native ``translate`` over the rule-built table, then combining marks (decomposed letters) are dropped."""
+    return F.regexp_replace(F.translate(text, ACCENT_SRC, ACCENT_DST), "\\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -58,41 +62,47 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) >= 2)
 
 
-def uni_bigrams(toks: Column) -> Column:
-    bigrams = F.zip_with(toks, F.slice(toks, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(toks, F.filter(bigrams, lambda x: x.isNotNull() & F.contains(x, F.lit(" "))))
+def ngrams(toks: Column, n_max: int = 2) -> Column:
+    """All runs of 1 to ``n_max`` tokens, joined by spaces."""
+    runs, longer = toks, toks
+    for n in range(2, n_max + 1):
+        longer = F.zip_with(longer, F.slice(toks, n, 1 << 30), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+        longer = F.filter(longer, lambda x: x.isNotNull())
+        runs = F.concat(runs, longer)
+    return runs
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf) for every 1-2 gram of every document (partial aggregation per task)."""
-    return (docs.select(F.col(id_col).alias("doc"), F.explode(uni_bigrams(tokens(F.col(text_col)))).alias("term"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 2) -> DataFrame:
+    """(doc, term, tf) for every n-gram up to ``n_max`` of every document (partial aggregation per task)."""
+    return (docs.select(F.col(id_col).alias("doc"), F.explode(ngrams(tokens(F.col(text_col)), n_max)).alias("term"))
             .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fit_vocabulary(train_tc: DataFrame, n_docs: int, max_features: int = 50_000, min_df: int = 1,
-                   max_df: float = 1.0) -> DataFrame:
+def fit_vocabulary(train_tc: DataFrame, n_docs: int, max_features: int | None = None, min_df: int | float = 1,
+                   max_df: int | float = 1.0) -> DataFrame:
     """Vocabulary with smoothed idf = ln((1+n)/(1+df)) + 1.
 
-    Terms inside [min_df, max_df] are ranked by corpus frequency (ties: term order) and
-    the first ``max_features`` kept: a global top-k (per-task top-k, then a k-row merge),
-    so the result is bounded by ``max_features`` rows.
+    Terms inside [min_df, max_df] are kept (fractions count as shares of the documents). With
+    ``max_features`` only that many, by corpus frequency (ties: term order): a global top-k.
     """
+    low = min_df if isinstance(min_df, int) else min_df * n_docs
     high = max_df if isinstance(max_df, int) else max_df * n_docs
     stats = train_tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(high))))
-    top = kept.orderBy(F.col("ctf").desc(), F.col("term")).limit(max_features)
+    kept = stats.filter((F.col("df") >= F.lit(float(low))) & (F.col("df") <= F.lit(float(high))))
+    top = kept.orderBy(F.col("ctf").desc(), F.col("term")).limit(max_features) if max_features else kept
     return top.select("term", "df", (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df")))
                                      + F.lit(1.0)).alias("idf"))
 
 
-def tfidf_long(tc: DataFrame, vocab: DataFrame, digits: int = 10) -> DataFrame:
-    """(doc, term, weight) = tf * idf, L2-normalised per document.
+def tfidf_long(tc: DataFrame, vocab: DataFrame, digits: int = 10, sublinear_tf: bool = False) -> DataFrame:
+    """(doc, term, weight) = tf * idf, L2-normalised per document; ``sublinear_tf`` takes 1 + ln(tf).
 
-    The vocabulary is bounded by ``max_features`` rows, so it is broadcast; the norm is a
+    The vocabulary joins by term (Spark broadcasts it if it is small enough); the norm is a
     grouped sum per document joined back on the document id.
     """
-    w = tc.join(F.broadcast(vocab.select("term", "idf")), "term").select(
-        "doc", "term", (F.col("tf").cast("double") * F.col("idf")).alias("w"))
+    tf = F.col("tf").cast("double")
+    tf = F.lit(1.0) + F.log(tf) if sublinear_tf else tf
+    w = tc.join(vocab.select("term", "idf"), "term").select("doc", "term", (tf * F.col("idf")).alias("w"))
     norms = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, "doc").select("doc", "term", F.round(F.col("w") / F.col("norm"), digits).alias("weight"))
 
@@ -104,8 +114,8 @@ def tfidf_pipeline(text_col: str = "text", max_features: int = 50_000, min_df: f
     """Stages producing ``features`` (sklearn-style TF-IDF) from ``text_col``."""
     src, dst = ACCENT_SRC.replace("'", "''"), ACCENT_DST.replace("'", "''")
     return [
-        SQLTransformer(statement=f"SELECT *, translate(lower(coalesce({text_col}, '')), '{src}', '{dst}') "
-                                 f"AS _folded FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, regexp_replace(translate(lower(coalesce({text_col}, '')), '{src}', '{dst}'), "
+                                 f"'[\\u0300-\\u036f]+', '') AS _folded FROM __THIS__"),
         RegexTokenizer(inputCol="_folded", outputCol="_tok", pattern="[^\\p{L}\\p{N}_]+", gaps=True,
                        minTokenLength=2, toLowercase=False),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
@@ -129,21 +139,9 @@ def balanced_weights(df: DataFrame, label: str = "label", col: str = "weight") -
     return with_class_weight(df, label, col)
 
 
-ROWS_PER_TRAIN_PARTITION = 50_000
-
-
-def _training_input(data: DataFrame) -> tuple[DataFrame, float]:
-    """Total weight (one aggregate) and a partition count sized to the rows.
-
-    Every optimizer iteration is one distributed pass; a small training set spread over
-    many partitions pays the task overhead on each of hundreds of iterations, so it is
-    coalesced to ~50k rows per partition (large sets keep their partitioning).
-    """
-    stats = data.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
-    want = max(1, -(-int(stats["n"]) // ROWS_PER_TRAIN_PARTITION))
-    if data.rdd.getNumPartitions() > want:
-        data = data.coalesce(want)
-    return data, float(stats["w"])
+def total_weight(data: DataFrame) -> float:
+    """Sum of the row weights (one aggregate); partitions stay as they are."""
+    return float(data.agg(F.sum("weight")).first()[0])
 
 
 def train_logreg(train: DataFrame, C_: float = 1.0, max_iter: int = 2000, label: str = "label",
@@ -151,7 +149,7 @@ def train_logreg(train: DataFrame, C_: float = 1.0, max_iter: int = 2000, label:
     """L2 logistic regression; sklearn's C maps to regParam = 1 / (C * sum of weights),
     and its default tolerance 1e-4 is kept (MLlib's own default 1e-6 runs to the cap)."""
     data = balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
-    data, total_w = _training_input(data)
+    total_w = total_weight(data)
     lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
                             regParam=1.0 / (C_ * total_w), elasticNetParam=0.0, standardization=False, tol=tol)
     return lr.fit(data.withColumn(label, F.col(label).cast("double")))
@@ -160,7 +158,8 @@ def train_logreg(train: DataFrame, C_: float = 1.0, max_iter: int = 2000, label:
 def train_svm(train: DataFrame, C_: float = 1.0, max_iter: int = 5000, label: str = "label",
               features: str = "features", tol: float = 1e-4):
     """Class-balanced linear SVM (hinge loss; the reference's default is squared hinge)."""
-    data, total_w = _training_input(balanced_weights(train, label))
+    data = balanced_weights(train, label)
+    total_w = total_weight(data)
     svc = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
                     regParam=1.0 / (C_ * total_w), standardization=False, tol=tol)
     return svc.fit(data.withColumn(label, F.col(label).cast("double")))
@@ -177,9 +176,10 @@ def embeddings_features(df: DataFrame, col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(col, lambda v: v.cast("double"))))
 
 
-def train_voice_lr(df: DataFrame, label: str = "label", max_iter: int = 1000, tol: float = 1e-4):
+def train_voice_lr(df: DataFrame, label: str = "label", max_iter: int = 2000, tol: float = 1e-4):
     """Unweighted L2 logistic regression on embeddings (C = 1 -> regParam = 1/n)."""
-    data, n = _training_input(embeddings_features(df).withColumn("weight", F.lit(1.0)))
+    data = embeddings_features(df).withColumn("weight", F.lit(1.0))
+    n = total_weight(data)
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
                             regParam=1.0 / n, elasticNetParam=0.0, standardization=False, tol=tol)
     return lr.fit(data.withColumn(label, F.col(label).cast("double")))
@@ -187,33 +187,49 @@ def train_voice_lr(df: DataFrame, label: str = "label", max_iter: int = 1000, to
 
 # ------------------------------------------------------------------ batch scoring
 
-def score_batch(df: DataFrame, scorer: Callable, version: str, text_col: str = "text",
-                id_col: str = "transaction_id") -> DataFrame:
-    """Score texts with a pluggable Python model, per Arrow batch (``mapInPandas``).
+def score_batch(df: DataFrame, loader: Callable, version: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``score`` and ``model_version`` from a pluggable Python model.
 
-    ``scorer(pandas.Series[str]) -> pandas.Series[float]`` is called once per batch; the
-    model it wraps is loaded once per task by the caller's closure. NaN / errors for a
-    batch leave the score null and those rows get the heuristic score with version
-    ``heuristic_v1`` (the service's per-request fallback), computed natively.
+    ``loader()`` is called once per task and returns ``scorer(pandas.Series[str]) ->
+    pandas.Series[float]``, which scores Arrow batches. Rows for which it returns NaN get the keyword
+    heuristic, computed natively, with version ``heuristic_v1``: count that version to see how
+    many fell back. An error of the model fails the job.
     """
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-        for pdf in batches:
-            try:
-                s = pd.Series(scorer(pdf[text_col]), index=pdf.index, dtype="float64")
-            except Exception:  # noqa: BLE001 - the batch falls back to the heuristic
-                s = pd.Series([float("nan")] * len(pdf), index=pdf.index, dtype="float64")
-            yield pd.DataFrame({id_col: pdf[id_col], text_col: pdf[text_col], "model_score": s})
-
-    scored = df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, {text_col} string, model_score double")
-    ok = F.col("model_score").isNotNull() & ~F.isnan("model_score")
+    @F.pandas_udf("double")
+    def model(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = loader()
+        for texts in batches:
+            yield pd.Series(scorer(texts), index=texts.index, dtype="float64")
+
+    scored = with_heuristic(df.withColumn("_model_score", model(F.col(text_col))), text_col, "_heuristic")
+    ok = F.col("_model_score").isNotNull() & ~F.isnan("_model_score")
     return scored.select(
-        id_col, text_col,
-        F.when(ok, clip(F.col("model_score"), 0.0, 1.0))
-        .otherwise(T.heuristic_risk(F.col(text_col))).alias("score"),
+        *df.columns,
+        F.when(ok, clip(F.col("_model_score"), 0.0, 1.0)).otherwise(F.col("_heuristic")).alias("score"),
         F.when(ok, F.lit(version)).otherwise(F.lit(C.HEURISTIC_VERSION)).alias("model_version"))
 
 
+def choose_backend(backends: dict, preferred: str | None = None, order=("transformer", "sklearn")) -> str | None:
+    """Name of the model backend to use: the preferred one if it is there, else the first of ``order``
+    that is, else none (the heuristic). ``backends`` maps names to loaders; None means absent."""
+    names = [preferred] if preferred else []
+    return next((n for n in [*names, *order] if backends.get(n) is not None), None)
+
+
+def gradient_norm(data: DataFrame, model, label: str = "label", features: str = "features") -> float:
+    """Norm of the gradient of the class-balanced logistic loss (C = 1) at a model's coefficients:
+    two weighted sums of the feature vectors, one for each sign of the residual."""
+    import numpy as np
+    rows = balanced_weights(data, label)
+    total = total_weight(rows)
+    rows = model.transform(rows).withColumn("_r", (vector_to_array("probability")[1] - F.col(label)) * F.col("weight"))
+    parts = rows.select(Summarizer.sum(F.col(features), F.greatest("_r", F.lit(0.0))).alias("up"),
+                        Summarizer.sum(F.col(features), F.greatest(-F.col("_r"), F.lit(0.0))).alias("down"), F.sum("_r").alias("bias")).first()
+    beta = model.coefficients.toArray()
+    gradient = (parts["up"].toArray() - parts["down"].toArray() + beta) / total
+    return float(np.sqrt((gradient ** 2).sum() + (parts["bias"] / total) ** 2))
+
+
 def resolve_threshold(override: float | None, metadata: dict | None, kind: str) -> float:
     """Decision threshold: explicit override, then model metadata, then 0.5 (0.0039 for
     the transformer kind)."""

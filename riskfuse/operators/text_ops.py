@@ -75,8 +75,11 @@ def typosquat_distance(df: DataFrame, text_col: str = "merchant_text", id_col: s
     the comparison is an in-row ``transform`` (no join, no pair generation)."""
     toks = df.select(id_col, F.posexplode(T.merchant_tokens(F.col(text_col))).alias("pos", "token"))
     folded = T.fold_digits(F.col("token"))
-    hits = compact([((F.levenshtein(folded, F.lit(b)) <= 1) & (F.col("token") != F.lit(b)),
-                     F.struct(F.lit(b).alias("brand"), F.levenshtein(folded, F.lit(b)).alias("distance")))
+    def near(b):  # -1 beyond the threshold, which also ends the comparison early
+        return F.levenshtein(folded, F.lit(b), 1)
+
+    hits = compact([((near(b) >= 0) & (F.col("token") != F.lit(b)),
+                     F.struct(F.lit(b).alias("brand"), near(b).alias("distance")))
                     for b in brands], "struct<brand:string,distance:int>")
     return (toks.select(id_col, "pos", "token", F.explode(hits).alias("h"))
             .select(id_col, "pos", "token", "h.brand", "h.distance"))

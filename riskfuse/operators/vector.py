@@ -81,17 +81,19 @@ def spoof_label(bonafide_prob: Column, threshold: float = C.VOICE_THRESHOLD) ->
 
 
 def label_to_int(label: Column) -> Column:
-    return F.when(F.lower(label) == "bonafide", F.lit(1)).otherwise(F.lit(0))
+    """1 for exactly ``bonafide``, else 0."""
+    return F.when(label == "bonafide", F.lit(1)).otherwise(F.lit(0))
 
 
 def class_weights(df: DataFrame, label: str = "label", n_classes: int = 2) -> DataFrame:
     """n / (n_classes * n_c) per class (one grouped count; the class table is tiny)."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over the per-class rows only
+    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
+    total = F.lit(total)
     return counts.withColumn("weight", total.cast("double") / (F.lit(float(n_classes)) * F.col("n").cast("double")))
 
 
 def with_class_weight(df: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:
-    """Attach the class weight per row (broadcast of a <= n_classes-row table)."""
+    """Attach the class weight per row (the class table is small enough for Spark to broadcast it)."""
     w = class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias(col))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)

@@ -29,7 +29,7 @@ vel AS (SELECT vk, vd, sum(vn) OVER (PARTITION BY vk ORDER BY vd
             RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS cnt FROM daily),
 req_v AS (
   SELECT req.*, vel.cnt AS txn_count_window,
-         round(least(0.5e0, 0.1e0 + 0.1e0 * (CAST(vel.cnt AS DOUBLE) - 1)), 4) AS velocity_risk
+         round(CASE WHEN vel.cnt IS NULL THEN 0.1e0 ELSE least(0.5e0, 0.1e0 + 0.1e0 * (CAST(vel.cnt AS DOUBLE) - 1)) END, 4) AS velocity_risk
   FROM reqf AS req LEFT JOIN vel ON req.cust_id = vel.vk AND CAST(req.ts AS DATE) = vel.vd)"""
 
 
@@ -191,6 +191,7 @@ SELECT ev.transaction_id,
   CASE WHEN fs <= 0.25e0 THEN 'low' WHEN fs <= 0.50e0 THEN 'medium' WHEN fs <= 0.75e0 THEN 'high'
        ELSE 'critical' END AS risk_level,
   ensemble_mode, '2.0.0' AS model_version, w_numerical, w_nlp, w_voice,
+  'ok' AS status_numerical, CAST(NULL AS VARCHAR) AS error,
   CASE WHEN NOT nlp_requested THEN 'unavailable' WHEN nlp_failed THEN 'error' ELSE 'ok' END AS status_nlp,
   CASE WHEN NOT voice_requested THEN 'unavailable' WHEN voice_failed THEN 'error' ELSE 'ok' END AS status_voice,
   base_confidence, availability_penalty,

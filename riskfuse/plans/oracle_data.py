@@ -99,8 +99,8 @@ def alloc_ctes(counts: str, n_draws: str, out: str, tag: str) -> str:
 {out} AS (SELECT label, cnt, CAST(fl AS BIGINT) + CASE WHEN rr <= need THEN 1 ELSE 0 END AS alloc FROM {tag}3)"""
 
 
-def rank_cte(src: str, key: str) -> str:
-    return f"rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || {key})) - 1 AS r FROM {src})"
+def rank_cte(src: str, key: str, ties: str = "") -> str:
+    return f"rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || {key}){ties}) - 1 AS r FROM {src})"
 
 
 SPLIT_CTES = f"""
@@ -119,11 +119,11 @@ SELECT rk.transaction_id, rk.label,
 FROM rk JOIN tr ON rk.label = tr.label JOIN va ON rk.label = va.label""")
 
 
-def sample_ctes(src: str, n: int, key: str) -> str:
+def sample_ctes(src: str, n: int, key: str, ties: str = "") -> str:
     return f"""
 c AS (SELECT label, count(*) AS cnt FROM {src} GROUP BY label),
 {alloc_ctes('c', str(n), 'al', 'a')},
-{rank_cte(src, key)},
+{rank_cte(src, key, ties)},
 smp AS (SELECT rk.* FROM rk JOIN al ON rk.label = al.label
         WHERE (SELECT sum(cnt) FROM c) <= {n} OR r < al.alloc)"""
 
@@ -173,8 +173,10 @@ register("to_nlp_input", f"""WITH {LEDGER_CTE}
 SELECT ledger_id AS transaction_id, {PAYSIM_TEXT} AS text, 'narrative' AS text_source, 'en' AS language,
        CAST(amount AS DOUBLE) AS amount, CAST(type AS VARCHAR) AS transaction_type, 'paysim' AS dataset_source FROM led""")
 register("union_datasets", f"""WITH {INTERIM_CTES}, u AS (SELECT * FROM pay UNION ALL SELECT * FROM iee)
-SELECT dataset_source, label, count(*) AS n FROM u GROUP BY 1, 2""")
+SELECT * FROM u""")
 register("drop_duplicates", f"""WITH {L_CTE}, d AS (SELECT DISTINCT text, label, amount, transaction_type, dataset_source FROM l)
+SELECT * FROM d""")
+register("drop_duplicates_counts", f"""WITH {L_CTE}, d AS (SELECT DISTINCT text, label, amount, transaction_type, dataset_source FROM l)
 SELECT (SELECT count(*) FROM l) AS rows_before, (SELECT count(*) FROM d) AS rows_after,
        (SELECT count(*) FROM l) - (SELECT count(*) FROM d) AS removed""")
 register("clean_dataset", f"""WITH {L_CTE}, s AS (SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
@@ -185,15 +187,15 @@ _IEEE_COLS = ("TransactionID", "TransactionAmt", "isFraud", "ProductCD", "card4"
               "R_emaildomain", "DeviceType", "DeviceInfo", "id_31", "id_30", "id_33", "addr1", "addr2")
 register("drop_na_all", f"WITH {IEEE_CTE} SELECT TransactionID FROM ie WHERE "
          + " AND ".join(f"{c} IS NOT NULL" for c in _IEEE_COLS))
-register("default_source", f"WITH {L_CTE} SELECT 'documents' AS dataset_source, count(*) AS n FROM l")
+register("default_source", f"WITH {L_CTE} SELECT transaction_id, label, 'documents' AS dataset_source FROM l")
 
 register("clean_then_sample", f"""WITH {INTERIM_CTES},
 u AS (SELECT * FROM pay UNION ALL SELECT * FROM iee),
-cl0 AS (SELECT transaction_id, {strip('text')} AS text, CAST(label AS INTEGER) AS label, dataset_source
+cl0 AS (SELECT transaction_id, {strip('text')} AS text, CAST(label AS INTEGER) AS label, amount, transaction_type, dataset_source
         FROM u WHERE text IS NOT NULL AND label IS NOT NULL),
 cl AS (SELECT * FROM cl0 WHERE text <> ''),
-{sample_ctes('cl', 2000, "dataset_source || ':' || transaction_id")}
-SELECT dataset_source, count(*) AS n FROM smp GROUP BY dataset_source""")
+{sample_ctes('cl', 2000, "dataset_source || ':' || transaction_id", ", transaction_id, text, amount, transaction_type, dataset_source")}
+SELECT transaction_id, text, label, amount, transaction_type, dataset_source FROM smp""")
 
 register("left_join_identity", f"""WITH {LEDGER_CTE}, idn AS ({IDENTITY_SQL})
 SELECT led.ledger_id, led.cust_id, idn.device_type, idn.acct_balance FROM led LEFT JOIN idn ON led.cust_id = idn.cust_id""")

@@ -54,7 +54,20 @@ SELECT count(*) AS total_processed, count(*) FILTER (WHERE decision = 'approve')
        count(*) FILTER (WHERE decision = 'block') AS total_blocked
 FROM decisions""")
 
-register("join_streams", service_chain() + "SELECT * FROM decisions")
+# every 23rd numerical call failed: those rows carry an error and no decision
+_NO_NUM = "CAST(transaction_id AS BIGINT) % 23 = 0"
+_NULLED = ("fraud_score", "decision", "base_decision", "confidence", "risk_level", "ensemble_mode", "w_numerical", "w_nlp", "w_voice",
+           "base_confidence", "availability_penalty", "override_reason", "contrib_numerical", "contrib_nlp", "contrib_voice",
+           "narrative", "missing_note")
+register("join_streams", service_chain() + "SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN NOT {_NO_NUM} THEN {c} END AS {c}" for c in _NULLED) + f""",
+  override_applied AND NOT {_NO_NUM} AS override_applied,
+  CASE WHEN {_NO_NUM} THEN '' ELSE top_factors END AS top_factors,
+  CASE WHEN {_NO_NUM} THEN 'error' ELSE 'ok' END AS status_numerical,
+  CASE WHEN {_NO_NUM} THEN '{C.NUMERICAL_MISSING}' END AS error,
+  CASE WHEN {_NO_NUM} THEN regexp_replace(modalities_used, '^numerical,?', '') ELSE modalities_used END AS modalities_used,
+  CASE WHEN {_NO_NUM} THEN concat_ws(',', 'numerical', nullif(modalities_failed, '')) ELSE modalities_failed END AS modalities_failed)
+FROM decisions""")
 
 register("velocity_risk", f"""
 WITH {REQ_CTE}, reqf AS (SELECT * FROM req), {VEL_CTES}
@@ -147,7 +160,7 @@ FROM dn2
 def _locale_amount(x: str) -> str:
     """JS toLocaleString (en-US) of a 2-decimal amount: grouping, no trailing zeros."""
     cents = f"CAST(round({x} * 100e0) AS BIGINT)"
-    return (f"(format('{{:,}}', CAST(floor({x}) AS BIGINT)) || CASE WHEN {cents} % 100 = 0 THEN '' "
+    return (f"(format('{{:,}}', CAST(floor({cents} / 100) AS BIGINT)) || CASE WHEN {cents} % 100 = 0 THEN '' "
             f"WHEN {cents} % 10 = 0 THEN '.' || CAST(CAST(({cents} % 100) / 10 AS BIGINT) AS VARCHAR) "
             f"ELSE '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0') END)")
 
@@ -261,6 +274,7 @@ SELECT ev.transaction_id, round(fs, 4) AS fraud_score, decision, decision AS bas
   CASE WHEN fs <= 0.25e0 THEN 'low' WHEN fs <= 0.50e0 THEN 'medium' WHEN fs <= 0.75e0 THEN 'high'
        ELSE 'critical' END AS risk_level,
   ensemble_mode, '2.0.0' AS model_version, w_numerical, w_nlp, w_voice,
+  'ok' AS status_numerical, CAST(NULL AS VARCHAR) AS error,
   CASE WHEN NOT nlp_requested THEN 'unavailable' WHEN nlp_failed THEN 'error' ELSE 'ok' END AS status_nlp,
   CASE WHEN NOT voice_requested THEN 'unavailable' WHEN voice_failed THEN 'error' ELSE 'ok' END AS status_voice,
   round(_base_raw, 4) AS base_confidence, availability_penalty,

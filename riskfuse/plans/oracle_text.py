@@ -98,7 +98,7 @@ pick AS (
     CASE WHEN __COMBINE__ AND {_N_PARTS} > 1 THEN 'combined' ELSE {_CHOOSE_SRC} END AS src0,
     CASE WHEN __COMBINE__ AND {_N_PARTS} > 1 THEN {_COMBINED} ELSE {_CHOOSE_TXT} END AS txt0
   FROM tv),
-cl AS (SELECT transaction_id, language, src0, {clean('txt0', max_chars=C.MAX_CHARS)} AS c FROM pick),
+cl AS (SELECT transaction_id, language, src0, {clean('txt0')} AS c FROM pick),
 canon AS (
   SELECT transaction_id,
     CASE WHEN {strip('c')} = '' THEN '{C.NO_TEXT}' ELSE c END AS text,
@@ -107,6 +107,16 @@ canon AS (
   FROM cl)"""
 
 register("canonicalize", "WITH " + CANON_CTES.replace("__COMBINE__", "true") + "\nSELECT * FROM canon")
+
+
+def _doc_canon(cut) -> str:
+    return f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS transaction_id, lang, {clean('text', max_chars=cut)} AS c FROM documents)
+SELECT transaction_id, CASE WHEN {strip('c')} = '' THEN '{C.NO_TEXT}' ELSE c END AS text,
+       CASE WHEN {strip('c')} = '' THEN 'combined' ELSE 'narrative' END AS text_source, coalesce(lang, 'en') AS language FROM c"""
+
+
+register("canonicalize_documents", _doc_canon(None))
+register("canonicalize_cut", _doc_canon(6000))
 register("choose_source", "WITH " + CANON_CTES.replace("__COMBINE__", "false") + "\nSELECT * FROM canon")
 register("nlp_output", "WITH " + CANON_CTES.replace("__COMBINE__", "true") + f"""
 SELECT transaction_id, text_source, {heuristic('text')} AS score_nlp, '{C.HEURISTIC_VERSION}' AS model_version,
@@ -114,6 +124,15 @@ SELECT transaction_id, text_source, {heuristic('text')} AS score_nlp, '{C.HEURIS
   CAST(NULL AS DOUBLE) AS predicted_fraud, CAST(NULL AS BOOLEAN) AS low_confidence
 FROM canon""")
 
+register("nlp_output_model", f"""WITH d AS ({_doc_canon(None)}),
+m AS (SELECT *, CASE WHEN length(text) >= 200 THEN CAST(length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS DOUBLE) / length(text) END AS model FROM d),
+s AS (SELECT *, greatest(0e0, least(1e0, coalesce(model, {heuristic('text')}))) AS score FROM m)
+SELECT transaction_id, score AS score_nlp, CASE WHEN model IS NULL THEN '{C.HEURISTIC_VERSION}' ELSE 'vowels_v1' END AS model_version,
+  CASE WHEN contains(text, '{C.NO_TEXT}') OR length({strip('text')}) < 8 OR model IS NULL THEN 'degraded' ELSE 'ok' END AS status,
+  CASE WHEN model IS NOT NULL THEN 0.3e0 END AS threshold_used,
+  CASE WHEN model IS NOT NULL THEN CAST(score >= 0.3e0 AS DOUBLE) END AS predicted_fraud,
+  CASE WHEN model IS NOT NULL THEN abs(score - 0.3e0) < 0.05e0 END AS low_confidence FROM s""")
+
 _BRANDS = ", ".join(f"('{b}')" for b in C.WATCHED_BRANDS)
 register("typosquat_distance", f"""
 WITH {REQ_CTE},

@@ -129,12 +129,17 @@ def q_to_nlp_input(spark, sf_dir):
 
 @query("union_datasets")
 def q_union_datasets(spark, sf_dir):
-    u = paysim_interim(spark, sf_dir).unionByName(ieee_interim(spark, sf_dir))
-    return u.groupBy("dataset_source", "label").agg(F.count(F.lit(1)).alias("n"))
+    return paysim_interim(spark, sf_dir).unionByName(ieee_interim(spark, sf_dir))
 
 
 @query("drop_duplicates")
 def q_drop_duplicates(spark, sf_dir):
+    """The distinct rows themselves."""
+    return labelled(spark, sf_dir).drop("transaction_id").distinct()
+
+
+@query("drop_duplicates_counts")
+def q_drop_duplicates_counts(spark, sf_dir):
     """Whole-row dedup with the removed count, in one grouped pass (copies counted per group)."""
     df = labelled(spark, sf_dir).drop("transaction_id")
     groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
@@ -155,7 +160,7 @@ def q_drop_na_all(spark, sf_dir):
 @query("default_source")
 def q_default_source(spark, sf_dir):
     df = V.default_source(labelled(spark, sf_dir).drop("dataset_source"), "documents")
-    return df.groupBy("dataset_source").agg(F.count(F.lit(1)).alias("n"))
+    return df.select("transaction_id", "label", "dataset_source")
 
 
 @query("clean_then_sample")
@@ -164,8 +169,7 @@ def q_clean_then_sample(spark, sf_dir):
     so rows are keyed by source + id for the sampling order."""
     u = paysim_interim(spark, sf_dir).unionByName(ieee_interim(spark, sf_dir))
     c = V.clean_dataset(u).withColumn("_sid", F.concat_ws(":", "dataset_source", "transaction_id"))
-    s = DS.stratified_sample(c, MIX_SAMPLE_N, id_col="_sid")
-    return AG.source_mix(s)
+    return DS.stratified_sample(c, MIX_SAMPLE_N, id_col="_sid").drop("_sid")
 
 
 @query("left_join_identity")
@@ -210,7 +214,8 @@ def q_histogram_fraud_amount(spark, sf_dir):
 
 @query("histogram_text_length")
 def q_histogram_text_length(spark, sf_dir):
-    return AG.histogram(read_table(spark, sf_dir, "documents"), "n_chars", 60)
+    d = read_table(spark, sf_dir, "documents").select(F.length("text").alias("n_chars"))
+    return AG.histogram(d, "n_chars", 60)
 
 
 @query("dataset_summary")

@@ -22,14 +22,14 @@ LABELLED_SCHEMA = ("transaction_id string, text string, label int, amount double
 def q_src_csv(spark, sf_dir):
     path = work_dir(spark, "csv")
     IO.write_csv(view(spark, sf_dir, "labelled"), path)
-    return IO.read_csv(spark, path, LABELLED_SCHEMA)
+    return IO.read_csv(spark, path, LABELLED_SCHEMA, multi_line=True)  # texts hold line breaks
 
 
 @query("src_csv_pruned")
 def q_src_csv_pruned(spark, sf_dir):
     path = work_dir(spark, "csv")
     IO.write_csv(view(spark, sf_dir, "labelled"), path)
-    return IO.read_csv(spark, path, LABELLED_SCHEMA, columns=["transaction_id", "label"])
+    return IO.read_csv(spark, path, LABELLED_SCHEMA, columns=["transaction_id", "label"], multi_line=True)
 
 
 @query("src_jsonl")
@@ -49,6 +49,17 @@ def q_src_jsonl(spark, sf_dir):
     return TO.canonicalize(V.valid_only(V.val_text_req(flat)), combine=True)
 
 
+@query("src_jsonl_rejects")
+def q_src_jsonl_rejects(spark, sf_dir):
+    """Every ninth request line is cut in half: the reader must hand back exactly those lines."""
+    req = view(spark, sf_dir, "txn_req")
+    line = F.concat(F.lit('{"transaction_id": "'), F.col("transaction_id"), F.lit('", "language": "en"}'))
+    lines = req.select(F.when(F.col("okey") % 9 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    path = work_dir(spark, "jsonl")
+    lines.write.mode("overwrite").text(path)
+    return IO.rejected_lines(spark, path)
+
+
 @query("transcript_flatten")
 def q_transcript_flatten(spark, sf_dir):
     """One transcript per conversation turn (words + spacing entries), written as JSON,
@@ -85,8 +96,11 @@ def q_src_protocol(spark, sf_dir):
 
 @query("sink_jsonl_audit")
 def q_sink_jsonl_audit(spark, sf_dir):
-    n = IO.export_jsonl(audit_log(spark, sf_dir), work_dir(spark, "audit-jsonl"))
-    return spark.createDataFrame([(n,)], "rows_written long")
+    """The audit log as JSON lines, read back."""
+    path = work_dir(spark, "audit-jsonl")
+    log = audit_log(spark, sf_dir)
+    log.write.json(path)
+    return spark.read.schema(log.schema).json(path).select("request_id", "transaction_id", "timestamp", "decision", "fraud_score", "confidence")
 
 
 @query("sink_jsonl_sample")
@@ -106,8 +120,15 @@ def q_sink_metrics(spark, sf_dir):
     return spark.read.json(path)
 
 
+@query("sink_report")
+def q_sink_report(spark, sf_dir):
+    path = work_dir(spark, "report")
+    IO.write_report(M.eval_at_threshold(view(spark, sf_dir, "preds"), 0.5), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("sink_splits")
 def q_sink_splits(spark, sf_dir):
     path = work_dir(spark, "splits")
     IO.write_splits(DS.stratified_split(view(spark, sf_dir, "labelled")), path)
-    return spark.read.parquet(path).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select("transaction_id", "label", "split")

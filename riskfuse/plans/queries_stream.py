@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from riskfuse.operators import audit as AU
 from riskfuse.operators import fusion as FO
 from riskfuse.plans.registry import audit_log, query, valid_requests
-from riskfuse.session import read_table
+from riskfuse.session import materialize, read_table
 from riskfuse.streaming import stream as ST
 
-N_FILES = 8
-
-
 def _request_stream(spark, sf_dir):
     """Valid requests with their upstream velocity feature, staged as files and read as a stream."""
     req = FO.with_velocity(valid_requests(spark, sf_dir))
     src = ST.work_dir(spark, "requests")
-    ST.stage_files(req, src, N_FILES)
+    ST.stage_files(req, src)
     return spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 4).parquet(src)
 
 
@@ -39,17 +36,13 @@ def q_stream_counters(spark, sf_dir):
 
 @query("stream_velocity")
 def q_stream_velocity(spark, sf_dir):
-    """Per-user event counts in 1-hour event-time windows (watermark 1 hour, update mode)."""
+    """Per-user event counts in 1-hour event-time windows (watermark 1 hour, update mode), staged by
+    one job in ranges of event time."""
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts")
-    key = F.unix_micros(F.col("ts").cast("timestamp"))   # numeric event-time key (same session rules as rows)
-    keyed = ev.withColumn("_k", key)
-    lo_hi = keyed.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
-    lo, hi = int(lo_hi["lo"]), int(lo_hi["hi"])
-    bounds = [lo + (hi - lo) * i // N_FILES for i in range(N_FILES)] + [hi + 1]
     src, sink, ck = ST.work_dir(spark, "events"), ST.work_dir(spark, "velocity"), ST.work_dir(spark, "ck")
-    ST.stage_files_ordered(keyed, src, bounds, "_k")
-    ev = keyed.drop("_k")
-    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(src).drop("_k")
+    ST.stage_files_ordered(ev, src, "ts")
+    # files of one job have no order in time, so they are one micro-batch: none is late for another
+    stream = spark.readStream.schema(ev.schema).parquet(src)
     ST.run_available_now(ST.velocity_windows(stream, "user_id", "ts"), sink, ck, mode="update", sink="log")
     return ST.latest_by_key(spark.read.parquet(sink), ["user_id", "window_start", "window_end"], [])
 
@@ -59,7 +52,7 @@ def q_stream_audit_sink(spark, sf_dir):
     """Audit rows through a replay-safe batch-partitioned log; last write per request wins."""
     log_rows = audit_log(spark, sf_dir)
     src, sink, ck = ST.work_dir(spark, "audit-src"), ST.work_dir(spark, "audit"), ST.work_dir(spark, "ck")
-    ST.stage_files(log_rows, src, N_FILES)
+    ST.stage_files(log_rows, src)
     stream = spark.readStream.schema(log_rows.schema).option("maxFilesPerTrigger", 2).parquet(src)
     ST.run_available_now(stream, sink, ck, sink="log")
     latest = ST.latest_by_key(spark.read.parquet(sink), "request_id", ["timestamp", "transaction_id"])
@@ -68,18 +61,30 @@ def q_stream_audit_sink(spark, sf_dir):
 
 @query("stream_refuse")
 def q_stream_refuse(spark, sf_dir):
-    """Text and voice score streams joined per transaction within 10 minutes (left outer)."""
-    scored = FO.attach_rule_scores(FO.with_velocity(valid_requests(spark, sf_dir)))
+    """Transactions scored by numbers and text, fused anew when their voice score arrives within ten
+    minutes; without one, the fallback row of the two other scores."""
+    req = FO.attach_text_voice(valid_requests(spark, sf_dir)).drop(*FO.TEXT_COLS)
+    scored = materialize(FO.attach_numerical(FO.with_velocity(req)), "refuse-scores")
     text = scored.filter(F.col("score_nlp").isNotNull()).select(
-        "transaction_id", F.col("ts").alias("text_ts"), "score_nlp")
+        "transaction_id", F.col("ts").alias("text_ts"), "score_numerical", "score_nlp")
     voice = scored.filter(F.col("score_voice").isNotNull()).select(
         "transaction_id", (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("okey") % 13).cast("int")))
         .alias("voice_ts"), "score_voice")
     t_src, v_src = ST.work_dir(spark, "text"), ST.work_dir(spark, "voice")
-    ST.stage_files(text, t_src, N_FILES)
-    ST.stage_files(voice, v_src, N_FILES)
-    ts = spark.readStream.schema(text.schema).parquet(t_src)
-    vs = spark.readStream.schema(voice.schema).parquet(v_src)
     sink, ck = ST.work_dir(spark, "refuse"), ST.work_dir(spark, "ck")
-    ST.run_available_now(ST.refuse_join(ts, vs), sink, ck)
-    return spark.read.parquet(sink)
+    ST.stage_files(text, t_src)
+    ST.stage_files(voice, v_src)
+
+    def run():
+        ts = spark.readStream.schema(text.schema).parquet(t_src)
+        vs = spark.readStream.schema(voice.schema).parquet(v_src)
+        ST.run_available_now(ST.refuse(ST.refuse_join(ts, vs)), sink, ck)
+
+    run()
+    # a closing record on either side moves the watermark past all rows that still wait
+    end = text.agg((F.max("text_ts") + F.expr("INTERVAL 1 DAY")).alias("at")).withColumn("id", F.lit(ST.CLOSING))
+    ST.stage_files(end.select(F.col("id").alias("transaction_id"), F.col("at").alias("text_ts"),
+                              F.lit(0.0).alias("score_numerical"), F.lit(0.0).alias("score_nlp")), t_src)
+    ST.stage_files(end.select(F.col("id").alias("transaction_id"), F.col("at").alias("voice_ts"), F.lit(0.0).alias("score_voice")), v_src)
+    run()
+    return spark.read.parquet(sink).filter(F.col("transaction_id") != ST.CLOSING)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskfuse import config as C
 from riskfuse.functions import rules as R
 from riskfuse.functions import text as T
 from riskfuse.operators import text_ops as TO
@@ -64,6 +65,34 @@ def q_choose_source(spark, sf_dir):
     return TO.canonicalize(valid_text_requests(spark, sf_dir), combine=False)
 
 
+def document_requests(spark, sf_dir):
+    """Every document as a text request whose narrative is the whole text."""
+    return documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("transaction_id"),
+                                           F.col("text").alias("narrative_text"), F.col("lang").alias("language"))
+
+
+@query("canonicalize_documents")
+def q_canonicalize_documents(spark, sf_dir):
+    return TO.canonicalize(document_requests(spark, sf_dir))
+
+
+@query("canonicalize_cut")
+def q_canonicalize_cut(spark, sf_dir):
+    """The service's cut as an explicit argument."""
+    return TO.canonicalize(document_requests(spark, sf_dir), max_chars=C.MAX_CHARS)
+
+
+@query("nlp_output_model")
+def q_nlp_output_model(spark, sf_dir):
+    """A model score per document (its share of vowels, none below 200 characters) with a threshold."""
+    canon = TO.canonicalize(document_requests(spark, sf_dir))
+    n = F.length("text")
+    vowels = n - F.length(F.regexp_replace("text", "[aeiou]", ""))
+    scored = canon.withColumn("model", F.when(n >= 200, vowels.cast("double") / n))
+    out = TO.nlp_output(scored, "model", "vowels_v1", 0.3)
+    return out.select("transaction_id", "score_nlp", "model_version", "status", "threshold_used", "predicted_fraud", "low_confidence")
+
+
 @query("nlp_output")
 def q_nlp_output(spark, sf_dir):
     out = TO.nlp_output(TO.canonicalize(valid_text_requests(spark, sf_dir)))

@@ -158,13 +158,15 @@ def q_velocity_risk(spark, sf_dir):
 
 @query("join_streams")
 def q_join_streams(spark, sf_dir):
-    """Stream scores as separate tables (failed calls produce no row), joined back by id."""
-    req = FO.with_velocity(valid_requests(spark, sf_dir))
-    scored = FO.attach_rule_scores(req)
-    num = scored.select("transaction_id", *FO.NUM_COLS[:1], *[c for c in FO.NUM_COLS[1:] if c != "velocity_risk"])
+    """Stream scores as separate tables (failed calls produce no row, also of the required numerical
+    stream: every 23rd), joined back by id. The streams' common source is written once."""
+    from riskfuse.session import materialize
+    req = FO.attach_text_voice(FO.resolve_modalities(valid_requests(spark, sf_dir))).drop(*FO.TEXT_COLS)
+    scored = materialize(FO.attach_numerical(FO.with_velocity(req)), "stream-scores")
+    num = scored.filter(F.col("okey") % 23 != 0).select("transaction_id", *FO.NUM_COLS[:1], *[c for c in FO.NUM_COLS[1:] if c != "velocity_risk"])
     nlp = scored.filter(~F.col("text_stream_error")).select("transaction_id", *FO.NLP_COLS)
     voice = scored.filter(~F.col("voice_stream_error")).select("transaction_id", *FO.VOICE_COLS)
-    base = req.drop(*[c for c in FO.NUM_COLS + FO.NLP_COLS + FO.VOICE_COLS if c in req.columns and c != "velocity_risk"])
+    base = scored.drop(*[c for c in FO.NUM_COLS + FO.NLP_COLS + FO.VOICE_COLS if c != "velocity_risk"])
     return FO.flatten_decision(FO.evaluate(FO.join_streams(base, num, nlp, voice)))
 
 
@@ -184,14 +186,21 @@ def audit_log(spark, sf_dir):
 def audit_table(spark, sf_dir):
     """The audit store as a Parquet table in the shared checkpoint folder.
 
-    Written once; lookups and filters then push down to its scan (a filter on a
+    Written once per application; lookups and filters then push down to its scan (a filter on a
     decision computed in the same plan would instead be rewritten into the fused
     expression). The write also cuts the lineage reliably.
     """
-    from riskfuse.streaming.stream import work_dir
-    path = work_dir(spark, "audit-table")
-    audit_log(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    from riskfuse.session import work_dir
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AUDIT_STORES:
+        path = work_dir(spark, "audit-table")
+        audit_log(spark, sf_dir).write.parquet(path)
+        _AUDIT_STORES[key] = path
+    return spark.read.parquet(_AUDIT_STORES[key])
+
+
+#: Path of the audit store by application and source folder: written once, read by all lookups.
+_AUDIT_STORES: dict[tuple[str, str], str] = {}
 
 
 @query("audit_latest")

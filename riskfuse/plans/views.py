@@ -5,7 +5,7 @@ and the DuckDB oracles start from identical rows. Integer arithmetic decides whi
 branch a row takes, and amounts are derived from integer cents (``floor``), since
 ``round(x, 2)`` on doubles differs between engines at exact .005 ties.
 
-None of these filter rows: every view covers its whole source tables.
+Every view covers its whole source tables; ``identity`` alone filters (two segments, its purpose).
 """
 
 from __future__ import annotations

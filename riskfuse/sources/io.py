@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CSV_OPTIONS = {
-    "header": "true", "multiLine": "true", "escape": '"',
+    "header": "true", "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
@@ -20,10 +20,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             columns: list[str] | None = None, nrows: int | None = None) -> DataFrame:
+             columns: list[str] | None = None, nrows: int | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a declared schema; ``columns`` prunes the parse, ``nrows`` keeps the first
-    rows the reader yields (file order; no global order is promised)."""
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    rows the reader yields (file order; no global order is promised). ``multi_line`` allows line
+    breaks inside fields, at the price of one task per file."""
+    df = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).schema(schema).csv(path)
     if columns:
         df = df.select(*columns)
     if nrows is not None:
@@ -51,8 +52,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = TEXT_REQUE
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+def rejected_lines(spark: SparkSession, path: str, schema: T.StructType = TEXT_REQUEST_SCHEMA) -> DataFrame:
+    """The malformed lines of a JSON-lines folder, as text: those that ``read_jsonl`` marks as corrupt."""
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("parsed", parsed)
+    return lines.filter(F.col("parsed._corrupt_record").isNotNull()).select(F.col("value").alias("line"))
+
+
 def flatten_text_requests(df: DataFrame) -> DataFrame:
-    """Nested request records -> the flat request columns used by the text operators."""
+    """Nested request records -> the flat request columns used by the text operators
+    (``rejected_lines`` has the others)."""
     return df.filter(F.col("_corrupt_record").isNull()).select(
         "transaction_id", "language", "payload.*", F.col("metadata.amount").alias("amount"),
         F.col("metadata.currency").alias("currency"), F.col("metadata.country").alias("country"),
@@ -113,8 +122,9 @@ def export_jsonl(df: DataFrame, path: str) -> int:
 
 
 def write_sample_jsonl(df: DataFrame, order_col: str, path: str, n: int = 200) -> None:
-    """First ``n`` records by ``order_col`` as JSON lines (a top-n: per-task top-k, then merge)."""
-    df.orderBy(order_col).limit(n).select(F.to_json(F.struct(*df.columns)).alias("value")) \
+    """First ``n`` records by ``order_col``, then by their text, as JSON lines (a top-n: per-task top-k,
+    then merge); records that repeat the key keep one order."""
+    df.select(F.col(order_col).alias("k"), F.to_json(F.struct(*df.columns)).alias("value")).orderBy("k", "value").limit(n).select("value") \
         .write.mode("overwrite").text(path)
 
 
@@ -123,6 +133,13 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_report(metrics: DataFrame, path: str, digits: int = 6) -> None:
+    """A one-row metrics frame as text, one line ``name: value`` per metric."""
+    names = metrics.columns
+    lines = F.array(*[F.concat(F.lit(f"{c}: "), F.format_string(f"%.{digits}f", F.col(c).cast("double"))) for c in names])
+    metrics.select(F.explode(lines).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_splits(df: DataFrame, path: str, col: str = "split") -> None:
     """train / validation / test in one write, one folder per split value."""
     df.write.mode("overwrite").partitionBy(col).parquet(path)

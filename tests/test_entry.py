@@ -1,7 +1,6 @@
 """Driver contract + DuckDB oracle agreement on the smallest scale factor."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -10,13 +9,6 @@ import __spark_entry__ as E
 from riskfuse.session import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"train_logreg", "train_svm", "train_eval_report", "grid_search"}
-QUICK = ["evaluate", "evaluate_dashboard", "join_streams", "top_factors", "audit_latest", "mask_pii",
-         "clean_text", "heuristic_risk", "canonicalize", "match_spans", "typosquat_distance", "prefix_counts",
-         "roc_auc", "pr_auc", "best_threshold", "eer", "stratified_split", "stratified_sample", "histogram_amount",
-         "missing_profile", "crosstab", "text_paysim", "mean_pool", "trim_silence", "tfidf", "src_jsonl",
-         "stream_velocity"]
-
 
 def test_entry_runs(spark):
     df = E.entry(spark)
@@ -42,13 +34,8 @@ def norm(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-NAMES = sorted(E.oracle_sql()) if os.environ.get("RISKFUSE_FULL") else QUICK
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql() if k in E._registry.QUERIES))
 def test_matches_oracle(spark, con, name):
-    if name in SLOW:
-        pytest.skip("model training")
     sdf = E.queries()[name](spark, SF)
     res = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]

@@ -80,7 +80,7 @@ labels_scores = st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12)), min_s
 def test_against_brute_force(spark, xs):
     y = [a for a, _ in xs]
     p = [b / 12.0 for _, b in xs]
-    pc = M.prefix_counts(frame(spark, y, p), buckets=4)
+    pc = M.prefix_counts(frame(spark, y, p))
     assert M.roc_auc(pc).first()[0] == pytest.approx(brute_auc(y, p))
     assert M.average_precision(pc).first()[0] == pytest.approx(brute_ap(y, p), abs=1e-9)
     bt = M.best_threshold(pc).first()
@@ -95,7 +95,7 @@ def test_prefix_counts_many_buckets(spark):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 500)
     p = np.round(rng.random(500), 2)
-    rows = M.prefix_counts(frame(spark, y, p), buckets=16).orderBy("idx").collect()
+    rows = M.prefix_counts(frame(spark, y, p)).orderBy("idx").collect()
     assert [r.idx for r in rows] == list(range(len(rows)))
     assert rows[-1].tp == int(y.sum()) and rows[-1].fp == int(len(y) - y.sum())
     assert all(a.score > b.score for a, b in zip(rows, rows[1:]))
