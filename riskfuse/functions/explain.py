@@ -46,6 +46,21 @@ def factor_array(modalities: list[tuple[str, Column, list[tuple[str, Column]]]])
     return compact(items, FACTOR_TYPE)
 
 
+def factors_of_map(modality: str, weight: Column, signals: Column) -> Column:
+    """Factors of a map of any signals (name -> value); known names get their display name, others
+    pass through. Ordinals follow the map's order."""
+    names = F.create_map(*[x for k, v in C.SIGNAL_DISPLAY_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    entries = F.filter(F.map_entries(signals), lambda e: e["value"].isNotNull())
+
+    def factor(e, i):
+        impact = rnd(weight * F.abs(e["value"] - F.lit(0.5)) * F.lit(2.0), 4)
+        return F.struct((-impact).alias("neg_impact"), i.alias("ordinal"), F.lit(modality).alias("modality"), e["key"].alias("signal"),
+                        F.coalesce(F.try_element_at(names, e["key"]), e["key"]).alias("feature"), impact.alias("impact"),
+                        F.when(e["value"] > 0.5, "positive").otherwise("negative").alias("direction"))
+
+    return F.when((weight != 0) & signals.isNotNull(), F.transform(entries, factor)).otherwise(F.array().cast(f"array<{FACTOR_TYPE}>"))
+
+
 def top_k(factors: Column, k: int = C.TOP_FACTORS_COUNT) -> Column:
     """Stable top-k by impact descending (ties keep insertion order): a native
     ``sort_array`` on (-impact, ordinal, ...) structs, then ``slice``."""

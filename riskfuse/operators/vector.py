@@ -3,11 +3,12 @@ silence trimming over frame-energy tables, spoof labels, class weights."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfuse import config as C
 from riskfuse.functions.numeric import rnd
+from riskfuse.session import materialize
 
 
 def softmax_prob(logits: Column, index: int = 1) -> Column:
@@ -63,9 +64,10 @@ def trim_silence(frames: DataFrame, clip_col: str, order_cols: list[str], energy
     peak = f.groupBy("clip").agg(F.max("e").alias("peak"), F.count(F.lit(1)).alias("n_frames"))
     loud = (f.join(peak, "clip").filter((F.col("peak") > 0) & (F.col("e") >= F.col("peak") * F.lit(ratio)))
             .groupBy("clip").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k")))
-    kept = (f.join(loud, "clip").filter((F.col("k") >= F.col("first_k")) & (F.col("k") <= F.col("last_k")))
+    bounds = materialize(peak.select("clip", "n_frames").join(loud, "clip", "left"), "clip-bounds")  # one row per clip
+    kept = (f.join(bounds, "clip").filter((F.col("k") >= F.col("first_k")) & (F.col("k") <= F.col("last_k")))
             .groupBy("clip").agg(F.count(F.lit(1)).alias("n_kept")))
-    return (peak.join(loud, "clip", "left").join(kept, "clip", "left")
+    return (bounds.join(kept, "clip", "left")
             .select("clip", "n_frames", F.coalesce("n_kept", F.lit(0)).alias("n_kept"),
                     (F.coalesce(F.col("n_kept"), F.lit(0)) == 0).alias("rejected"), "first_k", "last_k"))
 
@@ -80,6 +82,13 @@ def spoof_label(bonafide_prob: Column, threshold: float = C.VOICE_THRESHOLD) ->
     }
 
 
+def voice_to_modality(bonafide_prob: Column, threshold: float = C.VOICE_THRESHOLD) -> dict[str, Column]:
+    """Voice model output -> stream score and the signals of the voice modality."""
+    b = bonafide_prob.cast("double")
+    return {"score_voice": rnd(F.lit(1.0) - b, 4), "deepfake_probability": F.lit(1.0) - b,
+            "bonafide_probability": b, "threshold": F.lit(float(threshold))}
+
+
 def label_to_int(label: Column) -> Column:
     """1 for exactly ``bonafide``, else 0."""
     return F.when(label == "bonafide", F.lit(1)).otherwise(F.lit(0))

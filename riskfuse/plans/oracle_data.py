@@ -172,6 +172,9 @@ register("to_interim", f"WITH {INTERIM_CTES} SELECT * FROM pay")
 register("to_nlp_input", f"""WITH {LEDGER_CTE}
 SELECT ledger_id AS transaction_id, {PAYSIM_TEXT} AS text, 'narrative' AS text_source, 'en' AS language,
        CAST(amount AS DOUBLE) AS amount, CAST(type AS VARCHAR) AS transaction_type, 'paysim' AS dataset_source FROM led""")
+register("val_schema_strict", f"""WITH {INTERIM_CTES}
+SELECT transaction_id, text, CAST(label AS INTEGER) AS label, CAST(amount AS DOUBLE) AS amount, transaction_type, dataset_source FROM pay""")
+register("resolve_label_col", f"WITH {IEEE_CTE} SELECT TransactionID, isFraud AS y FROM ie")
 register("union_datasets", f"""WITH {INTERIM_CTES}, u AS (SELECT * FROM pay UNION ALL SELECT * FROM iee)
 SELECT * FROM u""")
 register("drop_duplicates", f"""WITH {L_CTE}, d AS (SELECT DISTINCT text, label, amount, transaction_type, dataset_source FROM l)

@@ -206,6 +206,14 @@ register("mean_pool", """
 WITH l AS (SELECT label AS clip, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)
 SELECT clip, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM l GROUP BY clip, dim""")
 
+register("mean_pool_vectors", """
+WITH l AS (SELECT label AS clip, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)
+SELECT clip, CAST(dim AS INTEGER) AS dim, CAST(round(avg(CAST(v AS DOUBLE)), 6) AS FLOAT) AS value FROM l GROUP BY clip, dim""")
+register("voice_to_modality", f"""
+WITH {REQ_CTE} SELECT transaction_id, round(1e0 - (1e0 - voice_spoof_prob), 4) AS score_voice, 1e0 - (1e0 - voice_spoof_prob) AS deepfake_probability,
+  1e0 - voice_spoof_prob AS bonafide_probability, {float(C.VOICE_THRESHOLD)}e0 AS threshold FROM req WHERE audio_url IS NOT NULL""")
+register("positive_scores", "SELECT vec_id, CAST(embedding[2] AS DOUBLE) AS score FROM embeddings")
+
 register("trim_silence", """
 WITH f AS (SELECT user_id, ts, event_id, value * value AS e FROM events),
 p AS (SELECT user_id, max(e) AS peak, count(*) AS n_frames FROM f GROUP BY user_id),

@@ -127,6 +127,18 @@ def q_to_nlp_input(spark, sf_dir):
                       "metadata.transaction_type", "metadata.dataset_source")
 
 
+@query("val_schema_strict")
+def q_val_schema_strict(spark, sf_dir):
+    return V.val_schema_strict(paysim_interim(spark, sf_dir), "paysim")
+
+
+@query("resolve_label_col")
+def q_resolve_label_col(spark, sf_dir):
+    """The label column found among the source's own names."""
+    df = view(spark, sf_dir, "ieee")
+    return df.select("TransactionID", F.col(V.resolve_label_col(df.columns)).alias("y"))
+
+
 @query("union_datasets")
 def q_union_datasets(spark, sf_dir):
     return paysim_interim(spark, sf_dir).unionByName(ieee_interim(spark, sf_dir))

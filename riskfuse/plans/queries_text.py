@@ -146,6 +146,29 @@ def q_mean_pool(spark, sf_dir):
     return VE.mean_pool(embeddings(spark, sf_dir), "label", "embedding")
 
 
+@query("mean_pool_vectors")
+def q_mean_pool_vectors(spark, sf_dir):
+    """The pooled float32 vector of each clip, element by element."""
+    pooled = VE.mean_pool_vectors(VE.mean_pool(embeddings(spark, sf_dir), "label", "embedding"))
+    return pooled.select("clip", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query("voice_to_modality")
+def q_voice_to_modality(spark, sf_dir):
+    t = view(spark, sf_dir, "txn_req").filter(F.col("audio_url").isNotNull())
+    m = VE.voice_to_modality(F.lit(1.0) - F.col("voice_spoof_prob"))
+    return t.select("transaction_id", *[v.alias(k) for k, v in m.items()])
+
+
+@query("positive_scores")
+def q_positive_scores(spark, sf_dir):
+    """Margin models: the raw score of class 1."""
+    from pyspark.ml.functions import array_to_vector
+    from riskfuse.operators import ml as ML
+    raw = embeddings(spark, sf_dir).select("vec_id", array_to_vector(F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))).alias("rawPrediction"))
+    return ML.positive_scores(raw).select("vec_id", "score")
+
+
 @query("trim_silence")
 def q_trim_silence(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")

@@ -72,21 +72,23 @@ def read_protocol(spark: SparkSession, path: str, known_ids: DataFrame) -> DataF
     """Label-protocol lines -> (file_id, label).
 
     label = last token lower-cased, kept only if bonafide / spoof; file_id = the first
-    token found in ``known_ids`` (column ``file_id``), else the second token. Tokens are
-    matched with an equi-join (known ids may be as many as the audio files), then the
-    first hit per line is taken with ``min_by`` over the token position.
+    token found in ``known_ids`` (column ``file_id``), else the second token. All tokens but the
+    label and the placeholder ``-`` meet the known ids in one left join; one aggregate per
+    line then takes the first hit.
     """
     lines = (spark.read.text(path)
              .select(F.monotonically_increasing_id().alias("line_id"),
                      F.split(F.trim(F.col("value")), "\\s+").alias("parts"))
-             .filter(F.size("parts") > 0)
              .withColumn("label", F.lower(F.element_at("parts", -1)))
              .filter(F.col("label").isin("bonafide", "spoof")))
-    toks = lines.select("line_id", F.posexplode("parts").alias("pos", "tok"))
-    hits = (toks.join(known_ids.select(F.col("file_id").alias("tok")).dropDuplicates(), "tok")
-            .groupBy("line_id").agg(F.min_by("tok", "pos").alias("hit")))
-    return (lines.join(hits, "line_id", "left")
-            .select("line_id", F.coalesce(F.col("hit"), F.try_element_at("parts", F.lit(2))).alias("file_id"), "label"))
+    toks = lines.select("line_id", "label", F.try_element_at("parts", F.lit(2)).alias("second"),
+                        F.posexplode_outer(F.slice("parts", F.lit(1), F.size("parts") - 1)).alias("pos", "tok"))
+    toks = toks.filter(F.col("tok").isNull() | (F.col("tok") != "-") | (F.col("pos") == 0))
+    known = known_ids.select(F.col("file_id").alias("known")).dropDuplicates()
+    met = toks.join(known, F.col("tok") == F.col("known"), "left")
+    return (met.groupBy("line_id").agg(F.min_by("known", F.when(F.col("known").isNotNull(), F.col("pos"))).alias("hit"),
+                                       F.max("label").alias("label"), F.max("second").alias("second"))
+            .select("line_id", F.coalesce("hit", "second").alias("file_id"), "label"))
 
 
 TRANSCRIPT_SCHEMA = T.StructType([

@@ -103,6 +103,14 @@ def test_idf_options(spark):
     assert ML.fit_vocabulary(tc, 3, max_features=1).first().term == "a1"
 
 
+def test_factors_of_any_signals(spark):
+    from riskfuse.functions import explain as X
+    df = spark.createDataFrame([({"geo_risk": 0.9, "made_up": 0.1, "none": None},), (None,)], "s map<string,double>")
+    a, b = df.select(X.top_k(X.factors_of_map("numerical", F.lit(0.5), F.col("s"))).alias("f")).collect()
+    assert sorted((f.signal, f.impact, f.direction) for f in a.f) == [("geo_risk", 0.4, "positive"), ("made_up", 0.4, "negative")]
+    assert {f.feature for f in a.f} > {"made_up"} and b.f == []
+
+
 def test_backend_choice():
     there = {"transformer": object(), "sklearn": object()}
     assert ML.choose_backend(there) == "transformer" and ML.choose_backend(there, "sklearn") == "sklearn"
