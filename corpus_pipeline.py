@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskfuse.llm import gam, line_spread, packing, setsketch, shared
 from riskfuse.llm.queries import byte_bpe, table
+from riskfuse.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +23,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on ten sites or more, but for each line's first document."""
+    ship_package(spark)
     return line_spread.without_boilerplate(docs, min_sites=10)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles agree by 0.8 or more."""
+    ship_package(spark)
     return setsketch.without_duplicates(docs, k=5, similarity=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, every window in the mixture of the sources."""
+    ship_package(spark)
     return packing.pack(docs, byte_bpe(), end_id=0, length=1024)
 
 

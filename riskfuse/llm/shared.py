@@ -64,7 +64,3 @@ def put_file(folder: str, name: str, parts) -> int:
     filesystem.move(attempt, f"{base}/{name}")
     return size
 
-
-def get_range(handle, start: int, length: int) -> bytes:
-    """Bytes [start, start + length) of an open random-access file."""
-    return handle.read_at(length, start)
