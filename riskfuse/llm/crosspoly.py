@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from riskfuse.llm import shared
 
-SPAN, BLOCK, QUERY_BLOCK, SEED = 16, 4096, 2048, 11
+SPAN, BLOCK, QUERY_BLOCK, SEED = 32, 4096, 2048, 11
 
 
 def rotated(x, table: int):
