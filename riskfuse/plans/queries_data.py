@@ -10,7 +10,7 @@ from riskfuse.operators import metrics as M
 from riskfuse.operators import validate as V
 from riskfuse.plans.registry import query
 from riskfuse.plans.views import view
-from riskfuse.session import read_table
+from riskfuse.session import materialize, read_table
 
 SAMPLE_N = 150          # explicit sample size of the sampling queries (the operator's parameter)
 MIX_SAMPLE_N = 2000
@@ -180,7 +180,8 @@ def q_clean_then_sample(spark, sf_dir):
     """Union both sources, clean, exact stratified sample; ids repeat across sources,
     so rows are keyed by source + id for the sampling order."""
     u = paysim_interim(spark, sf_dir).unionByName(ieee_interim(spark, sf_dir))
-    c = V.clean_dataset(u).withColumn("_sid", F.concat_ws(":", "dataset_source", "transaction_id"))
+    # written once: counting classes, counting buckets and ranking each pass over it
+    c = materialize(V.clean_dataset(u).withColumn("_sid", F.concat_ws(":", "dataset_source", "transaction_id")), "clean")
     return DS.stratified_sample(c, MIX_SAMPLE_N, id_col="_sid").drop("_sid")
 
 
