@@ -16,7 +16,7 @@ def _request_stream(spark, sf_dir):
     req = FO.with_velocity(valid_requests(spark, sf_dir))
     src = ST.work_dir(spark, "requests")
     ST.stage_files(req, src)
-    return spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    return spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 64).parquet(src)
 
 
 @query("stream_evaluate")
@@ -53,7 +53,7 @@ def q_stream_audit_sink(spark, sf_dir):
     log_rows = audit_log(spark, sf_dir)
     src, sink, ck = ST.work_dir(spark, "audit-src"), ST.work_dir(spark, "audit"), ST.work_dir(spark, "ck")
     ST.stage_files(log_rows, src)
-    stream = spark.readStream.schema(log_rows.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(log_rows.schema).option("maxFilesPerTrigger", 64).parquet(src)
     ST.run_available_now(stream, sink, ck, sink="log")
     latest = ST.latest_by_key(spark.read.parquet(sink), "request_id", ["timestamp", "transaction_id"])
     return AU.flatten_audit(latest.select(*AU.AUDIT_FIELDS))
