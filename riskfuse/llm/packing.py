@@ -17,14 +17,23 @@ deficits pass over windows and over partitions by this rule and not by a message
 Documents' places in the queues are running totals over (input partition, queue), which
 is one row per partition and queue; the ids themselves are not shuffled for it.
 
-Queues: a source that holds at least 1/QUEUES of all text bytes has a queue of its own, so
-there are at most QUEUES; the rest share one. What is left at the end, fewer than
+Queues: a source that holds at least 1/QUEUES of all text bytes and a token of a window has a
+queue of its own, so there are at most QUEUES. All others share queue 0, which deals its tokens
+by a binary tree with a source at each leaf: of the first R tokens of a node, the left side
+gives floor(R * its share) and the right side the others, until one side runs out. Every source
+thus carries its deficit over windows, however small its share, and a token's place in queue 0
+follows from its place in its source and the path to the root. As Huffman's tree halves the
+weights within two levels, a leaf is always less than four tokens from its share of the root.
+The tree is built in steps, so that a source is at most these four tokens a step from its share: sources are dealt into BUCKETS buckets by hash, each bucket's
+tree is made in a task, and the driver holds one weight for each bucket. A listed source in the
+tree that runs out leaves its turns to the sources beside it first. What is left at the end, fewer than
 ``length`` tokens, fills sequences whose lengths are powers of two: no padding at all.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +43,32 @@ from pyspark.sql import functions as F
 
 from riskfuse.llm import bpe, shared
 
-QUEUES = 256
+QUEUES, BUCKETS = 512, 1024
+
+
+def tree(items: list[tuple[int, int]]) -> list[tuple[int, ...]]:
+    """Each item's path to the root of Huffman's tree over ``items`` (weight, tokens), with four numbers
+    for each level, leaf first: 1 on the right side, weight, weight of both sides, tokens of the other side."""
+    heap, paths = [(w, k, n, (k,)) for k, (w, n) in enumerate(items)], [[] for _ in items]
+    heapq.heapify(heap)
+    fresh = len(items)
+    while len(heap) > 1:
+        (w, _, n, left), (w2, _, n2, right) = heapq.heappop(heap), heapq.heappop(heap)
+        for k in left:
+            paths[k] += (0, w, w + w2, n2)
+        for k in right:
+            paths[k] += (1, w2, w + w2, n)
+        heapq.heappush(heap, (w + w2, fresh, n + n2, left + right))
+        fresh += 1
+    return [tuple(path) for path in paths]
+
+
+def place_in_queue(path: tuple[int, ...], at: int) -> int:
+    """Place in the root's queue of the token at place ``at`` of the path's leaf."""
+    for k in range(0, len(path), 4):
+        right, own, both, beside = path[k:k + 4]
+        at = min(at * both // own if right else -(-(at + 1) * both // own) - 1, at + beside)
+    return at
 
 
 class Schedule:
@@ -91,8 +125,19 @@ class Schedule:
             took[q], room = took[q] + more, room - more
         return took
 
-    def cut(self, q: int, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """Pieces of the n tokens from place ``at`` of queue q: (start, length, window, offset)."""
+    def cut(self, q: int | tuple, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Pieces of the n tokens from place ``at`` of queue q, or of the leaf of queue 0's tree with
+        the path q: (start, length, window, offset)."""
+        if isinstance(q, tuple):
+            start = 0
+            while start < n:
+                first, end = place_in_queue(q, at + start), start + 1
+                while end < n and place_in_queue(q, at + end) == first + end - start:
+                    end += 1
+                for s, piece, window, offset in self.cut(0, first, end - start):
+                    yield start + s, piece, window, offset
+                start = end
+            return
         start, length = 0, self.length
         k = bisect.bisect_right(self.starts[q], at) - 1
         while start < n:
@@ -129,8 +174,6 @@ class Schedule:
 def queues_of(docs: DataFrame, targets: dict | None) -> dict:
     """Queue number by source: 1 and up; a source that is not listed is in queue 0."""
     if targets is not None:
-        if len(targets) > QUEUES:
-            raise ValueError(f"at most {QUEUES} targets")
         return {s: k for k, s in enumerate(sorted(targets, key=str), 1)}
     size = docs.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
     total = size.agg(F.sum("bytes")).first()[0]
@@ -144,7 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs``: doc_id, text, source. ``targets``: integer weight by source, key "" for all others;
-    without it the target is the corpus's own mixture. No token is dropped or repeated.
+    without it the target is the corpus's own mixture. Sources that share the key "" keep their own
+    mixture among each other. No token is dropped or repeated.
     A null text counts as empty, so that its only token is ``end_id``; null sources form a source;
     repeated rows are each packed. An empty table gives no row.
     """
@@ -163,8 +207,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
                 queue.append(queue_of.get(source, 0))
                 ids.append(encoder.encode(text) + end)
                 tokens.append(len(ids[-1]) // 4)
-                at.append(place.get(queue[-1], 0))
-                place[queue[-1]] = at[-1] + tokens[-1]
+                at.append(place.get(source if queue[-1] == 0 else queue[-1], 0))
+                place[source if queue[-1] == 0 else queue[-1]] = at[-1] + tokens[-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(queue, pa.int32()),
                  pa.array(at, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())],
@@ -172,10 +216,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
 
     made = rows.mapInArrow(encode, "doc_id long, source string, part long, queue int, at long, doc_tokens long, ids binary")
     made = shared.written(made, "packing-ids", **{"parquet.enable.dictionary": "false"})
-    by_part = made.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
+    lane = F.when(F.col("queue") == 0, F.col("source")).alias("lane")
+    by_part = made.groupBy("part", "queue", lane).agg(F.sum("doc_tokens").alias("tokens"))
     by_part = shared.written(by_part, "packing-totals")
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_part.select("part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("queue", "lane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_part.select("part", "queue", "lane", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
     totals = {r.queue: r.tokens for r in by_part.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     member, shift, sums, weights = merge_small(totals, {queue_of[s]: w for s, w in (targets or {}).items() if s != ""},
@@ -185,28 +230,53 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.in_slices(batches):
             out = []
-            for doc_id, source, queue, at, tokens, ids in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for doc_id, source, queue, at, tokens, ids, path in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 view = memoryview(ids)
                 out += [(doc_id, source, s, n, zlib.crc32(view[4 * s:4 * (s + n)]), tokens, w, o)
-                        for s, n, w, o in schedule.cut(member[queue], shift[queue] + at, tokens)]
+                        for s, n, w, o in schedule.cut(member[queue] if path is None else tuple(path), shift[queue] + at, tokens)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
-    placed = made.join(base, ["part", "queue"]).select("doc_id", "source", "queue", (F.col("base") + F.col("at")).alias("at"), "doc_tokens", "ids")
+    at = (F.col("base") + F.col("at")).alias("at")
+    placed = made.where("queue <> 0").join(base.where("queue <> 0").drop("lane"), ["part", "queue"])
+    placed = placed.select("doc_id", "source", "queue", at, "doc_tokens", "ids", F.lit(None).cast("array<long>").alias("path"))
+    if 0 in totals:
+        tail = base.where("queue = 0").drop("queue").withColumnRenamed("part", "of").join(paths(by_part.where("queue = 0"), member[0]), F.col("lane").eqNullSafe(F.col("leaf")))
+        tail = made.where("queue = 0").join(tail, (F.col("part") == F.col("of")) & F.col("source").eqNullSafe(F.col("lane")))
+        placed = placed.union(tail.select("doc_id", "source", "queue", at, "doc_tokens", "ids", "path"))
     return placed.mapInArrow(cut, ", ".join(f"{c} {'string' if c == 'source' else 'long'}" for c in names))
 
 
+def paths(by_part: DataFrame, root: tuple[int, ...]) -> DataFrame:
+    """(leaf, path): each lane's path to queue 0's root, below the node with the path ``root``."""
+    import pyarrow as pa
+
+    sizes = by_part.groupBy("lane").agg(F.sum("tokens").alias("tokens")).withColumn("bucket", F.pmod(F.xxhash64("lane"), F.lit(BUCKETS)))
+    sizes = shared.written(sizes, "packing-sources")
+    top = [(r.bucket, r.tokens) for r in sizes.groupBy("bucket").agg(F.sum("tokens").alias("tokens")).collect()]  # one row per bucket
+    above = {bucket: path + root for (bucket, _), path in zip(top, tree([(n, n) for _, n in top]))}
+
+    def grown(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("lane")
+        below = tree([(n, n) for n in rows.column("tokens").to_pylist()])
+        rest = above[rows.column("bucket")[0].as_py()]
+        return pa.table({"leaf": rows.column("lane"), "path": pa.array([path + rest for path in below], pa.list_(pa.int64()))})
+
+    return sizes.groupBy("bucket").applyInArrow(grown, "leaf string, path array<long>")
+
+
 def merge_small(totals: dict[int, int], weights: dict[int, int], other: int, length: int, natural: bool):
-    """Queues whose target is less than one token a window join queue 0, one behind the other.
+    """Queues whose target is less than one token a window, and all but the QUEUES largest, become
+    leaves of queue 0's tree.
 
-    Returns (queue of the schedule, place of its first token there) by queue, and the schedule's
-    totals and weights."""
+    Returns (queue of the schedule or path in queue 0's tree, place of its first token there) by
+    queue, and the schedule's totals and weights."""
     given = {q: totals[q] if natural else max(1, weights.get(q, other)) for q in sorted(totals)}
     whole = sum(given.values())
-    own = [q for q in given if q and given[q] * length >= whole]
-    small = [q for q in given if q not in own]
-    member, shift, at = {q: k for k, q in enumerate(own, 1)}, dict.fromkeys(own, 0), 0
-    for q in small:
-        member[q], shift[q], at = 0, at, at + totals[q]
-    return member, shift, [at, *(totals[q] for q in own)], [max(1, sum(given[q] for q in small)), *(given[q] for q in own)]
+    large = [q for q in given if q and given[q] * length >= whole]
+    own = sorted(sorted(large, key=lambda q: -given[q])[:QUEUES])
+    small = [q for q in given if q not in set(own)]
+    member = {q: k for k, q in enumerate(own, 1)} | dict(zip(small, tree([(given[q], totals[q]) for q in small])))
+    sums = [sum(totals[q] for q in small), *(totals[q] for q in own)]
+    return member, dict.fromkeys(totals, 0), sums, [max(1, sum(given[q] for q in small)), *(given[q] for q in own)]

@@ -86,3 +86,47 @@ def test_repeated_rows_and_empty_table(spark):
     n = len(Tokenizer.from_file(PATH).encode("same row", add_special_tokens=False).ids) + 1
     assert sum(p.length for p in pieces if p.doc_id == 1) == 2 * n
     assert packing.pack(docs.limit(0), PATH, 0, 4).count() == 0
+
+
+def shares(pieces, length):
+    """Tokens by full window and source."""
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p.sequence_id][p.source] += p.length
+    return [c for _, c in sorted(windows.items()) if sum(c.values()) == length]
+
+
+def within(windows, expected, most):
+    """Every source stays less than ``most`` tokens from its share, over all windows so far."""
+    given = Counter()
+    for n, c in enumerate(windows, 1):
+        given.update(c)
+        assert all(abs(given[s] - n * e) < most for s, e in expected.items())
+
+
+def test_many_small_sources_keep_the_mixture(spark, monkeypatch):
+    """700 equal sources in order beside a hot one: more than have queues, shares below a token a window."""
+    monkeypatch.setattr(packing, "QUEUES", 16)
+    rows = [(s * 10 + k, f"word {k} of source number {s} " * 3, f"s{s}" if s else None) for s in range(700) for k in range(4)]
+    rows += [(100_000 + k, "hot text of one large source " * 40, "hot") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    pieces = packing.pack(docs, PATH, 0, 256).collect()
+    check([(r[0], r[1]) for r in rows], pieces, 256)
+    totals = Counter()
+    for p in pieces:
+        totals[p.source] += p.length
+    windows = shares(pieces, 256)
+    within(windows, {s: 256 * n / sum(totals.values()) for s, n in totals.items()}, 4)
+    assert max(c[None] for c in windows) <= 3 and min(len(c) for c in windows) > 60
+
+
+def test_many_targets(spark, monkeypatch):
+    """More targets than queues: each source has its target until one runs out."""
+    monkeypatch.setattr(packing, "QUEUES", 16)
+    targets = {f"s{s}": 1 + s % 3 for s in range(60)} | {"": 5}
+    rows = [(s * 10 + k, f"word {k} of source number {s} " * 30, f"s{s}") for s in range(70) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    pieces = packing.pack(docs, PATH, 0, 128, targets).collect()
+    check([(r[0], r[1]) for r in rows], pieces, 128)
+    whole = sum(targets.values())
+    within(shares(pieces, 128)[:40], {s: 128 * w / whole for s, w in targets.items() if s}, 4)
