@@ -5,7 +5,10 @@ of two), scaled by the group's largest norm and given one more coordinate that m
 unit vectors; on these the largest inner product is the smallest angle. Each table turns
 them by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and
 files a vector under the signed axis nearest to it. A query looks into the ``probes`` axes
-nearest to it in each table; what it finds there is reranked by the inner product of the
+nearest to it in each table, or more: a sample of at most SAMPLE queries is searched by brute
+force, and each group gets as many probes as find RECALL of the sample's neighbours in it. A
+group for which that is as much work as looking at every vector once, or that holds none of
+the sample's neighbours, is searched whole, in all buckets of the first table. What it finds there is reranked by the inner product of the
 original vectors in double precision.
 
 Buckets are searched in cells of SPAN neighbouring buckets. A cell of any size is cut into
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from riskfuse.llm import shared
 
 SPAN, BLOCK, QUERY_BLOCK, SEED = 32, 4096, 2048, 11
+SAMPLE, RECALL = 256, 0.95
 
 
 def rotated(x, table: int):
@@ -99,12 +103,14 @@ def best(q, qid, c, cid, allowed, k: int):
             yield from zip([i] * len(order), cid[near][order].tolist(), exact[order].tolist())
 
 
-def searched(hashed: DataFrame, queries: DataFrame, largest: dict[int, float], dim: int, code: str, tables: range, probes: int, k: int) -> DataFrame:
-    """Each query's best candidates (query_id, vec_id, score) by block; ``hashed``: vec_id, band, v, buckets."""
+def searched(hashed: DataFrame, queries: DataFrame, largest: dict[int, float], dim: int, code: str, tables: range, probes: dict[int, int], k: int) -> DataFrame:
+    """Each query's best candidates (query_id, vec_id, score) by block; ``hashed``: vec_id, band, v, buckets.
+    ``probes``: axes to look at by band; a band with all of them is searched in the first table only."""
     import pyarrow as pa
 
     width = 1 << dim.bit_length()
-    sides = [(b, m) for b, m in sorted(largest.items())]
+    looks = {p: [b for b in sorted(largest) if probes[b] == p] for p in sorted(set(probes.values()))}
+    whole = [b for b in largest if probes[b] >= 2 * width]
 
     def ask(batches):
         import numpy as np
@@ -114,17 +120,22 @@ def searched(hashed: DataFrame, queries: DataFrame, largest: dict[int, float], d
             unit = np.zeros((len(x), width))
             unit[:, :dim] = x / np.sqrt((x ** 2).sum(1))[:, None]
             for table in tables:
-                at = probes_of(unit, table, probes)
-                mask = np.zeros((len(x), -(-2 * width // SPAN)), dtype=np.int64)
-                np.bitwise_or.at(mask, (np.arange(len(x))[:, None], at // SPAN), 1 << (at % SPAN))
-                q, cell = np.nonzero(mask)
-                for band, _ in sides:
-                    yield pa.RecordBatch.from_arrays([pa.array([band] * len(q), pa.int32()), pa.array([table] * len(q), pa.int32()), pa.array(cell.astype(np.int32)),
-                                                      pa.array([ids[j] for j in q], pa.int64()), pa.array(mask[q, cell]), pa.array([raw[j] for j in q], pa.binary())],
-                                                     names=["band", "tab", "cell", "query_id", "mask", "v"])
+                nearest_axes = probes_of(unit, table, max(looks))
+                for most, bands in looks.items():
+                    if most >= 2 * width and table != tables[0]:
+                        continue
+                    at = nearest_axes[:, :most]
+                    mask = np.zeros((len(x), -(-2 * width // SPAN)), dtype=np.int64)
+                    np.bitwise_or.at(mask, (np.arange(len(x))[:, None], at // SPAN), 1 << (at % SPAN))
+                    q, cell = np.nonzero(mask)
+                    for band in bands:
+                        yield pa.RecordBatch.from_arrays([pa.array([band] * len(q), pa.int32()), pa.array([table] * len(q), pa.int32()), pa.array(cell.astype(np.int32)),
+                                                          pa.array([ids[j] for j in q], pa.int64()), pa.array(mask[q, cell]), pa.array([raw[j] for j in q], pa.binary())],
+                                                         names=["band", "tab", "cell", "query_id", "mask", "v"])
 
     keys = ["band", "tab", "cell", "block", "part"]
     filed = hashed.select("band", "vec_id", "v", F.posexplode("buckets").alias("tab", "bucket")).where(F.col("tab").isin(list(tables)))
+    filed = filed.where((F.col("tab") == tables[0]) | ~F.col("band").isin(whole))
     filed = filed.select("band", "tab", F.floor(F.col("bucket") / SPAN).cast("int").alias("cell"), (F.col("bucket") % SPAN).alias("low"), "vec_id", "v")
     asked = queries.mapInArrow(ask, "band int, tab int, cell int, query_id long, mask long, v binary")
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -149,6 +160,41 @@ def searched(hashed: DataFrame, queries: DataFrame, largest: dict[int, float], d
     return filed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """Each query's ``k`` best pairs of ``searched``, each candidate once."""
+    once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def measured(hashed: DataFrame, asking: DataFrame, largest: dict[int, float], dim: int, code: str, tables: int, probes: int, k: int) -> dict[int, int]:
+    """Probes of each band, ``probes`` or more, that find RECALL of a sample's true neighbours there."""
+    import numpy as np
+
+    width = 1 << dim.bit_length()
+    sample = shared.written(asking.orderBy(F.xxhash64("query_id"), "query_id", "v").limit(SAMPLE), "sample")
+    true = ranked(searched(hashed, sample, largest, dim, code, range(1), dict.fromkeys(largest, 2 * width), k), k)
+    true = true.join(sample, "query_id").join(hashed.select("vec_id", "band", "buckets"), "vec_id")
+    true = true.groupBy("query_id", "vec_id").agg(F.min(F.struct("v", "band", "buckets")).alias("of"))
+    rows = true.select("of.*").collect()  # SAMPLE x k rows at most
+    depths: dict[int, list[int]] = {}
+    unit = np.zeros((1, width))
+    orders: dict[bytes, list] = {}
+    for r in rows:
+        v = bytes(r.v)
+        if v not in orders:
+            x = np.frombuffer(v, dtype=code).astype(np.float64)
+            unit[0, :dim] = x / np.sqrt((x ** 2).sum())
+            orders[v] = [np.argsort(probes_of(unit, t, 2 * width)[0]) for t in range(tables)]
+        depths.setdefault(r.band, []).append(1 + min(int(orders[v][t][b]) for t, b in enumerate(r.buckets)))
+    need = {}
+    for band in largest:
+        found = sorted(depths.get(band, [2 * width]))
+        most = max(probes, found[int(np.ceil(RECALL * len(found))) - 1])
+        need[band] = 2 * width if most > probes and most * tables >= 2 * width else min(most, 2 * width)
+    return need
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 4, probes: int = 64) -> DataFrame:
     """The ``k`` nearest found of each row that the condition ``is_query`` (a Column) selects: query_id, rank, vec_id, score.
 
@@ -190,16 +236,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 4, probes:
 
     hashed = shared.written(rows.mapInArrow(file, "vec_id long, band int, v binary, buckets array<int>"), "hashed")
     asking = hashed.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    found = shared.written(searched(hashed, asking, largest, dim, code, range(tables), min(probes, 2 * width), k), "found")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    looks = measured(hashed, asking, largest, dim, code, tables, probes, k)
+    found = shared.written(searched(hashed, asking, largest, dim, code, range(tables), looks, k), "found")
 
-    top = shared.written(ranked(found), "ranked")
+    top = shared.written(ranked(found, k), "ranked")
     few = asking.join(top.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
     if few.limit(1).count():  # all buckets of one table hold all rows
-        rest = searched(hashed, few, largest, dim, code, range(1), 2 * width, k)
-        top = top.join(few.select("query_id"), "query_id", "left_anti").union(ranked(rest))
+        rest = searched(hashed, few, largest, dim, code, range(1), dict.fromkeys(largest, 2 * width), k)
+        top = top.join(few.select("query_id"), "query_id", "left_anti").union(ranked(rest, k))
     return top

@@ -76,3 +76,23 @@ def test_odd_vectors_and_few_candidates(spark):
     assert {q: [i for _, i, _ in v] for q, v in got.items()} == {0: [1, 8, 20], 20: [1, 8, 0]}
     assert found(spark, rows[:1]) == {} and found(spark, rows[2:6]) == {}
     assert found(spark, [(None, None, None, None)]) == {}
+
+
+def worst(got, want):
+    return min(len({b for _, b, _ in got[q]} & {b for _, b, _ in w}) / len(w) for q, w in want.items())
+
+
+def test_uneven_norms_of_64_dimensions(spark):
+    rng = np.random.default_rng(4)
+    for sigma in (0.5, 1.2):
+        rows = rows_of(rng.normal(size=(2000, 64)) * rng.lognormal(0, sigma, size=(2000, 1)))
+        want, got = brute(rows, 20), found(spark, rows)
+        assert recall(got, want) >= 0.93 and worst(got, want) >= 0.6
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    for dim in (256, 768):
+        x = rng.normal(size=(1000, dim))
+        rows = rows_of(x / np.linalg.norm(x, axis=1)[:, None])
+        assert recall(found(spark, rows), brute(rows, 20)) >= 0.93
