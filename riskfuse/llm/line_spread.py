@@ -4,7 +4,9 @@ Each line's sites are sketched by HyperLogLog, which merges by aggregation: ever
 sends one small sketch for a line, however often it met it. Lines whose estimate lies
 within the sketch's error of the limit get an exact distinct count; all others are decided
 by the sketch. A boilerplate line stays in the document with the smallest id that holds
-it and is removed from all others.
+it and is removed from all others. Long lines are unlikely to stand on two sites by chance,
+so they can have a lower limit of their own (``long_sites``); it is the same count of sites,
+so a line that repeats inside one site only is never boilerplate.
 
 The lines are written once, as 64-bit hashes, ids and sites, and read three times; texts
 move once, to meet their document's removals. Decisions join as one row per line, and a
@@ -22,6 +24,8 @@ from riskfuse.llm import shared
 ENDS = " \t\r"
 #: Registers of a sketch as a power of two, and the relative deviations of the estimate that count as near.
 LOG_REGISTERS, DEVIATIONS = 10, 5.0
+#: Lines of more words than this are long (fixed value).
+LONG_WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -32,26 +36,32 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(ENDS)))
 
 
-def occurrences(docs: DataFrame, site_col: str = "source") -> DataFrame:
-    """(line, doc_id, site): one row per line that is not blank. Null sites count as one site."""
+def occurrences(docs: DataFrame, site_col: str = "source", tell_long: bool = False) -> DataFrame:
+    """(line, doc_id, site): one row per line that is not blank. Null sites count as one site.
+    ``tell_long`` adds ``long``: whether the line has more than LONG_WORDS words."""
     rows = docs.select("doc_id", F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(lines_of(F.col("text"))).alias("text"))
     rows = rows.where(F.btrim("text", F.lit(ENDS)) != "")
-    return rows.select(line_key(F.col("text")).alias("line"), "doc_id", F.xxhash64("site").alias("site"))
+    words = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
+    long = [(words > LONG_WORDS).alias("long")] if tell_long else []
+    return rows.select(line_key(F.col("text")).alias("line"), "doc_id", F.xxhash64("site").alias("site"), *long)
 
 
-def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
-    """(line, first): lines on ``min_sites`` distinct sites or more, with the smallest id that holds each."""
+def boilerplate(found: DataFrame, min_sites: int, long_sites: int | None = None) -> DataFrame:
+    """(line, first): lines on ``min_sites`` distinct sites or more, long lines on ``long_sites`` or more
+    (None: as all others, and ``found`` needs no ``long``), with the smallest id that holds each."""
     near = DEVIATIONS * 1.04 / 2 ** (LOG_REGISTERS / 2)
-    spread = found.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"), F.min("doc_id").alias("first"))
-    spread = shared.written(spread.where(F.col("sites") >= min_sites * (1 - near)), "line-spread")
-    sure = spread.where(F.col("sites") > min_sites * (1 + near)).select("line", "first")
-    close = spread.where(F.col("sites") <= min_sites * (1 + near)).select("line", "first")
-    counted = found.join(close, "line").groupBy("line", "site").agg(F.min("first").alias("first"))
-    exact = counted.groupBy("line").agg(F.count("*").alias("sites"), F.min("first").alias("first"))
-    return sure.union(exact.where(F.col("sites") >= min_sites).select("line", "first"))
-
-
-def remove(docs: DataFrame, min_sites: int = 10, site_col: str = "source") -> DataFrame:
+    limit = F.min(F.lit(min_sites)) if long_sites is None else F.when(F.max("long"), F.lit(long_sites)).otherwise(F.lit(min_sites))
+    spread = found.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"), F.min("doc_id").alias("first"),
+                                       limit.alias("limit"))
+    spread = shared.written(spread.where(F.col("sites") >= F.col("limit") * (1 - near)), "line-spread")
+    sure = spread.where(F.col("sites") > F.col("limit") * (1 + near)).select("line", "first")
+    close = spread.where(F.col("sites") <= F.col("limit") * (1 + near)).select("line", "first", "limit")
+    counted = found.join(close, "line").groupBy("line", "site").agg(F.min("first").alias("first"), F.min("limit").alias("limit"))
+    exact = counted.groupBy("line").agg(F.count("*").alias("sites"), F.min("first").alias("first"), F.min("limit").alias("limit"))
+    return sure.union(exact.where(F.col("sites") >= F.col("limit")).select("line", "first"))
+
+
+def remove(docs: DataFrame, min_sites: int = 10, site_col: str = "source", long_sites: int | None = None) -> DataFrame:
     """``docs`` with two columns more: ``__cleaned`` (the text without the lines removed from it; lines
     are joined again as they were) and ``__n_removed``. Column names that begin with ``__`` are taken.
 
@@ -59,8 +69,8 @@ def remove(docs: DataFrame, min_sites: int = 10, site_col: str = "source") -> Da
     repeat a doc_id share its decisions; rows with a null doc_id lose every boilerplate line that some
     row with an id holds.
     """
-    found = shared.written(occurrences(docs, site_col), "lines")
-    gone = found.join(boilerplate(found, min_sites), "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
+    found = shared.written(occurrences(docs, site_col, long_sites is not None), "lines")
+    gone = found.join(boilerplate(found, min_sites, long_sites), "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__removed")).withColumnRenamed("doc_id", "__id")
     both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = lines_of(F.col("text"))
@@ -76,11 +86,11 @@ def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     return rows.select("doc_id", F.col("__cleaned").alias("text"), F.col("__n_removed").alias("n_removed"))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = 10, long_sites: int | None = None) -> DataFrame:
     """``docs``, same columns, with cleaned texts (and ``n_chars`` of them, if that is a column); a document
     that held nothing but boilerplate, all of it kept elsewhere, is left out. Documents that were blank
     before stay."""
-    rows = remove(docs, min_sites).where((F.col("__n_removed") == 0) | (F.btrim("__cleaned", F.lit(ENDS + "\n")) != ""))
+    rows = remove(docs, min_sites, long_sites=long_sites).where((F.col("__n_removed") == 0) | (F.btrim("__cleaned", F.lit(ENDS + "\n")) != ""))
     new = {"text": F.col("__cleaned")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("__cleaned").cast(docs.schema["n_chars"].dataType)

@@ -64,3 +64,15 @@ def test_stage_keeps_columns_and_drops_what_is_all_boilerplate(spark):
     for r in out.collect():
         if r.doc_id is not None and r.text is not None:
             assert r.n_chars == (len(r.text) if r.text != before[r.doc_id] else (3 if r.doc_id < 900 else 0))
+
+
+def test_long_lines_have_a_lower_limit(spark):
+    """Few sites: long lines go from the second site on, short ones and those of a single site stay."""
+    long = [" ".join(f"w{n}x{k}" for k in range(51)) for n in range(3)]
+    at_limit = " ".join(f"at{k}" for k in range(50))
+    rows = [(1, f"{long[0]}\none", "a", 0, "", 0), (2, f" {long[0]}\t\ntwo\n{long[1]}", "b", 0, "", 0), (3, f"{long[1]}\nshort\n{at_limit}", "b", 0, "", 0),
+            (4, f"short\n{at_limit}\n{long[2]}", "a", 0, "", 0), (5, long[2], None, 0, "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.text for r in L.without_boilerplate(docs, 10, long_sites=2).collect()}
+    assert got == {1: rows[0][1], 2: f"two\n{long[1]}", 3: rows[2][1], 4: rows[3][1]}
+    assert all(r.n_removed == 0 for r in L.cleaned(docs).collect())
