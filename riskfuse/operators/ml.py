@@ -109,9 +109,9 @@ def tfidf_long(tc: DataFrame, vocab: DataFrame, digits: int = 10, sublinear_tf:
 
 # ------------------------------------------------------------------ MLlib path
 
-def tfidf_pipeline(text_col: str = "text", max_features: int = 50_000, min_df: float = 1.0,
+def tfidf_pipeline(text_col: str = "text", max_features: int | None = None, min_df: float = 1.0,
                    max_df: float = 1.0) -> list:
-    """Stages producing ``features`` (sklearn-style TF-IDF) from ``text_col``."""
+    """Stages producing ``features`` (sklearn-style TF-IDF) from ``text_col``; without ``max_features`` the whole vocabulary."""
     src, dst = ACCENT_SRC.replace("'", "''"), ACCENT_DST.replace("'", "''")
     return [
         SQLTransformer(statement=f"SELECT *, regexp_replace(translate(lower(coalesce({text_col}, '')), '{src}', '{dst}'), "
@@ -120,7 +120,7 @@ def tfidf_pipeline(text_col: str = "text", max_features: int = 50_000, min_df: f
                        minTokenLength=2, toLowercase=False),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df),
+        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features or 2**31 - 1, minDF=min_df, maxDF=max_df),
         IDF(inputCol="_tf", outputCol="_idf_mllib"),
     ]
 

@@ -115,3 +115,9 @@ def test_backend_choice():
     there = {"transformer": object(), "sklearn": object()}
     assert ML.choose_backend(there) == "transformer" and ML.choose_backend(there, "sklearn") == "sklearn"
     assert ML.choose_backend({"sklearn": object()}, "transformer") == "sklearn" and ML.choose_backend({}) is None
+
+
+def test_features_keep_the_whole_vocabulary_unless_capped(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(25_002)),)], "text string")
+    sizes = [len(ML.fit_features(docs, **kw).stages[4].vocabulary) for kw in ({}, {"max_features": 100})]
+    assert sizes == [50_003, 100]
