@@ -9,7 +9,9 @@ counted backwards, so that the least long of a window is its least hash at its r
 place. Least values of windows come from doubling: of 2 in a row, of 4, up to w. The text is
 first cut into overlapping chunks, since taking a substring costs its distance from the start.
 
-A chosen place is (hash: 38 bits, position: 26 bits); texts up to 2^26 characters are covered.
+A chosen place is (hash: 38 bits, position: 26 bits); a text of more than 2^26 characters is an error.
+Every k-gram is hashed by itself: a rolling hash would need a loop over the characters, which
+DataFrame functions do not have.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ def winnowed(df: DataFrame, text: str, out: str, k: int = 12, w: int = 16) -> Da
 
     A text with fewer than k characters has itself as its only k-gram, with fewer than w
     k-grams all of them as its only window; an empty text has no place. ``w`` is a power of two.
+    A text of more than PLACE + 1 characters, whose positions would run into the hashes, raises an error.
     """
     if w & (w - 1):
         raise ValueError("w must be a power of two")
     own = [c for c in df.columns if c != out]
     pattern = rf"(?s)(?=(.{{{k},{CHUNK + k - 1}}})).{{1,{CHUNK}}}"
-    step = df.select(*own, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("__chunks"))
+    too_long = F.raise_error(F.lit(f"winnowing: a text has more than {PLACE + 1} characters")).cast("string")
+    covered = F.when(F.length(text) > PLACE + 1, too_long).otherwise(F.col(text))
+    step = df.select(*own, F.regexp_extract_all(covered, F.lit(pattern), F.lit(1)).alias("__chunks"))
     places = (f"flatten(transform(__chunks, (c, n) -> transform(sequence(1, char_length(c) - {k - 1}),"
               f" i -> (xxhash64(substring(c, i, {k})) & {~PLACE}L) | ({PLACE}L - (n * {CHUNK}L + i - 1)))))")
     short = F.when(F.length(text) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(

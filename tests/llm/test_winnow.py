@@ -87,3 +87,12 @@ def test_native(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = winnow.compared(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_beyond_the_positions_are_an_error(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(winnow, "PLACE", 255)
+    docs = spark.createDataFrame([(1, "ab cd" * 51 + "x")], "doc_id long, text string")
+    assert winnow.fingerprints(docs).first().positions
+    with pytest.raises(Exception, match="more than 256 characters"):
+        winnow.fingerprints(docs.withColumn("text", F.concat("text", F.lit("y")))).collect()
