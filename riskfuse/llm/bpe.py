@@ -2,23 +2,30 @@
 
 Two adjacent bytes that no vocabulary token holds side by side can never be merged
 across, so the place between them is a certain cut: what stands left and right of it
-is encoded on its own and the ids are put together. ``ForcedBoundaryBPE`` collects
-the pairs that do occur inside tokens once per worker and uses the cuts twice:
-
-* a text is cut before the space of every word. No token of a vocabulary with this
-  pre-tokenizer holds "visible byte, space", and the pre-tokenizer starts a new piece
-  there too, whatever follows. The fragments repeat heavily, so each distinct one is
-  encoded once and then looked up; the table is emptied when it is full.
-* a fragment too long for the table is pre-tokenized, each piece is cut at every pair
-  of bytes that occurs in no token, and the cuts are encoded by the library's model.
-
-If some vocabulary does join a visible byte with the white space after it, the first
-cut is not certain; the text then goes to the second step as a whole.
+is encoded on its own and the ids are put together. ``ForcedBoundaryBPE`` collects the
+pairs that do occur inside tokens once per worker, as a table of 256 x 256 truth values.
+A slice of texts is one buffer of bytes; one lookup in the table for each adjacent pair
+gives the mask of cuts, the mask gives the fragments, each distinct fragment is encoded
+once (by tiktoken, or the library's model where it is long) and kept in a table that is
+emptied when it is full, and the ids of all texts come from one gather.
+
+The pre-tokenizer cuts first, and some of its cuts depend on what follows. So
+
+* a space after a visible character always starts a fragment: no token of such a
+  vocabulary holds "visible byte, space", and the pre-tokenizer starts a piece there too;
+* inside a word (what stands between two such spaces) the table cuts, except in words
+  with an apostrophe (contractions), other white space, or one of the lead bytes C2, E1,
+  E2, E3 (some characters of theirs are white space): these are one fragment each;
+* no cut falls inside a character.
+
+If some vocabulary does join a visible byte with the white space after it, the spaces are
+no certain cuts; a text is then one word.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -31,9 +38,12 @@ from riskfuse.llm import shared
 #: Fragments longer than this are not kept in a worker's table, which holds at most TABLE_SIZE.
 LONGEST_KEPT, TABLE_SIZE = 64, 500_000
 
+#: Texts of more bytes than this are encoded in stretches.
+LONGEST_TEXT = 1 << 22
+
 #: Unicode's White_Space characters (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
-
+WHITES = [chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c))]
 
 #: The pre-tokenizer of byte-level vocabularies (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,9 +68,24 @@ class Decoder:
         self.pieces = {i: bytes(code[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in code for c in t)}
         self.pieces |= {a["id"]: a["content"].encode() for a in spec.get("added_tokens") or []}
 
+        import numpy as np
+        import pyarrow as pa
+        self._ids = np.array(sorted(self.pieces), dtype=np.uint32)
+        self._bytes = pa.array([self.pieces[i] for i in self._ids.tolist()] + [b""], pa.large_binary())
+
+    def joined(self, ids) -> tuple:
+        """(bytes of the ids one after the other, end of each id's bytes) of an array of ids; unknown ids have no bytes."""
+        import numpy as np
+        place = np.searchsorted(self._ids, ids)
+        known = place < len(self._ids)
+        known[known] = self._ids[place[known]] == ids[known]
+        found = self._bytes.take(np.where(known, place, len(self._ids)))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[1:len(found) + 1]
+        return memoryview(found.buffers()[2] or b""), ends
+
     def decode(self, ids: bytes) -> str:
-        table = self.pieces
-        return b"".join([table.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        import numpy as np
+        return bytes(self.joined(np.frombuffer(ids, "<u4"))[0]).decode("utf-8", "replace")
 
 
 class ForcedBoundaryBPE:
@@ -68,8 +93,6 @@ class ForcedBoundaryBPE:
     without truncation and padding. Ids are bytes: little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import re
-
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -101,9 +124,10 @@ class ForcedBoundaryBPE:
         white = b"\t\n\x0b\x0c\r "
         visible = [b for b in range(256) if b not in white and b not in (0x85, 0xA0)]
         self._sure = not inside[np.ix_(visible, list(white))].any()
-        self._fragments = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        #: White space before a space: the space is then no certain cut.
-        self._runs = [c + " " for c in WHITE]
+        second = np.arange(256, dtype=np.uint8)
+        self._cut = (~inside & ((second & 0xC0) != 0x80)).reshape(-1)
+        self._context = (second < 32) | (second == ord("'")) | np.isin(second, [0xC2, 0xE1, 0xE2, 0xE3])
+        self._split = re.compile(f"(?<=[^{WHITE}]) ")
         order = [spec["model"]["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in spec["model"]["merges"]]
         if all(a < b for a, b in zip(order, order[1:])) and not spec["model"].get("ignore_merges"):
             import tiktoken  # the same merges by rank, faster on short texts
@@ -111,9 +135,10 @@ class ForcedBoundaryBPE:
             self._short = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
             self._short = lambda fragment: self.library.encode(fragment, add_special_tokens=False).ids
-        self._words, self._others = _Table(lambda w: self._encode_fragment(" " + w)), _Table(self._encode_fragment)
+        self._table = _Table(self._encode_fragment)
 
-    def _encode_fragment(self, fragment: str) -> bytes:
+    def _encode_fragment(self, fragment: bytes) -> bytes:
+        fragment = fragment.decode("utf-8", "replace")
         if len(fragment) <= LONGEST_KEPT:
             ids = self._short(fragment)
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -127,22 +152,113 @@ class ForcedBoundaryBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if self._special is not None and any(s in text for s in self.special):
-            return b"".join([self.special[part] if part in self.special else self._ordinary(part)
-                             for part in self._special.split(text)])
-        return self._ordinary(text)
+        import pyarrow as pa
+        return self.encode_many(pa.array([text], pa.string()))[0].as_py()
 
-    def _ordinary(self, text: str) -> bytes:
-        if not self._sure:
-            return self._encode_fragment(text)
-        for table in (self._words, self._others):
-            if len(table) > TABLE_SIZE:
-                table.clear()
-        if any(run in text for run in self._runs):
-            return b"".join(map(self._others.__getitem__, self._fragments(text)))
-        first, *words = text.split(" ")
-        return self._others[first] + b"".join(map(self._words.__getitem__, words))
+    def encode_many(self, texts, special: bool = True):
+        """Ids (binary array) of an array of texts; a null text has no ids. Without ``special``
+        the strings of special tokens are ordinary text."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        odd = pc.greater(pc.binary_length(texts), LONGEST_TEXT)
+        for s in self.special if special else ():
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        if not odd:
+            ids, ends = self._encode_rows(texts)
+            return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
+        plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts)
+        out = self.encode_many(plain, False).to_pylist()
+        for k in odd:
+            text = texts[k].as_py()
+            parts = self._special.split(text) if special and self._special is not None else [text]
+            out[k] = b"".join([self.special[part] if special and part in self.special else self._long(part) for part in parts])
+        return pa.array(out, pa.binary())
+
+    def _long(self, text: str) -> bytes:
+        """Ids of a text of any length, in stretches of about LONGEST_TEXT characters that end before a certain space."""
+        import pyarrow as pa
+        ids, start = [], 0
+        while start < len(text):
+            found = self._split.search(text, start + LONGEST_TEXT // 4) if self._sure else None
+            end = found.start() if found else len(text)
+            ids.append(self._encode_rows(pa.array([text[start:end]], pa.string()))[0].tobytes())
+            start = end
+        return b"".join(ids)
+
+    def _fragments(self, texts):
+        """(fragments as a binary array, first fragment of each text and their number) of a string array without nulls."""
+        import numpy as np
+        import pyarrow as pa
+
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = (offsets - offsets[0]).astype(np.int64)
+        if not len(raw):
+            return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
+        word = np.zeros(len(raw), bool)  # where a word starts
+        if self._sure:
+            at = np.flatnonzero(raw[1:] == 32) + 1
+            word[at[~_white_before(raw, at)]] = True
+        word[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        whole = self._context[raw] | ((raw == 32) & ~word)
+        number = np.cumsum(word, dtype=np.int32)
+        kept = np.zeros(int(number[-1]) + 1, bool)
+        kept[number[whole]] = True
+        cut = word
+        cut[1:] |= self._cut[(raw[:-1].astype(np.uint16) << 8) | raw[1:]] & ~kept[number[1:]]
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts, len(raw)).astype(np.int32)
+        return (pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]),
+                np.searchsorted(starts, offsets))
+
+    def _encode_rows(self, texts):
+        """(ids of all texts, place of each text's first id and their number)."""
+        import numpy as np
 
+        fragments, first = self._fragments(texts)
+        if len(self._table) > TABLE_SIZE:
+            self._table.clear()
+        coded = fragments.dictionary_encode()
+        found = list(map(self._table.__getitem__, values(coded.dictionary)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, which = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        return ids[spread((np.cumsum(sizes) - sizes)[which], sizes[which])], ends[first]
+
+
+def _white_before(raw, at):
+    """Whether the character before each of the places ``at`` of UTF-8 bytes is white space."""
+    import numpy as np
+    last = raw[at - 1]
+    found = last < 33
+    far = np.flatnonzero(last >= 0x80)
+    if len(far):
+        p = at[far]
+        a, b, c = raw[np.maximum(p - 3, 0)].astype(np.int64), raw[np.maximum(p - 2, 0)].astype(np.int64), last[far].astype(np.int64)
+        known = [int.from_bytes(w.encode(), "big") for w in WHITES if ord(w) > 127]
+        found[far] = np.isin(b << 8 | c, known) | np.isin(a << 16 | b << 8 | c, known)
+    return found
+
+
+def values(texts) -> list[bytes]:
+    """The values of a binary or string array without nulls, from its buffers."""
+    import numpy as np
+    kind = np.int64 if str(texts.type).startswith("large") else np.int32
+    ends = np.frombuffer(texts.buffers()[1] or b"\0" * 8, kind)[texts.offset:texts.offset + len(texts) + 1].tolist()
+    raw = bytes(texts.buffers()[2] or b"")
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def spread(starts, sizes):
+    """The places starts[k], ..., starts[k] + sizes[k] - 1 for every k, one after the other."""
+    import numpy as np
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class _Table(dict):
@@ -152,7 +268,7 @@ class _Table(dict):
         super().__init__()
         self._encode = encode
 
-    def __missing__(self, fragment: str) -> bytes:
+    def __missing__(self, fragment: bytes) -> bytes:
         ids = self._encode(fragment)
         if len(fragment) <= LONGEST_KEPT:
             self[fragment] = ids
@@ -180,8 +296,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
         for batch in shared.in_slices(batches):
-            ids = pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.encode_many(batch.column(1))], names=["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
@@ -193,9 +308,13 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFram
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         bpe = loaded(tokenizer_path, Decoder)
         for batch in shared.in_slices(batches):
-            texts = [bpe.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
+            ids = [x or b"" for x in batch.column(ids_col).to_pylist()]
+            raw, ends = bpe.joined(np.frombuffer(b"".join(ids), "<u4"))
+            ends = np.append(0, ends)[np.cumsum([0, *map(len, ids)]) // 4].tolist()
+            texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())],
                                              names=[*batch.schema.names, "decoded"])
 

@@ -30,11 +30,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_slices(batches, rows: int = 512):
-    """Record batches cut into pieces of at most ``rows`` rows, so that what a task makes of one piece stays small."""
+def in_slices(batches, rows: int = 512, size: int = 1 << 23):
+    """Record batches cut into pieces of at most ``rows`` rows and about ``size`` bytes (one row at
+    least), so that what a task makes of one piece stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        todo = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            piece = todo.pop()
+            half = piece.num_rows // 2
+            if half and piece.nbytes > size:
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
 
 
 def open_fs(path: str):

@@ -92,8 +92,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, sample
             at, batch = HEAD, first
             yield MAGIC + bytes([width]) + sha
             while batch is not None:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = bpe_.encode(text) + end
+                for doc_id, ids in zip(batch.column(0).to_pylist(), bpe_.encode_many(batch.column(1)).to_pylist()):
+                    ids += end
                     frame = compress(narrow(ids, width))
                     # a null id is kept as the smallest long, which its order agrees with
                     index.append(struct.pack("<qqqq", at, len(frame), len(ids) // 4, -(1 << 63) if doc_id is None else doc_id))
