@@ -1,38 +1,34 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every window (a sequence of ``length`` tokens) takes from each source's queue the share
-its target proportion gives it. A source whose share is no whole number of tokens
-carries its deficit, always less than one token, to the next window; documents are cut
-where a window is full and go on in the source's next turn. A source that runs out
-leaves its turns to the others in proportion to their targets.
-
-Serving the queues turn by turn would be one long chain. Between two moments at which a
-source runs out, though, the round-robin is even: with integer weights, their running
-sums C(q) and total W, queues up to q have got floor(C(q) * length * w / W) tokens after
-w windows. So the state after any window is known without the windows before it, and
-``Schedule`` holds only the stretches (at most one per source that runs out). Each
-document then finds its pieces from its place in its queue alone, in any task: the
-deficits pass over windows and over partitions by this rule and not by a message.
-
-Documents' places in the queues are running totals over (input partition, queue), which
-is one row per partition and queue; the ids themselves are not shuffled for it.
-
-Queues: a source that holds at least 1/QUEUES of all text bytes and a token of a window has a
-queue of its own, so there are at most QUEUES. All others share queue 0, which deals its tokens
-by a binary tree with a source at each leaf: of the first R tokens of a node, the left side
-gives floor(R * its share) and the right side the others, until one side runs out. Every source
-thus carries its deficit over windows, however small its share, and a token's place in queue 0
-follows from its place in its source and the path to the root. As Huffman's tree halves the
-weights within two levels, a leaf is always less than four tokens from its share of the root.
-The tree is built in steps, so that a source is at most these four tokens a step from its share: sources are dealt into BUCKETS buckets by hash, each bucket's
-tree is made in a task, and the driver holds one weight for each bucket. A listed source in the
-tree that runs out leaves its turns to the sources beside it first. What is left at the end, fewer than
-``length`` tokens, fills sequences whose lengths are powers of two: no padding at all.
+Each source is a queue of tokens, dealt out in turns of ``quantum`` tokens, as a round-robin
+with deficits does: a source whose share of a window is no whole number of turns waits and
+carries what it is owed to later windows. The stream of turns is cut into windows
+(sequences of ``length`` tokens); documents are cut at the ends of turns and windows only,
+so a document of n tokens has about n / quantum pieces, however many sources there are.
+
+Serving the queues one after the other would be one long chain. Here the order of turns is
+given in closed form by a binary tree with a source at each leaf. Of the first N turns of
+a node the left side has had round(N * its share), the right side the others, until one
+side runs out; so the place in the stream of any turn of any source follows from the path
+to the root alone, in any task, and deficits pass over windows and partitions by this rule
+and not by a message. The tree is Huffman's, whose weights halve within two levels: a leaf
+is always less than two turns from its share of its tree.
+
+``targets`` gives weights to sources. Then a side's share changes where a source beneath it
+runs out: its turns go to all others in proportion to their weights. A node holds these
+changes as segments (turns dealt so far, of these to the left, weights of both sides).
+
+Sources are never listed on the driver: they are dealt into BUCKETS buckets by hash, each
+bucket's tree is grown in a task, and the driver holds one weight for each bucket and for
+each listed target. What a source holds beyond whole turns, fewer than ``quantum`` tokens,
+goes to one more queue, the remainders of all sources one after the other, which has its
+leaf and its turns like any source; so those spread over the stream too, and sources of
+less than a turn take nobody's share. What is left of the last window fills sequences whose
+lengths are powers of two: no padding at all.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import struct
 import zlib
@@ -43,240 +39,249 @@ from pyspark.sql import functions as F
 
 from riskfuse.llm import bpe, shared
 
-QUEUES, BUCKETS = 512, 1024
-
-
-def tree(items: list[tuple[int, int]]) -> list[tuple[int, ...]]:
-    """Each item's path to the root of Huffman's tree over ``items`` (weight, tokens), with four numbers
-    for each level, leaf first: 1 on the right side, weight, weight of both sides, tokens of the other side."""
-    heap, paths = [(w, k, n, (k,)) for k, (w, n) in enumerate(items)], [[] for _ in items]
+QUANTUM, BUCKETS = 64, 1024
+
+#: A turn number that none reaches.
+NEVER = 1 << 62
+
+
+def times(x, s, d):
+    """floor(x * s / d) of arrays of integers, exact also where the product passes 2^63."""
+    import numpy as np
+    x, s, d = (np.asarray(v, np.int64) for v in (x, s, d))
+    q = np.floor(x.astype(np.longdouble) * s.astype(np.longdouble) / d.astype(np.longdouble)).astype(np.int64)
+    return q + (x * s - q * d) // d  # the difference is small, so it is right modulo 2^64
+
+
+def segments(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> tuple:
+    """A node's segments from the (weight, turns) of the leaves on either side: arrays of turns dealt and
+    of those to the left, at the start of each segment and at the end, and both sides' weights in each."""
+    import numpy as np
+    ends = np.unique([n / w for w, n in left + right])
+    dealt, weights = [], []
+    for side in (left, right):
+        w, n = np.array(side, np.int64).reshape(-1, 2).T
+        at = np.minimum(ends[:, None] * w, n) if len(ends) * len(w) <= 1 << 20 else [np.minimum(e * w, n) for e in ends]
+        got = np.rint([np.sum(x) for x in at]).astype(np.int64)
+        got[-1] = n.sum()
+        dealt.append(np.append(0, got))
+        weights.append(np.array([w[n / w >= e].sum() for e in ends], np.int64))
+    return dealt[0] + dealt[1], dealt[0], *weights
+
+
+def rank(level: tuple, x):
+    """Places in the node's stream of the turns ``x`` of one of its sides. ``level``: 1 for the right side, segments."""
+    import numpy as np
+    right, total, left, a, b = level
+    own, other = (total - left, left) if right else (left, total - left)
+    weight, whole = (b if right else a), a + b
+    k = np.clip(np.searchsorted(own, x, "right") - 1, 0, len(whole) - 1)
+    m = x - own[k] + 1
+    at = times(2 * m - 1, whole[k], np.maximum(2 * weight[k], 1))
+    if right:
+        at += 1
+    else:
+        at += at * np.maximum(2 * weight[k], 1) != (2 * m - 1) * whole[k]  # round up; equal modulo 2^64 only if equal
+    at = np.where(weight[k] > 0, at, NEVER)
+    return total[k] + np.minimum(at, m + (other[k + 1] - other[k])) - 1
+
+
+def tree(items: list[tuple[int, int]]) -> list[list[tuple]]:
+    """Each item's levels, leaf first, in Huffman's tree over ``items`` (weight, turns). Items without turns have none."""
+    levels = [[] for _ in items]
+    heap = [(w, k, [k]) for k, (w, n) in enumerate(items) if n]
     heapq.heapify(heap)
     fresh = len(items)
     while len(heap) > 1:
-        (w, _, n, left), (w2, _, n2, right) = heapq.heappop(heap), heapq.heappop(heap)
-        for k in left:
-            paths[k] += (0, w, w + w2, n2)
-        for k in right:
-            paths[k] += (1, w2, w + w2, n)
-        heapq.heappush(heap, (w + w2, fresh, n + n2, left + right))
+        (w, _, one), (w2, _, two) = heapq.heappop(heap), heapq.heappop(heap)
+        node = segments([items[k] for k in one], [items[k] for k in two])
+        for right, side in enumerate((one, two)):
+            for k in side:
+                levels[k].append((right, *node))
+        heapq.heappush(heap, (w + w2, fresh, one + two))
         fresh += 1
-    return [tuple(path) for path in paths]
-
-
-def place_in_queue(path: tuple[int, ...], at: int) -> int:
-    """Place in the root's queue of the token at place ``at`` of the path's leaf."""
-    for k in range(0, len(path), 4):
-        right, own, both, beside = path[k:k + 4]
-        at = min(at * both // own if right else -(-(at + 1) * both // own) - 1, at + beside)
-    return at
-
-
-class Schedule:
-    """Which window each token of each queue goes to.
-
-    ``totals``: tokens of each queue; ``weights``: positive integers, the target
-    proportions. Every weight's share times ``length`` should be 1 or more, but for
-    queue 0's: ``merge_small`` sees to that.
-    """
-
-    def __init__(self, totals: list[int], weights: list[int], length: int):
-        self.length, n = length, len(totals)
-        self.parts: list[tuple] = []  # (first window, windows or None, base by queue, running weights or ends, size)
-        left, base, window = list(totals), [0] * n, 0
-        while sum(left) >= length:
-            running, total = [0], sum(w for w, r in zip(weights, left) if r)
-            for w, r in zip(weights, left):
-                running.append(running[-1] + (w if r else 0))
-            count = min(r * total // (length * w) for w, r in zip(weights, left) if r)
-            if count:
-                self.parts.append((window, count, list(base), running, length))
-                took = self._given(running, count)
-            else:
-                count, took = 1, self._last_turn(left, weights, total)
-                self.parts.append((window, None, list(base), [b + t for b, t in zip(base, took)], length))
-            window += count
-            base = [b + t for b, t in zip(base, took)]
-            left = [r - t for r, t in zip(left, took)]
-        rest = sum(left)
-        for size in [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]:
-            took, room = [], size
-            for r in left:
-                took.append(min(r, room))
-                room -= took[-1]
-            self.parts.append((window, None, list(base), [b + t for b, t in zip(base, took)], size))
-            window += 1
-            base = [b + t for b, t in zip(base, took)]
-            left = [r - t for r, t in zip(left, took)]
-        self.windows = window
-        self.starts = [[p[2][q] for p in self.parts] for q in range(n)]
-
-    def _upto(self, running: list[int], q: int, window: int) -> int:
-        return running[q] * self.length * window // running[-1]
-
-    def _given(self, running: list[int], window: int) -> list[int]:
-        return [self._upto(running, q + 1, window) - self._upto(running, q, window) for q in range(len(running) - 1)]
-
-    def _last_turn(self, left: list[int], weights: list[int], total: int) -> list[int]:
-        """One window in which a queue runs out: turns of its whole quantum, then of what is open."""
-        took = [min(r, w * self.length // total) if r else 0 for w, r in zip(weights, left)]
-        room = self.length - sum(took)
-        for q in sorted(range(len(left)), key=lambda q: (took[q] - left[q], q)):
-            more = min(room, left[q] - took[q])
-            took[q], room = took[q] + more, room - more
-        return took
-
-    def cut(self, q: int | tuple, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """Pieces of the n tokens from place ``at`` of queue q, or of the leaf of queue 0's tree with
-        the path q: (start, length, window, offset)."""
-        if isinstance(q, tuple):
-            start = 0
-            while start < n:
-                first, end = place_in_queue(q, at + start), start + 1
-                while end < n and place_in_queue(q, at + end) == first + end - start:
-                    end += 1
-                for s, piece, window, offset in self.cut(0, first, end - start):
-                    yield start + s, piece, window, offset
-                start = end
-            return
-        start, length = 0, self.length
-        k = bisect.bisect_right(self.starts[q], at) - 1
-        while start < n:
-            first, count, base, more, size = self.parts[k]
-            x = at + start - base[q]
-            if count is None:
-                end, window = more[q] - base[q], first
-                offset = sum(more[j] - base[j] for j in range(q)) + x
-                if x >= end:
-                    k += 1
-                    continue
-            else:
-                weight, total = more[q + 1] - more[q], more[-1]
-                if not weight:
-                    k += 1
-                    continue
-                w = min(count - 1, x * total // (weight * length))
-                while w and self._upto(more, q + 1, w) - self._upto(more, q, w) > x:
-                    w -= 1
-                while w < count and self._upto(more, q + 1, w + 1) - self._upto(more, q, w + 1) <= x:
-                    w += 1
-                if w >= count:
-                    k += 1
-                    continue
-                low, low2 = self._upto(more, q, w), self._upto(more, q, w + 1)
-                end = self._upto(more, q + 1, w + 1) - low2
-                offset = low2 - low + x - (self._upto(more, q + 1, w) - low)
-                window = first + w
-            piece = min(n - start, end - x)
-            yield start, piece, window, offset
-            start += piece
-
-
-def queues_of(docs: DataFrame, targets: dict | None) -> dict:
-    """Queue number by source: 1 and up; a source that is not listed is in queue 0."""
-    if targets is not None:
-        return {s: k for k, s in enumerate(sorted(targets, key=str), 1)}
-    size = docs.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
-    total = size.agg(F.sum("bytes")).first()[0]
-    if not total:
-        return {}
-    large = size.where(F.col("bytes") * F.lit(QUEUES) >= F.lit(total)).select("source").collect()
-    return {s: k for k, s in enumerate(sorted((r.source for r in large), key=lambda s: (s is None, s or "")), 1)}
-
-
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024, targets: dict | None = None) -> DataFrame:
+    return levels
+
+
+class Sequences:
+    """Windows of ``length`` tokens over a stream of ``total`` tokens; the rest by powers of two."""
+
+    def __init__(self, total: int, length: int):
+        import numpy as np
+        self.length, (self.whole, rest) = length, divmod(total, length)
+        sizes = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+        self.last = total - rest + np.cumsum([0, *sizes])
+
+    def of(self, place):
+        import numpy as np
+        return np.where(place < self.whole * self.length, place // self.length,
+                        self.whole + np.searchsorted(self.last, place, "right") - 1)
+
+    def start(self, sequence):
+        import numpy as np
+        return np.where(sequence < self.whole, sequence * self.length,
+                        self.last[np.clip(sequence - self.whole, 0, len(self.last) - 1)])
+
+
+def cut(at, tokens, groups: list[tuple], remainders: tuple, quantum: int, sequences: Sequences):
+    """Pieces of documents: arrays (document, start, length, sequence, offset).
+
+    ``at``, ``tokens``: first place in its source and length of each document. ``groups``: for each
+    source (its documents, levels, whole turns, place of its remainder in the queue of remainders).
+    ``remainders``: that queue's levels and whole turns, and the place in the stream of what follows them."""
+    import numpy as np
+    source, turns, tail = (np.empty(len(at), np.int64) for _ in range(3))
+    for g, (docs, _, own, rest) in enumerate(groups):
+        source[docs], turns[docs], tail[docs] = g, own, rest
+    # a document's stretch of whole turns, and of the remainder of its source, each cut at the ends of turns
+    split = turns * quantum
+    low, high = [at, np.maximum(at, split) - split + tail], [np.minimum(at + tokens, split), at + tokens - split + tail]
+    parts = []
+    for x, y in zip(low, high):
+        some = np.flatnonzero(x < y)
+        first, last = x[some] // quantum, (y[some] - 1) // quantum
+        doc, turn = np.repeat(some, last - first + 1), bpe.spread(first, last - first + 1)
+        parts.append((doc, turn, np.maximum(x[doc], turn * quantum), np.minimum(y[doc], (turn + 1) * quantum)))
+    doc, turn, begin, end = parts[0]
+    place = np.empty_like(begin)
+    order = np.argsort(source[doc], kind="stable")
+    bounds = np.searchsorted(source[doc][order], np.arange(len(groups) + 1))
+    for g, (_, levels, *_) in enumerate(groups):
+        mine = order[bounds[g]:bounds[g + 1]]
+        x = turn[mine]
+        for level in levels if len(x) else ():
+            x = rank(level, x)
+        place[mine] = x * quantum + begin[mine] - turn[mine] * quantum
+    rest, turn, low, high = parts[1]
+    levels, whole, after = remainders
+    x = np.minimum(turn, max(whole - 1, 0))
+    for level in levels:
+        x = rank(level, x)
+    place = np.append(place, np.where(turn < whole, x * quantum + low - turn * quantum, after + low - whole * quantum))
+    doc, begin, end = np.append(doc, rest), np.append(begin, low - tail[rest] + split[rest]), np.append(end, high - tail[rest] + split[rest])
+    order = np.lexsort((begin, doc))
+    doc, begin, end, place = doc[order], begin[order], end[order], place[order]
+    # turns that follow each other in the stream stay together
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + (end - begin)[:-1])
+    at_fresh = np.flatnonzero(fresh)
+    doc, begin, place, end = doc[fresh], begin[fresh], place[fresh], end[np.append(at_fresh[1:] - 1, len(end) - 1)] if len(end) else end
+    one, two = sequences.of(place), sequences.of(place + (end - begin) - 1)
+    which, sequence = np.repeat(np.arange(len(doc)), two - one + 1), bpe.spread(one, two - one + 1)
+    low = np.maximum(place[which], sequences.start(sequence))
+    high = np.minimum((place + end - begin)[which], np.where(sequence < two[which], sequences.start(sequence + 1), NEVER))
+    doc = doc[which]
+    return doc, (begin - place)[which] + low - at[doc], high - low, sequence, low - sequences.start(sequence)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024, targets: dict | None = None,
+         quantum: int = QUANTUM) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``docs``: doc_id, text, source. ``targets``: integer weight by source, key "" for all others;
-    without it the target is the corpus's own mixture. Sources that share the key "" keep their own
-    mixture among each other. No token is dropped or repeated.
-    A null text counts as empty, so that its only token is ``end_id``; null sources form a source;
-    repeated rows are each packed. An empty table gives no row.
+    ``docs``: doc_id, text, source. ``targets``: integer weight by source, key "" for all others
+    (1 if not given); without it the target is the corpus's own mixture. Sources that share the key ""
+    keep their own mixture among each other. ``quantum``: tokens of a turn, ``length`` at most.
+    No token is dropped or repeated. A null text counts as empty, so that its only token is ``end_id``;
+    null sources form a source; repeated rows are each packed. An empty table gives no row.
     """
     import pyarrow as pa
 
+    quantum, end = min(quantum, length), struct.pack("<I", end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    queue_of, end = queues_of(rows, targets and {k: v for k, v in targets.items() if k != ""}), struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         encoder, part, place = bpe.loaded(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in shared.in_slices(batches):
-            queue, at, tokens, ids = [], [], [], []
-            for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                queue.append(queue_of.get(source, 0))
-                ids.append(encoder.encode(text) + end)
-                tokens.append(len(ids[-1]) // 4)
-                at.append(place.get(source if queue[-1] == 0 else queue[-1], 0))
-                place[source if queue[-1] == 0 else queue[-1]] = at[-1] + tokens[-1]
+            ids = [x + end for x in encoder.encode_many(batch.column(2)).to_pylist()]
+            tokens, at = [len(x) // 4 for x in ids], []
+            for source, n in zip(batch.column(1).to_pylist(), tokens):
+                at.append(place.get(source, 0))
+                place[source] = at[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(queue, pa.int32()),
+                [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()),
                  pa.array(at, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "source", "part", "queue", "at", "doc_tokens", "ids"])
+                names=["doc_id", "source", "part", "at", "doc_tokens", "ids"])
 
-    made = rows.mapInArrow(encode, "doc_id long, source string, part long, queue int, at long, doc_tokens long, ids binary")
+    made = rows.mapInArrow(encode, "doc_id long, source string, part long, at long, doc_tokens long, ids binary")
     made = shared.written(made, "packing-ids", **{"parquet.enable.dictionary": "false"})
-    lane = F.when(F.col("queue") == 0, F.col("source")).alias("lane")
-    by_part = made.groupBy("part", "queue", lane).agg(F.sum("doc_tokens").alias("tokens"))
-    by_part = shared.written(by_part, "packing-totals")
-    before = Window.partitionBy("queue", "lane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_part.select("part", "queue", "lane", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-
-    totals = {r.queue: r.tokens for r in by_part.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
-    member, shift, sums, weights = merge_small(totals, {queue_of[s]: w for s, w in (targets or {}).items() if s != ""},
-                                               (targets or {}).get("", 1), length, targets is None)
-    schedule = Schedule(sums, weights, length)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # a source's lane is its name as a key without nulls
+    lane = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    made = made.withColumn("lane", lane)
+    by_part = shared.written(made.groupBy("part", "lane").agg(F.sum("doc_tokens").alias("tokens")), "packing-totals")
+    before = Window.partitionBy("lane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_part.select("part", "lane", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    sizes = by_part.groupBy("lane").agg(F.sum("tokens").alias("tokens"))
+    sizes = shared.written(sizes.select("lane", F.floor(F.col("tokens") / quantum).cast("long").alias("turns"),
+                                        F.pmod("tokens", F.lit(quantum)).alias("rest"),
+                                        F.pmod(F.xxhash64("lane"), F.lit(BUCKETS)).alias("bucket")), "packing-sources")
+
+    listed = {"=" + s: w for s, w in (targets or {}).items() if s != ""}
+    own = {r.lane: r for r in sizes.where(F.col("lane").isin(list(listed))).collect()} if listed else {}
+    others = sizes.where(~F.col("lane").isin(list(own))) if own else sizes
+    buckets = others.groupBy("bucket").agg(F.sum("turns").alias("turns"), F.sum("rest").alias("rest")).orderBy("bucket").collect()
+    whole = sum(r.rest for r in buckets) // quantum
+    top = [*(r.turns for r in buckets), whole]
+    upper = tree([(n, n) for n in top])
+    roots = tree([((targets or {}).get("", 1), sum(top)), *((max(1, listed[s]), r.turns) for s, r in own.items())])
+    root, after = roots[0], (sum(top) + sum(r.turns for r in own.values())) * quantum
+    remainders = (upper[-1] + root, whole, after)
+    above, at = {}, 0
+    for levels, r in zip(upper, buckets):
+        above[r.bucket] = (flat(levels), at)
+        at += r.rest
+    fixed = {}
+    for levels, (s, r) in zip(roots[1:], own.items()):
+        fixed[s] = (levels, r.turns, at)
+        at += r.rest
+    sequences = Sequences(after + at - whole * quantum, length)
+
+    def grown(table: pa.Table) -> pa.Table:
+        import numpy as np
+        table = table.sort_by("lane")
+        whole, rest = table.column("turns").to_pylist(), table.column("rest").to_pylist()
+        path, tail = above[table.column("bucket")[0].as_py()]
+        paths = [flat(levels) + path for levels in tree([(n, n) for n in whole])]
+        return pa.table({"lane": table.column("lane"), "path": pa.array(paths, pa.list_(pa.int64())), "turns": table.column("turns"),
+                         "tail": pa.array(tail + np.cumsum([0, *rest])[:-1], pa.int64())})
+
+    paths = others.groupBy("bucket").applyInArrow(grown, "lane string, path array<long>, turns long, tail long")
+    lanes = base.join(paths, "lane", "left")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         for batch in shared.in_slices(batches):
-            out = []
-            for doc_id, source, queue, at, tokens, ids, path in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                view = memoryview(ids)
-                out += [(doc_id, source, s, n, zlib.crc32(view[4 * s:4 * (s + n)]), tokens, w, o)
-                        for s, n, w, o in schedule.cut(member[queue] if path is None else tuple(path), shift[queue] + at, tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
-    at = (F.col("base") + F.col("at")).alias("at")
-    placed = made.where("queue <> 0").join(base.where("queue <> 0").drop("lane"), ["part", "queue"])
-    placed = placed.select("doc_id", "source", "queue", at, "doc_tokens", "ids", F.lit(None).cast("array<long>").alias("path"))
-    if 0 in totals:
-        tail = base.where("queue = 0").drop("queue").withColumnRenamed("part", "of").join(paths(by_part.where("queue = 0"), member[0]), F.col("lane").eqNullSafe(F.col("leaf")))
-        tail = made.where("queue = 0").join(tail, (F.col("part") == F.col("of")) & F.col("source").eqNullSafe(F.col("lane")))
-        placed = placed.union(tail.select("doc_id", "source", "queue", at, "doc_tokens", "ids", "path"))
-    return placed.mapInArrow(cut, ", ".join(f"{c} {'string' if c == 'source' else 'long'}" for c in names))
-
-
-def paths(by_part: DataFrame, root: tuple[int, ...]) -> DataFrame:
-    """(leaf, path): each lane's path to queue 0's root, below the node with the path ``root``."""
-    import pyarrow as pa
+            at, tokens = batch.column("at").to_numpy(), batch.column("doc_tokens").to_numpy()
+            names = batch.column("lane").dictionary_encode()
+            which, groups = names.indices.to_numpy(), []
+            for g, name in enumerate(names.dictionary.to_pylist()):
+                docs_ = np.flatnonzero(which == g)
+                k = int(docs_[0])
+                if name in fixed:
+                    groups.append((docs_, *fixed[name]))
+                else:
+                    groups.append((docs_, levels_of(batch.column("path")[k].as_py()) + root, batch.column("turns")[k].as_py(), batch.column("tail")[k].as_py()))
+            doc, start, size, sequence, offset = cut(at, tokens, groups, remainders, quantum, sequences)
+            ids = [memoryview(x) for x in bpe.values(batch.column("ids"))]
+            crc = [zlib.crc32(ids[d][a:b]) for d, a, b in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist())]
+            taken = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(taken), batch.column("source").take(taken), pa.array(start), pa.array(size),
+                 pa.array(crc, pa.int64()), pa.array(tokens[doc]), pa.array(sequence), pa.array(offset)],
+                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    placed = made.join(lanes, ["part", "lane"]).select("doc_id", "source", "lane", (F.col("base") + F.col("at")).alias("at"),
+                                                       "doc_tokens", "ids", "path", "turns", "tail")
+    return placed.mapInArrow(pieces, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def flat(levels: list[tuple]) -> list[int]:
+    """Levels of one segment each as a list: side, weight of the left side, weight of the right side."""
+    return [int(x) for right, _, left, a, b in levels for x in (right, a[0], b[0])]
+
 
-    sizes = by_part.groupBy("lane").agg(F.sum("tokens").alias("tokens")).withColumn("bucket", F.pmod(F.xxhash64("lane"), F.lit(BUCKETS)))
-    sizes = shared.written(sizes, "packing-sources")
-    top = [(r.bucket, r.tokens) for r in sizes.groupBy("bucket").agg(F.sum("tokens").alias("tokens")).collect()]  # one row per bucket
-    above = {bucket: path + root for (bucket, _), path in zip(top, tree([(n, n) for _, n in top]))}
-
-    def grown(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("lane")
-        below = tree([(n, n) for n in rows.column("tokens").to_pylist()])
-        rest = above[rows.column("bucket")[0].as_py()]
-        return pa.table({"leaf": rows.column("lane"), "path": pa.array([path + rest for path in below], pa.list_(pa.int64()))})
-
-    return sizes.groupBy("bucket").applyInArrow(grown, "leaf string, path array<long>")
-
-
-def merge_small(totals: dict[int, int], weights: dict[int, int], other: int, length: int, natural: bool):
-    """Queues whose target is less than one token a window, and all but the QUEUES largest, become
-    leaves of queue 0's tree.
-
-    Returns (queue of the schedule or path in queue 0's tree, place of its first token there) by
-    queue, and the schedule's totals and weights."""
-    given = {q: totals[q] if natural else max(1, weights.get(q, other)) for q in sorted(totals)}
-    whole = sum(given.values())
-    large = [q for q in given if q and given[q] * length >= whole]
-    own = sorted(sorted(large, key=lambda q: -given[q])[:QUEUES])
-    small = [q for q in given if q not in set(own)]
-    member = {q: k for k, q in enumerate(own, 1)} | dict(zip(small, tree([(given[q], totals[q]) for q in small])))
-    sums = [sum(totals[q] for q in small), *(totals[q] for q in own)]
-    return member, dict.fromkeys(totals, 0), sums, [max(1, sum(given[q] for q in small)), *(given[q] for q in own)]
+def levels_of(path: list[int]) -> list[tuple]:
+    import numpy as np
+    return [(right, np.array([0, a + b]), np.array([0, a]), np.array([a]), np.array([b]))
+            for right, a, b in zip(path[::3], path[1::3], path[2::3])]
