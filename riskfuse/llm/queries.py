@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, crosspoly, gam, line_spread, packing, setsketch, token_store, url_reputation, warc, winnow
+from riskfuse.llm import bpe, crosspoly, gam, line_spread, linear_grouping, packing, setsketch, token_store, url_reputation, warc, winnow
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op6(spark, sf_dir):
 @query("op1_cross_polytope")
 def op1(spark, sf_dir):
     return crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_linear_grouping")
+def op13(spark, sf_dir):
+    return linear_grouping.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
