@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, crosspoly, gam, line_spread, linear_grouping, packing, setsketch, token_store, url_reputation, warc, winnow
+from riskfuse.llm import bpe, crosspoly, gam, line_spread, linear_grouping, packing, setsketch, token_store, url_reputation, warc, whitening, winnow
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op1(spark, sf_dir):
 @query("op13_linear_grouping")
 def op13(spark, sf_dir):
     return linear_grouping.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
+
+
+@query("op12_cholesky_whitening")
+def op12(spark, sf_dir):
+    return whitening.components(table(spark, sf_dir, "embeddings"))
