@@ -65,13 +65,15 @@ class Decoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         code = {c: b for b, c in enumerate(byte_alphabet())}
-        self.pieces = {i: bytes(code[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in code for c in t)}
-        self.pieces |= {a["id"]: a["content"].encode() for a in spec.get("added_tokens") or []}
+        pieces = {i: bytes(code[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in code for c in t)}
+        self.index(pieces | {a["id"]: a["content"].encode() for a in spec.get("added_tokens") or []})
 
+    def index(self, pieces: dict[int, bytes]) -> None:
         import numpy as np
         import pyarrow as pa
-        self._ids = np.array(sorted(self.pieces), dtype=np.uint32)
-        self._bytes = pa.array([self.pieces[i] for i in self._ids.tolist()] + [b""], pa.large_binary())
+        self.pieces = pieces
+        self._ids = np.array(sorted(pieces), dtype=np.uint32)
+        self._bytes = pa.array([pieces[i] for i in self._ids.tolist()] + [b""], pa.large_binary())
 
     def joined(self, ids) -> tuple:
         """(bytes of the ids one after the other, end of each id's bytes) of an array of ids; unknown ids have no bytes."""

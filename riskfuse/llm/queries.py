@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfuse.llm import bpe, crosspoly, gam, line_spread, linear_grouping, packing, setsketch, token_store, url_reputation, warc, whitening, winnow
+from riskfuse.llm import alignment, bpe, crosspoly, gam, line_spread, linear_grouping, packing, setsketch, token_store, url_reputation, warc, whitening, winnow
 from riskfuse.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def byte_bpe() -> str:
     """Path of the public byte-level BPE file, the tokenizer of the registered queries."""
     import public_tokenizers
@@ -105,3 +110,8 @@ def op13(spark, sf_dir):
 @query("op12_cholesky_whitening")
 def op12(spark, sf_dir):
     return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_interval_alignment")
+def op11(spark, sf_dir):
+    return alignment.summary(table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
