@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from riskfuse.plans.oracle import REQ_CTE, register
 from riskfuse.plans.oracle_text import strip
-from riskfuse.plans.views import IDENTITY_SQL, IEEE_SQL, LABELLED_SQL, LEDGER_SQL, PREDS_SQL
+from riskfuse.plans.views import IDENTITY_SQL, IEEE_SQL, LABELLED_SQL, LEDGER_SQL, PREDS_SQL, SKEWED_SQL
 
 P_CTE = f"p AS ({PREDS_SQL})"
 L_CTE = f"l AS ({LABELLED_SQL})"
@@ -103,21 +103,40 @@ def rank_cte(src: str, key: str, ties: str = "") -> str:
     return f"rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || {key}){ties}) - 1 AS r FROM {src})"
 
 
-SPLIT_CTES = f"""
-{L_CTE},
+def split_ctes(source: str, rank: str) -> str:
+    return f"""
+{source},
 c AS (SELECT label, count(*) AS cnt FROM l GROUP BY label),
 t AS (SELECT sum(cnt) AS n, CAST(ceil((0.15e0 + 0.15e0) * sum(cnt)) AS BIGINT) AS n_temp FROM c),
 ct AS (SELECT label, cnt FROM c),
 {alloc_ctes('ct', '(SELECT n - n_temp FROM t)', 'tr', 'a')},
 tc AS (SELECT label, cnt - alloc AS cnt FROM tr),
 {alloc_ctes('tc', '(SELECT n_temp - CAST(ceil((1e0 - 0.15e0 / (0.15e0 + 0.15e0)) * n_temp) AS BIGINT) FROM t)', 'va', 'b')},
-{rank_cte('l', 'transaction_id')}"""
+{rank}"""
+
+
+SPLIT_CTES = split_ctes(L_CTE, rank_cte("l", "transaction_id"))
+SPLIT_CASE = "CASE WHEN r < tr.alloc THEN 'train' WHEN r < tr.alloc + va.alloc THEN 'validation' ELSE 'test' END AS split"
 
 register("stratified_split", f"""WITH {SPLIT_CTES}
-SELECT rk.transaction_id, rk.label,
-  CASE WHEN r < tr.alloc THEN 'train' WHEN r < tr.alloc + va.alloc THEN 'validation' ELSE 'test' END AS split
+SELECT rk.transaction_id, rk.label, {SPLIT_CASE}
 FROM rk JOIN tr ON rk.label = tr.label JOIN va ON rk.label = va.label""")
 
+#: Rows of a class by md5 of the id (a null id has a text of its own), then by the other columns.
+SKEWED_CTE = f"l AS ({SKEWED_SQL})"
+SKEWED_RANK = """rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
+  md5(coalesce('42:' || transaction_id, '42')), step) - 1 AS r FROM l)"""
+
+register("stratified_split_skewed", f"""WITH {split_ctes(SKEWED_CTE, SKEWED_RANK)}
+SELECT rk.transaction_id, rk.label, rk.step, {SPLIT_CASE}
+FROM rk JOIN tr ON rk.label IS NOT DISTINCT FROM tr.label JOIN va ON rk.label IS NOT DISTINCT FROM va.label""")
+register("stratified_sample_skewed", f"""WITH {SKEWED_CTE},
+c AS (SELECT label, count(*) AS cnt FROM l GROUP BY label),
+{alloc_ctes('c', '2000', 'al', 'a')},
+{SKEWED_RANK}
+SELECT rk.transaction_id, rk.label, rk.step FROM rk JOIN al ON rk.label IS NOT DISTINCT FROM al.label
+WHERE (SELECT sum(cnt) FROM c) <= 2000 OR r < al.alloc""")
+
 
 def sample_ctes(src: str, n: int, key: str, ties: str = "") -> str:
     return f"""

@@ -88,6 +88,17 @@ def q_stratified_sample(spark, sf_dir):
     return DS.stratified_sample(labelled(spark, sf_dir), SAMPLE_N).select("transaction_id", "label")
 
 
+@query("stratified_split_skewed")
+def q_stratified_split_skewed(spark, sf_dir):
+    """Null ids and classes, hundreds of classes, one id that holds a third of all rows."""
+    return DS.stratified_split(view(spark, sf_dir, "skewed"))
+
+
+@query("stratified_sample_skewed")
+def q_stratified_sample_skewed(spark, sf_dir):
+    return DS.stratified_sample(view(spark, sf_dir, "skewed"), MIX_SAMPLE_N)
+
+
 @query("rate_before_after")
 def q_rate_before_after(spark, sf_dir):
     df = labelled(spark, sf_dir)

@@ -136,6 +136,16 @@ FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 """
 
+# Rows that are hard to sample: an id that a third of them share, null ids, a null class among
+# nearly 1,000, and rows that are equal in every column.
+SKEWED_SQL = """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot'
+            WHEN l_orderkey % 50 <> 1 THEN CAST(l_orderkey * 10 + l_linenumber AS STRING) END AS transaction_id,
+       CASE WHEN l_partkey % 211 <> 0 THEN l_partkey % 990 END AS label,
+       l_linenumber AS step
+FROM lineitem
+"""
+
 VIEWS = {
     "txn_req": TXN_REQ_SQL,
     "labelled": LABELLED_SQL,
@@ -143,6 +153,7 @@ VIEWS = {
     "ledger": LEDGER_SQL,
     "identity": IDENTITY_SQL,
     "ieee": IEEE_SQL,
+    "skewed": SKEWED_SQL,
 }
 
 VIEW_TABLES = {
@@ -152,6 +163,7 @@ VIEW_TABLES = {
     "ledger": ("lineitem", "orders"),
     "identity": ("customer",),
     "ieee": ("orders", "customer"),
+    "skewed": ("lineitem",),
 }
 
 

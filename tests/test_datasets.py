@@ -42,3 +42,62 @@ def test_sample_rank_is_reproducible(spark):
     a = sorted(r.transaction_id for r in DS.stratified_sample(df, 50).collect())
     b = sorted(r.transaction_id for r in DS.stratified_sample(df.repartition(7), 50).collect())
     assert a == b
+
+
+def brute_ranks(rows, seed=42):
+    """Rows of a class by md5 of the id, then by the other columns, nulls first."""
+    from hashlib import md5
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    return {k: sorted(v, key=lambda r: (md5((str(seed) if r[0] is None else f"{seed}:{r[0]}").encode()).hexdigest(), r[2] is not None, r[2] or 0))
+            for k, v in by.items()}
+
+
+def awkward_rows():
+    """Null ids and labels, an id that holds a third of all rows, rows equal in every column, many classes."""
+    rows = [("hot", k % 2, k // 5 % 40) for k in range(600)]          # equal rows among them
+    rows += [(None, k % 3 or None, k % 4) for k in range(300)]
+    rows += [(f"i{k}", k % 2, k) for k in range(500)] + [(f"n{k}", None, None) for k in range(100)]
+    return rows + [(f"c{k}", 1000 + k % 190, k) for k in range(600)]
+
+
+def test_awkward_rows_against_brute_force(spark, monkeypatch):
+    from collections import Counter
+    from riskfuse.operators import selection
+    monkeypatch.setattr(selection, "RANKED", 5)   # several rounds
+    monkeypatch.setattr(selection, "COPIES", 3)
+    rows = awkward_rows()
+    df = spark.createDataFrame(rows, "transaction_id string, label int, x int").repartition(7)
+    ranked = brute_ranks(rows)
+    counts = {k: len(v) for k, v in ranked.items()}
+    for n in (1, 300, 1111, len(rows) - 1, len(rows) + 5):
+        got = Counter(map(tuple, DS.stratified_sample(df, n).collect()))
+        alloc = DS.approximate_mode(counts, min(n, len(rows)))
+        assert got == Counter(r for k, v in ranked.items() for r in v[:alloc[k]]) and sum(got.values()) == min(n, len(rows))
+    got = Counter(map(tuple, DS.stratified_split(df).collect()))
+    want = Counter()
+    for k, (a, b, _) in DS.split_sizes(counts).items():
+        want.update((*r, "train" if i < a else "validation" if i < a + b else "test") for i, r in enumerate(ranked[k]))
+    assert got == want
+
+
+def test_a_thousand_classes_and_no_more(spark):
+    import pytest
+    df = spark.range(3000).selectExpr("cast(id as string) transaction_id", "id % 1000 label")
+    sizes = DS.stratified_split(df).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in sizes} == {"train": 2100, "validation": 450, "test": 450}
+    assert DS.stratified_sample(df, 1500).groupBy("label").count().count() == 1000
+    with pytest.raises(ValueError):
+        DS.stratified_sample(spark.range(3000).selectExpr("cast(id as string) transaction_id", "id % 1001 label"), 5)
+
+
+def test_no_rows_are_shuffled(spark):
+    df = spark.range(2000).selectExpr("cast(id as string) transaction_id", "id % 2 label", "id x")
+    plan = DS.stratified_sample(df, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "transaction_id string, label int, x int")
+    assert DS.stratified_sample(df, 10).count() == 0 and DS.stratified_split(df).count() == 0
