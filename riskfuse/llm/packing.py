@@ -247,7 +247,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 1024,
                          "tail": pa.array(tail + np.cumsum([0, *rest])[:-1], pa.int64())})
 
     paths = others.groupBy("bucket").applyInArrow(grown, "lane string, path array<long>, turns long, tail long")
-    lanes = base.join(paths, "lane", "left")
+    # written first, so that its size decides how it is joined: with few sources the ids are not shuffled
+    lanes = shared.written(base.join(paths, "lane", "left"), "packing-lanes")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
