@@ -71,8 +71,13 @@ def with_velocity(df: DataFrame, key: str = "cust_id", ts: str = "ts", days: int
     w = Window.partitionBy("_vk").orderBy(F.unix_date("_vd")).rangeBetween(-(days - 1), 0)
     vel = daily.select("_vk", "_vd", F.sum("_vn").over(w).alias("txn_count_window"))
     out = df.join(vel, (F.col(key) == F.col("_vk")) & (day == F.col("_vd")), "left").drop("_vk", "_vd")
-    n = F.coalesce(F.col("txn_count_window").cast("double"), F.lit(1.0))  # no customer or no time: the base risk
-    return out.withColumn("velocity_risk", rnd(F.least(F.lit(cap), F.lit(base) + F.lit(step) * (n - 1)), 4))
+    return out.withColumn("velocity_risk", velocity_of(F.col("txn_count_window"), base, step, cap))
+
+
+def velocity_of(count: F.Column, base: float = 0.1, step: float = 0.1, cap: float = 0.5) -> F.Column:
+    """Velocity risk of a trailing count; without one (no customer or no time) the base risk."""
+    n = F.coalesce(count.cast("double"), F.lit(1.0))
+    return rnd(F.least(F.lit(cap), F.lit(base) + F.lit(step) * (n - 1)), 4)
 
 
 NUM_COLS = ["score_numerical", "amount_anomaly", "velocity_risk", "pattern_deviation", "geo_risk"]

@@ -8,11 +8,18 @@ from riskfuse.plans.oracle import ORACLES, register, service_chain
 _W2, _W3 = C.SERVICE_WEIGHTS[(True, False)], C.SERVICE_WEIGHTS[(True, True)]
 
 register("stream_evaluate", ORACLES["evaluate"])
+register("stream_evaluate_velocity", ORACLES["evaluate"])
 register("stream_counters", service_chain() + "SELECT decision, count(*) AS n FROM decisions GROUP BY decision")
 register("stream_velocity", """
 SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n
 FROM events GROUP BY ALL""")
+register("stream_late_rows", """
+WITH e AS (SELECT event_id, user_id, ts, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+             CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts + CASE WHEN event_id % 41 = 0 THEN INTERVAL 8 DAYS ELSE INTERVAL 0 DAYS END AS DATE)) / 5e0) AS INTEGER) AS block FROM events),
+b AS (SELECT block, max(epoch_ms(ts)) AS largest, CAST(row_number() OVER (ORDER BY block) - 1 AS INTEGER) AS batch_id FROM e GROUP BY block),
+w AS (SELECT block, batch_id, max(largest) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 3600000 AS closed FROM b)
+SELECT event_id, user_id, ts, window_end, batch_id FROM e JOIN w USING (block) WHERE epoch_ms(window_end) <= closed""")
 register("stream_refuse", service_chain() + """,
 v AS (SELECT transaction_id, ts + to_minutes(okey % 13) AS voice_ts, score_voice FROM sc WHERE score_voice IS NOT NULL),
 j AS (SELECT t.transaction_id, t.ts AS text_ts, t.score_numerical, t.score_nlp, v.voice_ts, v.score_voice

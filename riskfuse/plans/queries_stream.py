@@ -10,6 +10,7 @@ from riskfuse.operators import fusion as FO
 from riskfuse.plans.registry import audit_log, query, valid_requests
 from riskfuse.session import materialize, read_table
 from riskfuse.streaming import stream as ST
+from riskfuse.streaming import velocity as VE
 
 def _request_stream(spark, sf_dir):
     """Valid requests with their upstream velocity feature, staged as files and read as a stream."""
@@ -34,19 +35,60 @@ def q_stream_counters(spark, sf_dir):
     return ST.latest_by_key(spark.read.parquet(sink), "decision", [])
 
 
+@query("stream_evaluate_velocity")
+def q_stream_evaluate_velocity(spark, sf_dir):
+    """Requests without any velocity feature, replayed in order of time in several micro-batches; velocity is counted in
+    the stream's own state. A closing record closes the last day."""
+    req = FO.attach_text_voice(FO.resolve_modalities(valid_requests(spark, sf_dir))).drop(*FO.TEXT_COLS)
+    src, sink, ck = ST.work_dir(spark, "requests"), ST.work_dir(spark, "decisions"), ST.work_dir(spark, "ck")
+    ST.stage_files_ordered(req, src, "ts", files=4)
+    req = spark.read.schema(req.schema).parquet(src)
+    last = req.agg(F.max("ts").alias("ts")).select(F.lit(ST.CLOSING).alias("transaction_id"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+
+    def run():
+        stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        with VE.keyed_state(spark):
+            ST.run_available_now(VE.evaluate_stream(stream), sink, ck)
+
+    run()
+    closing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in last.columns else F.col(f.name) for f in req.schema]
+    ST.stage_files(last.select(*closing).withColumn("cust_id", F.lit(-1).cast(req.schema["cust_id"].dataType)), src)
+    run()
+    return spark.read.parquet(sink).filter(F.col("transaction_id") != ST.CLOSING)
+
+
 @query("stream_velocity")
 def q_stream_velocity(spark, sf_dir):
-    """Per-user event counts in 1-hour event-time windows (watermark 1 hour, update mode), staged by
-    one job in ranges of event time."""
+    """Per-user event counts in 1-hour event-time windows (watermark 1 hour, update mode), replayed in order of time in
+    several micro-batches, so that the watermark closes windows on the way."""
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts")
     src, sink, ck = ST.work_dir(spark, "events"), ST.work_dir(spark, "velocity"), ST.work_dir(spark, "ck")
     ST.stage_files_ordered(ev, src, "ts")
-    # files of one job have no order in time, so they are one micro-batch: none is late for another
-    stream = spark.readStream.schema(ev.schema).parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
     ST.run_available_now(ST.velocity_windows(stream, "user_id", "ts"), sink, ck, mode="update", sink="log")
     return ST.latest_by_key(spark.read.parquet(sink), ["user_id", "window_start", "window_end"], [])
 
 
+def arrivals(spark, sf_dir):
+    """Events by arrival, a file each five days; every 41st arrives eight days after it happened."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    arrival = F.col("ts") + F.when(F.col("event_id") % 41 == 0, F.expr("INTERVAL 8 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    ev = ev.withColumn("block", F.floor(F.datediff(arrival, F.lit("2024-01-01")) / 5).cast("int"))
+    src = ST.work_dir(spark, "arrivals")
+    ev.repartition("block").write.partitionBy("block").parquet(src)
+    ST.ordered_files(spark, src)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@query("stream_late_rows")
+def q_stream_late_rows(spark, sf_dir):
+    """The rows that 1-hour windows with a watermark of one hour leave out, with the batch they came in."""
+    path, ck = ST.work_dir(spark, "late"), ST.work_dir(spark, "ck")
+    ST.run_available_now(arrivals(spark, sf_dir), path, ck, sink=ST.late_split_sink(path, "ts", 3_600_000, 3_600_000))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.where(F.col("late").cast("boolean")).select("event_id", "user_id", "ts", "window_end", "batch_id")
+
+
 @query("stream_audit_sink")
 def q_stream_audit_sink(spark, sf_dir):
     """Audit rows through a replay-safe batch-partitioned log; last write per request wins."""
@@ -72,12 +114,12 @@ def q_stream_refuse(spark, sf_dir):
         .alias("voice_ts"), "score_voice")
     t_src, v_src = ST.work_dir(spark, "text"), ST.work_dir(spark, "voice")
     sink, ck = ST.work_dir(spark, "refuse"), ST.work_dir(spark, "ck")
-    ST.stage_files(text, t_src)
-    ST.stage_files(voice, v_src)
+    ST.stage_files_ordered(text, t_src, "text_ts", files=4)
+    ST.stage_files_ordered(voice, v_src, "voice_ts", files=4)
 
     def run():
-        ts = spark.readStream.schema(text.schema).parquet(t_src)
-        vs = spark.readStream.schema(voice.schema).parquet(v_src)
+        ts = spark.readStream.schema(text.schema).option("maxFilesPerTrigger", 2).parquet(t_src)
+        vs = spark.readStream.schema(voice.schema).option("maxFilesPerTrigger", 2).parquet(v_src)
         ST.run_available_now(ST.refuse(ST.refuse_join(ts, vs)), sink, ck)
 
     run()
