@@ -29,6 +29,9 @@ from riskfuse.llm import shared
 SPAN, BLOCK, QUERY_BLOCK, SEED = 32, 4096, 2048, 11
 SAMPLE, RECALL = 256, 0.95
 
+#: Stands for scores below the range of doubles while candidates are chosen.
+LOWEST = -1.7e308
+
 
 def rotated(x, table: int):
     """Rows of ``x`` (a power of two of columns) under the pseudo-rotation of a table."""
@@ -46,6 +49,15 @@ def rotated(x, table: int):
     return x
 
 
+def scaled(x):
+    """(x / m, log2(m), norm of x / m) by row, m being the largest component: norms of any finite vector without
+    overflow or underflow."""
+    import numpy as np
+    m = np.abs(x).max(1)
+    x = x / m[:, None]
+    return x, np.log2(m), np.sqrt((x ** 2).sum(1))
+
+
 def on_sphere(x, largest, width: int):
     """Unit vectors of ``width`` columns for vectors whose norms are ``largest`` (by row) at most."""
     import numpy as np
@@ -87,17 +99,25 @@ def usable(vectors: DataFrame) -> DataFrame:
 def best(q, qid, c, cid, allowed, k: int):
     """(query, candidate, score) of each query's ``k`` nearest among the candidates that ``allowed`` (by block of
     queries: a mask) admits; ties to the smaller id."""
+    import numpy as np
+    with np.errstate(over="ignore", invalid="ignore"):
+        yield from _best(q, qid, c, cid, allowed, k)
+
+
+def _best(q, qid, c, cid, allowed, k: int):
     import numpy as np
     eps = 1e-10 * (np.sqrt((c ** 2).sum(1).max()) if len(c) else 0)
     for s in range(0, len(q), 256):
-        score = np.where(allowed(slice(s, s + 256)), q[s:s + 256] @ c.T, -np.inf)
+        score = q[s:s + 256] @ c.T
+        score = np.where(allowed(slice(s, s + 256)) & ~np.isnan(score), np.maximum(score, LOWEST), -np.inf)
         score[qid[s:s + 256, None] == cid[None, :]] = -np.inf
         for row, x, i in zip(score, q[s:s + 256], qid[s:s + 256].tolist()):
             there = int((row > -np.inf).sum())
             if not there:
                 continue
-            kth = np.partition(row, -k)[-k] if there > k else -np.inf
-            near = np.flatnonzero(row >= kth - eps * np.sqrt((x ** 2).sum())) if there > k else np.flatnonzero(row > -np.inf)
+            slack = eps * np.sqrt((x ** 2).sum())
+            kth = np.partition(row, -k)[-k] - slack if there > k and np.isfinite(slack) else LOWEST
+            near = np.flatnonzero(row >= kth)
             exact = (c[near] * x).sum(1)
             order = np.lexsort((cid[near], -exact))[:k]
             yield from zip([i] * len(order), cid[near][order].tolist(), exact[order].tolist())
@@ -118,7 +138,8 @@ def searched(hashed: DataFrame, queries: DataFrame, largest: dict[int, float], d
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             x = matrix(batch.column(1), dim, code)
             unit = np.zeros((len(x), width))
-            unit[:, :dim] = x / np.sqrt((x ** 2).sum(1))[:, None]
+            small, _, norm = scaled(x)
+            unit[:, :dim] = small / norm[:, None]
             for table in tables:
                 nearest_axes = probes_of(unit, table, max(looks))
                 for most, bands in looks.items():
@@ -184,7 +205,8 @@ def measured(hashed: DataFrame, asking: DataFrame, largest: dict[int, float], di
         v = bytes(r.v)
         if v not in orders:
             x = np.frombuffer(v, dtype=code).astype(np.float64)
-            unit[0, :dim] = x / np.sqrt((x ** 2).sum())
+            small, _, norm = scaled(x[None, :])
+            unit[0, :dim] = small[0] / norm[0]
             orders[v] = [np.argsort(probes_of(unit, t, 2 * width)[0]) for t in range(tables)]
         depths.setdefault(r.band, []).append(1 + min(int(orders[v][t][b]) for t, b in enumerate(r.buckets)))
     need = {}
@@ -200,7 +222,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 4, probes:
 
     ``vectors``: vec_id, embedding. Candidates are all other usable rows; shorter vectors count as filled
     up with zeros. Rows that repeat an id and vector count once, ids that repeat with other vectors give
-    their best; equal scores rank by smaller id. Fewer than ``k`` rows come back only where there are
+    their best; equal scores rank by smaller id. Scores beyond doubles are infinite; pairs whose score is no number
+    (infinite parts of either sign) don't count. Fewer than ``k`` rows come back only where there are
     fewer candidates. No usable row or no query: an empty result.
     """
     import pyarrow as pa
@@ -208,9 +231,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 4, probes:
     spark = vectors.sparkSession
     rows = usable(vectors)
     code = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    norms = rows.select(F.size("v").alias("dim"), F.sqrt(square).alias("norm")).groupBy(F.round(F.log2("norm")).cast("int").alias("band")).agg(
-        F.max("norm").alias("norm"), F.max("dim").alias("dim")).collect()  # one row for each power of two
+    m = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.col("m")) * (x.cast("double") / F.col("m")))
+    size = rows.withColumn("m", m).select(F.size("v").alias("dim"), (F.log2("m") + F.log2(F.sqrt(square))).alias("size"))
+    # norms as 2^band times ``norm``, which lies between 0.7 and 1.5
+    norms = size.groupBy(F.round("size").cast("int").alias("band")).agg(
+        F.max(F.pow(F.lit(2.0), F.col("size") - F.round("size"))).alias("norm"), F.max("dim").alias("dim")).collect()  # one row for each power of two
     if not norms:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     largest, dim = {r.band: r.norm for r in norms}, max(r.dim for r in norms)
@@ -225,11 +251,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 4, probes:
                 x[:len(v)] = v
                 raw.append(x.tobytes())
             x = matrix(pa.array(raw, pa.binary()), dim, code)
-            norm = np.sqrt((x ** 2).sum(1))
-            band = np.round(np.log2(norm)).astype(np.int32)
+            small, m, norm = scaled(x)
+            band = np.round(m + np.log2(norm)).astype(np.int32)
             for b in set(band.tolist()) - largest.keys():  # rounded otherwise than by Spark
                 band[band == b] = min(largest, key=lambda g: abs(g - b))
-            unit = on_sphere(x, np.maximum(norm, [largest[b] for b in band.tolist()]), width)
+            up = np.exp2(m - band)
+            unit = on_sphere(small * up[:, None], np.maximum(norm * up, [largest[b] for b in band.tolist()]), width)
             found = np.stack([buckets_of(unit, t) for t in range(tables)], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(band), pa.array(raw, pa.binary()), pa.array(list(found), pa.list_(pa.int32()))],
                                              names=["vec_id", "band", "v", "buckets"])

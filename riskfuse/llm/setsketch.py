@@ -111,7 +111,7 @@ def possible(k, n, others, sizes, similarity: float):
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null: no shingle) and sketch (a long for each band) of every row."""
+    """doc_id, key (the text's md5), n_shingles, digest (null: no shingle) and sketch (a long for each band) of every row."""
     import pyarrow as pa
 
     def run(batches):
@@ -119,20 +119,21 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
         hashes = _hashes()
         for batch in shared.in_slices(batches):
             sizes, digests, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, k)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(sketch(s, hashes).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                                              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "digest", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key string, n_shingles long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``wanted`` (rep, digest, n, sketch) with the shingle set of the text of each rep, sorted 64-bit hashes.
+    """``wanted`` (rep, doc, digest, n, sketch) with the shingle set of the text of each rep's document, sorted 64-bit hashes.
     Rows that repeat an id with another text are told apart by the digest."""
     import pyarrow as pa
 
@@ -146,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             rest = [batch.column(c) for c in range(2, 5)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], names=["rep", "n", "sketch", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc")
     return rows.select("text", "digest", "rep", "n", "sketch").mapInArrow(run, "rep long, n long, sketch array<long>, shingles binary")
 
 
@@ -226,23 +227,20 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("rep", "comp")
 
 
-def duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (the text's md5), n_shingles, component_id, and node, which rows of one
+    component share and no others (null for texts without words and for null ids of no class).
 
-    Two documents are linked if 100 times the shared shingles are at least ``similarity`` times those
-    of both; component_id is the smallest id that a document reaches over links, kept whether that is
-    its own. Documents without words (null, empty, blank) are linked with nothing. Rows that repeat an
-    id and text are alike; a null id takes the smallest id of its component, if there is one.
-    """
+    Equal shingle sets are one class; links join classes, so an id that repeats with other texts joins nothing."""
     own = shared.written(sketched(docs, k), "sketches")
     classes = own.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = shared.written(classes, "classes")
+        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = shared.written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     in_band = classes.select("rep", F.posexplode("sketch").alias("band", "key"))
     count = in_band.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = shared.written(in_band.join(count, ["band", "key"]), "buckets")
     wanted = buckets.select("rep").distinct()
-    sets = shared.written(full_sets(docs, classes.join(wanted, "rep"), k), "sets", **{"parquet.enable.dictionary": "false"})
+    sets = shared.written(full_sets(docs, classes.join(wanted, "rep").select("doc", "digest", "rep", "n", "sketch"), k), "sets", **{"parquet.enable.dictionary": "false"})
 
     links, comp = [], None
     for first, upto in PASSES:
@@ -260,15 +258,34 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
         links.append(shared.written(links_of(rows.join(sets, "rep"), similarity), "found-links"))
         comp = components(reduce(DataFrame.union, links))
 
-    label = classes.join(comp, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
+    low = classes.join(comp, "rep").groupBy("comp").agg(F.min("doc").alias("low"))
+    label = classes.join(comp, "rep", "left").join(low, "comp", "left")
+    label = label.select("digest", F.coalesce("comp", "rep").alias("node"), F.coalesce("low", "doc").alias("component_id"))
     out = own.join(label, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "key", "n_shingles", "component_id", "node")
+
+
+def duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Two documents are linked if 100 times the shared shingles are at least ``similarity`` times those
+    of both; component_id is the smallest id that a document reaches over links, kept whether that is
+    its own. Documents without words (null, empty, blank) are linked with nothing. Rows that repeat an
+    id and text are alike; rows that repeat an id with another text are documents of their own, linked by
+    their texts alone; a null id takes the smallest id of its component, if there is one.
+    """
+    out = grouped(docs, k, similarity)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one with its smallest id. Rows that
-    repeat an id are one document, of which one row stays; rows with a null id all stay."""
-    found = duplicates(docs.select("doc_id", "text"), k, similarity)
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where(F.col("doc_id").isNull()))
+    """``docs``, all columns, with one document of each component: the one with its smallest id (of several texts with that
+    id, the one with the smallest md5). Rows that repeat an id and text are one document, of which one row stays; rows
+    that repeat an id with unrelated texts all stay, as do rows with a null id."""
+    found = grouped(docs.select("doc_id", "text"), k, similarity).where(F.col("doc_id") == F.col("component_id"))
+    linked = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("of.*")
+    kept = linked.union(found.where(F.col("node").isNull()).select("doc_id", "key")).distinct()
+    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("key").alias("__of"))
+    rows = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__key") == F.col("__of")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__key"]).drop("__key").union(docs.where(F.col("doc_id").isNull()))

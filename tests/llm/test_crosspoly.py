@@ -96,3 +96,13 @@ def test_wide_vectors(spark):
         x = rng.normal(size=(1000, dim))
         rows = rows_of(x / np.linalg.norm(x, axis=1)[:, None])
         assert recall(found(spark, rows), brute(rows, 20)) >= 0.93
+
+
+def test_norms_beyond_the_range_of_squares(spark):
+    """Finite vectors whose squared norm over- or underflows take part like any others."""
+    rows = [(0, [1e-200, 1e-200], "", 0), (1, [1e200, 1.0], "", 0), (2, [-1e200, 3.0], "", 0), (3, [2e-200, -1e-300], "", 0), (4, [1.0, 1.0], "", 0),
+            (5, [1e308, 1e308], "", 0), (20, [1.0, 0.5], "", 0), (40, [5e-324, 0.0], "", 0), (60, [1e200, 1e200], "", 0)]
+    got = found(spark, rows)
+    assert [i for _, i, _ in got[0]] == [5, 60, 1, 4, 20, 3, 40, 2] and [i for _, i, _ in got[20]] == [5, 60, 1, 4, 3, 0, 40, 2]
+    assert [(i, s) for _, i, s in got[60]][:2] == [(1, np.inf), (5, np.inf)] and got[60][-1][1:] == (2, -np.inf)
+    assert set(got) == {0, 20, 40, 60} and all(len(v) == 8 for v in got.values())

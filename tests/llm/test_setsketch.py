@@ -109,3 +109,14 @@ def test_sketch_merges_and_estimates():
         kept += int(S.possible(S.sketch(a), len(a), S.sketch(near)[None], np.array([len(near)]), 0.8)[0])
         ruled += int(not S.possible(S.sketch(a), len(a), S.sketch(far)[None], np.array([len(far)]), 0.8)[0])
     assert kept == 200 and ruled > 150
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Unrelated texts of one id all stay and join nothing; of related ones and of equal rows one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, c), (5, c + " more"), (5, b.upper()), (5, "alone with few words"), (7, a + " x"), (7, a + " x"), (8, ""), (8, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text or "") for r in S.without_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == sorted([(1, a), (1, b), (2, c), (5, "alone with few words"), (8, "")])
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in S.duplicates(docs.where("doc_id is not null")).collect())
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (5, 2, False), (5, 1, False), (5, 5, True), (7, 1, False), (7, 1, False), (8, 8, True), (8, 8, True)])
