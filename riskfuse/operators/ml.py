@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normalizer, NGram, RegexTokenizer,
                                 SQLTransformer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from riskfuse import config as C
 from riskfuse.functions.numeric import clip
+from riskfuse.operators import linear
 from riskfuse.operators.text_ops import with_heuristic
 
 
@@ -155,18 +156,24 @@ def train_logreg(train: DataFrame, C_: float = 1.0, max_iter: int = 2000, label:
     return lr.fit(data.withColumn(label, F.col(label).cast("double")))
 
 
-def train_svm(train: DataFrame, C_: float = 1.0, max_iter: int = 5000, label: str = "label",
-              features: str = "features", tol: float = 1e-4):
-    """Class-balanced linear SVM (hinge loss; the reference's default is squared hinge)."""
+def train_svm(train: DataFrame, C_: float = 1.0, max_iter: int = 300, label: str = "label",
+              features: str = "features", tol: float = 1e-6) -> linear.LinearModel:
+    """Class-balanced linear SVM with squared hinge loss, the reference's default; ``tol`` bounds the gradient's norm."""
     data = balanced_weights(train, label)
-    total_w = total_weight(data)
-    svc = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-                    regParam=1.0 / (C_ * total_w), standardization=False, tol=tol)
-    return svc.fit(data.withColumn(label, F.col(label).cast("double")))
+    return linear.fit(data, [linear.Spec(f"svm_C{C_}", "svm", C_)], label, features, tolerance=tol, rounds=max_iter)[0]
+
+
+def train_grid(train: DataFrame, grid, label: str = "label", features: str = "features", max_iter: int = 300,
+               tol: float = 1e-6) -> list[linear.LinearModel]:
+    """Class-balanced models of all (kind, C) in ``grid``, from the same scans of ``train``."""
+    specs = [linear.Spec(f"{kind}_C{c}", kind, c) for kind, c in grid]
+    return linear.fit(balanced_weights(train, label), specs, label, features, tolerance=tol, rounds=max_iter)
 
 
 def positive_scores(pred: DataFrame) -> DataFrame:
     """Probability of class 1 when the model has one, else the raw margin."""
+    if "score" in pred.columns:
+        return pred
     if "probability" in pred.columns:
         return pred.withColumn("score", vector_to_array("probability")[1])
     return pred.withColumn("score", vector_to_array("rawPrediction")[1])

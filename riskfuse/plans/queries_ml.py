@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskfuse.functions.numeric import rnd
 from riskfuse.operators import datasets as DS
+from riskfuse.operators import linear
 from riskfuse.operators import metrics as M
 from riskfuse.operators import ml as ML
 from riskfuse.operators import text_ops as TO
@@ -63,11 +64,14 @@ def q_train_logreg(spark, sf_dir):
 
 @query("train_svm")
 def q_train_svm(spark, sf_dir):
-    """Test split; predictions must be the margin's side of zero."""
-    df, feats, model, _ = _fit_text_model(spark, sf_dir, "svm")
+    """Test split; predictions must be the margin's side of zero, and the squared hinge loss must have no slope left at the
+    fitted coefficients, counted a second way."""
+    df, feats, model, tr = _fit_text_model(spark, sf_dir, "svm")
+    flat = linear.gradient_norm(ML.balanced_weights(tr), model) < 1e-5
     out = _scored(df.filter(F.col("split") == "test"), feats, model)
     return materialize(out.select("transaction_id", "label", F.col("score").isNotNull().alias("score_ok"),
-                                  (F.col("prediction") == (F.col("score") > 0).cast("double")).alias("prediction_ok")), "svm-pred")
+                                  (F.col("prediction") == (F.col("score") > 0).cast("double")).alias("prediction_ok"),
+                                  F.lit(flat).alias("optimum_ok")), "svm-pred")
 
 
 def _report(df, feats, model, run):
@@ -105,22 +109,23 @@ GRID = (("logreg", 0.5), ("logreg", 1.0), ("svm", 1.0))
 
 @query("grid_search")
 def q_grid_search(spark, sf_dir):
-    """Parameter grid over model kind and C, ranked on validation metrics: the runs, and whether each
-    stands where its metrics put it."""
+    """Parameter grid over model kind and C, fitted in the same scans, ranked on validation metrics: the runs, whether each
+    is at its loss's optimum and stands where its metrics put it."""
     df = split_labelled(spark, sf_dir)
     train = df.filter(F.col("split") == "train")
     feats = ML.fit_features(train, max_features=50_000)  # the reference's default
     tr = materialize(feats.transform(train).select("label", "features"), "features")
-    runs = None
-    for kind, c in GRID:
-        model = ML.train_logreg(tr, c) if kind == "logreg" else ML.train_svm(tr, c)
-        rep = materialize(_report(df, feats, model, f"{kind}_C{c}").filter(F.col("split") == "validation"), "run")
+    runs, models = None, ML.train_grid(tr, GRID)
+    for model in models:
+        rep = materialize(_report(df, feats, model, model.spec.name).filter(F.col("split") == "validation"), "run")
         runs = rep if runs is None else runs.unionByName(rep)
-    board = M.leaderboard(runs.select("run", "pr_auc", "recall", "f1", "precision", "threshold", "metrics_ok"))
+    board = M.leaderboard(runs.select("run", "pr_auc", "recall", "f1", "precision", "threshold", "support", "fraud_rate", "metrics_ok"))
     rows = board.orderBy("rank").collect()  # one row per run
     key = [(r["pr_auc"], r["recall"], r["f1"], r["precision"]) for r in rows]
-    return spark.createDataFrame([(r["run"], r["metrics_ok"], r["rank"] == k + 1 and (not k or key[k - 1] >= key[k]))
-                                  for k, r in enumerate(rows)], "run string, metrics_ok boolean, in_order boolean")
+    flat = {m.spec.name: linear.gradient_norm(ML.balanced_weights(tr), m) < 1e-5 for m in models}
+    return spark.createDataFrame([(r["run"], r["support"], r["fraud_rate"], r["metrics_ok"], flat[r["run"]],
+                                   r["rank"] == k + 1 and (not k or key[k - 1] >= key[k])) for k, r in enumerate(rows)],
+                                 "run string, support long, fraud_rate double, metrics_ok boolean, optimum_ok boolean, in_order boolean")
 
 
 @query("train_voice_lr")

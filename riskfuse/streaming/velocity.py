@@ -63,7 +63,9 @@ def with_velocity_stream(requests: DataFrame, key: str = "cust_id", ts: str = "t
                          base: float = 0.1, step: float = 0.1, cap: float = 0.5) -> DataFrame:
     """Streaming counterpart of ``operators.fusion.with_velocity``: the same columns, computed in the stream."""
     from riskfuse.operators.fusion import velocity_of
+    from riskfuse.session import ship_package
 
+    ship_package(requests.sparkSession)
     rows = requests.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
     known = F.col(key).isNotNull() & F.col("_at").isNotNull()
     daily = (rows.where(known).groupBy(F.col(key).alias("key"), F.window("_at", "1 day"))
