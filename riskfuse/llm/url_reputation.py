@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riskfuse.llm import shared
 
-#: Public suffixes of two labels; all others count as one label (a fixed list, extend by parameter).
+#: Public suffixes of two labels; all others count as one label (a fixed list; a table of rules takes its place).
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "co.za")
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -33,13 +33,44 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return (F.translate(F.regexp_extract(text, URL, 1), upper, upper.lower()), F.regexp_extract(text, URL, 2))
 
 
+#: Addresses, which have no domain above them: four numbers, or anything in brackets.
+ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+
+
+def bare_host(host: Column) -> Column:
+    """A host without user, port and the dot of a fully qualified name."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+
+
 def domain_and_suffix(host: Column, two_labels=TWO_LABELS) -> tuple[Column, Column]:
-    """Registered domain (suffix and one label) and public suffix of a host; port and user are no
-    part of them. A host without a dot is its own domain and suffix."""
-    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    """Registered domain (suffix and one label) and public suffix of a host; port, user and a final dot are no
+    part of them. A host without a dot and an address are their own domain and suffix."""
+    bare = bare_host(host)
     last2, last3 = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -3)
-    two = last2.isin(list(two_labels))
-    return F.when(two, last3).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(bare, ".", -1))
+    two, address = last2.isin(list(two_labels)), F.regexp_like(bare, F.lit(ADDRESS))
+    return (F.when(address, bare).when(two, last3).otherwise(last2),
+            F.when(address, bare).when(two, last2).otherwise(F.substring_index(bare, ".", -1)))
+
+
+def with_suffix_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` (distinct host) with domain and suffix by a table of public suffix rules (column ``rule``): ``co.uk``;
+    ``*.ck``, any label before it; ``!www.ck``, an exception, whose suffix starts after its first label. An exception
+    wins, else the rule of most labels; a host that none fits has its last label as suffix.
+
+    Each tail of a host is looked up by a join, so the table may be of any size and is not collected."""
+    rule = F.lower(F.trim("rule"))
+    known = rules.where(F.col("rule").isNotNull() & (F.trim("rule") != "")).select(
+        F.regexp_replace(rule, r"^(!|\*\.)", "").alias("tail"),
+        F.when(F.startswith(rule, F.lit("!")), -1).when(F.startswith(rule, F.lit("*.")), 1).otherwise(0).alias("more")).distinct()
+    rows = hosts.withColumn("bare", bare_host(F.col("host")))
+    rows = rows.withColumn("labels", F.when(F.regexp_like("bare", F.lit(ADDRESS)), 0).otherwise(F.size(F.split("bare", r"\."))))
+    tails = rows.where("labels > 0").select("host", "labels", "bare", F.explode(F.sequence(F.lit(1), F.col("labels"))).alias("n"))
+    tails = tails.withColumn("tail", F.expr("substring_index(bare, '.', -n)"))
+    fits = tails.join(known, "tail").where("n + more between 1 and labels")
+    best = fits.groupBy("host").agg(F.max(F.struct((F.col("more") < 0).alias("wins"), (F.col("n") + F.col("more")).alias("n"))).alias("best"))
+    rows = rows.join(best.select("host", F.col("best.n").alias("n")), "host", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    return rows.withColumns({"domain": F.expr("if(labels = 0, bare, substring_index(bare, '.', -(n + 1)))"),
+                             "suffix": F.expr("if(labels = 0, bare, substring_index(bare, '.', -n))")}).drop("bare", "labels", "n")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -68,19 +99,23 @@ def shrunk(groups: DataFrame, s: float) -> Column:
     return (F.col("k") + F.lit(s) * F.col("above")) / (F.col("n") + F.lit(s))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffix_rules: DataFrame | None = None) -> DataFrame:
     """One row per host of ``pages`` (page_id, url): host, n, k (labelled and bad pages), ``bad_rate``
     (posterior mean) and ``bad_bound`` (its lower bound at ``z`` standard deviations), both rounded.
 
     ``outcomes``: page_id, bad (0 or 1; null counts as no label). A page with several outcomes is
-    bad if one is. Without any outcome every host has the rate 1/2 of an empty table, bound near 0.
+    bad if one is. ``suffix_rules``: public suffixes as a table (see ``with_suffix_rules``), else TWO_LABELS. Without any outcome every host has the rate 1/2 of an empty table, bound near 0.
     """
     host, _ = host_and_path(F.col("url"))
     seen = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = pages.select("page_id", host.alias("host")).join(seen, "page_id", "left")
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = shared.written(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    if suffix_rules is None:
+        hosts = shared.written(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    else:
+        hosts = shared.written(hosts.withColumnRenamed("n", "__n"), "host-counts")
+        hosts = shared.written(with_suffix_rules(hosts, suffix_rules).withColumnRenamed("__n", "n"), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = hosts.groupBy("suffix").agg(*sums)
@@ -100,7 +135,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
                         F.round(F.greatest(a / (a + b) - z * deviation, F.lit(0.0)), 6).alias("bad_bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], max_bad: float = 0.5, z: float = 1.645,
+          suffix_rules: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     The rule's verdict where one fits; else ``block`` if the host's lower bound is above ``max_bad``,
@@ -109,7 +145,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], m
     """
     rows = pages.select("page_id", "url")
     host, path = host_and_path(F.col("url"))
-    reputation = host_reputation(rows, outcomes.select("page_id", "bad"), z).drop("n", "k")
+    reputation = host_reputation(rows, outcomes.select("page_id", "bad"), z, suffix_rules).drop("n", "k")
     parsed = rows.select("page_id", host.alias("host"), path.alias("path")).join(reputation, "host", "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")

@@ -89,3 +89,34 @@ def test_bad_host_is_blocked_and_odd_rows_pass(spark):
 def test_native(spark):
     plan = U.judge(spark.createDataFrame([(1, "http://a.b/", 0, "")], PAGES), spark.createDataFrame([(1, 0)], OUT), U.RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_addresses_and_final_dots(spark):
+    cases = {"192.168.0.1": ("192.168.0.1", "192.168.0.1"), "10.9.0.1:8080": ("10.9.0.1", "10.9.0.1"), "[::1]:80": ("[::1]", "[::1]"), "example.com.": ("example.com", "com"),
+             "a.b.co.uk.": ("b.co.uk", "co.uk"), "1.2.3": ("2.3", "3"), "...": ("", "")}
+    domain, suffix = U.domain_and_suffix(F.col("h"))
+    df = spark.createDataFrame([(k,) for k in cases], "h string").select("h", domain.alias("d"), suffix.alias("s"))
+    assert {r.h: (r.d, r.s) for r in df.collect()} == cases
+
+
+def test_suffix_rules_as_a_table(spark):
+    rules = spark.createDataFrame([(r,) for r in ("com", "gov.uk", "uk", "github.io", "*.ck", "!www.ck", "GitLab.IO ", "", None, "com")], "rule string")
+    cases = {"a.gov.uk": ("a.gov.uk", "gov.uk"), "x.a.gov.uk": ("a.gov.uk", "gov.uk"), "b.uk": ("b.uk", "uk"), "me.github.io": ("me.github.io", "github.io"),
+             "x.y.z.ck": ("y.z.ck", "z.ck"), "z.ck": ("z.ck", "z.ck"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "q.gitlab.io": ("q.gitlab.io", "gitlab.io"),
+             "un.known.zone": ("known.zone", "zone"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "u@h.com:1": ("h.com", "com"), "com": ("com", "com"), "": ("", "")}
+    hosts = spark.createDataFrame([(k,) for k in cases], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in U.with_suffix_rules(hosts, rules).collect()} == cases
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(cases)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, k % 2) for k in range(8)], "page_id long, bad int")
+    assert U.judge(pages, outcomes, U.RULES, suffix_rules=rules).count() == len(cases)
+
+
+def test_a_bad_host_beneath_a_clean_domain(spark):
+    """With the query's own parameters the method blocks a planted bad host and leaves its clean neighbours alone."""
+    pages, outcomes = [], []
+    for k in range(4000):
+        host = "bad.shop.example" if k % 40 == 0 else f"h{k % 50}.shop.example" if k % 2 else f"w{k % 30}.other.example"
+        pages.append((k, f"http://{host}/p{k}"))
+        outcomes.append((k, int(host.startswith("bad") or k % 33 == 1)))
+    got = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, OUT), U.RULES).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"bad.shop.example"} and all(r.rule is None for r in got)
