@@ -33,3 +33,5 @@ SELECT transaction_id, text_ts, score_numerical, score_nlp, voice_ts, score_voic
 """.replace("__N2__", f"{_W2[0]}e0").replace("__T2__", f"{_W2[1]}e0").replace("__N3__", f"{_W3[0]}e0").replace("__T3__", f"{_W3[1]}e0")
          .replace("__V3__", f"{_W3[2]}e0"))
 register("stream_audit_sink", ORACLES["audit_latest"])
+register("audit_store_latest", ORACLES["audit_latest"])
+register("audit_store_get", f"SELECT * FROM ({ORACLES['audit_latest']}) WHERE request_id = 'req-100'")

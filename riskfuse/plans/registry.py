@@ -190,8 +190,10 @@ def audit_table(spark, sf_dir):
     decision computed in the same plan would instead be rewritten into the fused
     expression). The write also cuts the lineage reliably.
     """
-    from riskfuse.session import work_dir
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from riskfuse.plans.views import VIEW_TABLES
+    from riskfuse.session import read_table, work_dir
+    files = [f for t in VIEW_TABLES["txn_req"] for f in read_table(spark, sf_dir, t).inputFiles()]
+    key = (spark.sparkContext.applicationId, hash(tuple(sorted(files))))
     if key not in _AUDIT_STORES:
         path = work_dir(spark, "audit-table")
         audit_log(spark, sf_dir).write.parquet(path)
@@ -199,8 +201,28 @@ def audit_table(spark, sf_dir):
     return spark.read.parquet(_AUDIT_STORES[key])
 
 
-#: Path of the audit store by application and source folder: written once, read by all lookups.
-_AUDIT_STORES: dict[tuple[str, str], str] = {}
+#: Path of the audit store by application and source files: written once, read by all lookups.
+_AUDIT_STORES: dict[tuple[str, int], str] = {}
+
+
+def audit_store(spark, sf_dir):
+    """The audit log merged into a maintained table in three batches, whose rows are in no order of time."""
+    from riskfuse.operators.audit_store import AuditStore
+    from riskfuse.session import work_dir
+    log, store = audit_table(spark, sf_dir), AuditStore(spark, work_dir(spark, "audit-store"), buckets=16)
+    for k in range(3):
+        store.merge(log.where(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == k), k)
+    return store
+
+
+@query("audit_store_latest")
+def q_audit_store_latest(spark, sf_dir):
+    return AU.flatten_audit(audit_store(spark, sf_dir).latest().select(*AU.AUDIT_FIELDS))
+
+
+@query("audit_store_get")
+def q_audit_store_get(spark, sf_dir):
+    return AU.flatten_audit(audit_store(spark, sf_dir).get("req-100").select(*AU.AUDIT_FIELDS))
 
 
 @query("audit_latest")
