@@ -58,4 +58,4 @@ def test_oracles(spark, name):
 
 def test_one_query_for_each_operator():
     found = entry.queries()
-    assert "pipeline" in found and all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 11))
+    assert "pipeline" in found and all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 14))
