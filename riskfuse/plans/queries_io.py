@@ -99,10 +99,17 @@ def q_sink_jsonl_audit(spark, sf_dir):
     """The audit log as JSON lines, read back."""
     path = work_dir(spark, "audit-jsonl")
     log = audit_log(spark, sf_dir)
-    log.write.json(path)
+    IO.export_jsonl(log, path)
     return spark.read.schema(log.schema).json(path).select("request_id", "transaction_id", "timestamp", "decision", "fraud_score", "confidence")
 
 
+@query("sink_jsonl_count")
+def q_sink_jsonl_count(spark, sf_dir):
+    """The number of records that the export says it wrote."""
+    n = IO.export_jsonl(audit_log(spark, sf_dir).select("request_id", "transaction_id", "timestamp", "decision"), work_dir(spark, "audit-jsonl"))
+    return spark.createDataFrame([(n,)], "records long")
+
+
 @query("sink_jsonl_sample")
 def q_sink_jsonl_sample(spark, sf_dir):
     led = DS.text_paysim(view(spark, sf_dir, "ledger"))

@@ -49,7 +49,8 @@ SELECT CAST(o.o_orderkey AS STRING) AS transaction_id,
             END AS ticket_text,
        CASE WHEN o.o_orderkey % 23 = 0 THEN 'x' ELSE 'en' END AS language,
        CASE WHEN CAST(floor(o.o_orderkey / 4) AS BIGINT) % 3 <> 0
-            THEN concat('call-', CAST(o.o_orderkey AS STRING), '.wav') END AS audio_url,
+            THEN concat(CASE WHEN o.o_orderkey % 43 = 0 THEN 'DeepVoice-' WHEN o.o_orderkey % 47 = 0 THEN 'resyn-'
+                             ELSE 'call-' END, CAST(o.o_orderkey AS STRING), '.wav') END AS audio_url,
        CASE WHEN o.o_orderkey % 3 = 0
             THEN CAST(floor(o.o_orderkey / 3) AS BIGINT) % 2 = 0 END AS avail_nlp,
        CASE WHEN o.o_orderkey % 3 = 0

@@ -99,3 +99,10 @@ def test_prefix_counts_many_buckets(spark):
     assert [r.idx for r in rows] == list(range(len(rows)))
     assert rows[-1].tp == int(y.sum()) and rows[-1].fp == int(len(y) - y.sum())
     assert all(a.score > b.score for a, b in zip(rows, rows[1:]))
+
+
+def test_scores_that_are_no_numbers_take_no_part(spark):
+    rows = [(0.9, 1), (0.8, 0), (0.4, 1), (0.1, 0)]
+    odd = [(None, 1), (float("nan"), 0), (float("nan"), 1)]
+    one, two = (sorted(map(tuple, M.prefix_counts(spark.createDataFrame(r, "score double, label int")).collect()), key=str) for r in (rows, rows + odd))
+    assert one == two and len(one) == 4
