@@ -49,20 +49,22 @@ def country_risky(country: Column, policy: str = "service") -> Column:
 
 def numerical_signals(amount: Column, country: Column, category: Column,
                       velocity: Column | None = None, policy: str = "service",
-                      params: dict | None = None) -> dict[str, Column]:
-    """Signals + score of the numerical stream -> {'score', 'amount_anomaly', ...}."""
+                      params: dict | None = None, risky_category: Column | None = None,
+                      risky_country: Column | None = None) -> dict[str, Column]:
+    """Signals + score of the numerical stream -> {'score', 'amount_anomaly', ...}. The policy's own lists say what is
+    risky, unless ``risky_category`` and ``risky_country`` do."""
+    risky_cat = category_risky(category, policy) if risky_category is None else risky_category
+    risky_ctry = country_risky(country, policy) if risky_country is None else risky_country
     p = {**C.SERVICE_DEFAULT_PARAMS, **(params or {})}
     aa = amount_anomaly(amount, policy)
     if policy == "service":
         vel = velocity if velocity is not None else _d(p["velocity_risk"])
-        pat = F.when(category_risky(category), _d(p["pattern_risky"])).otherwise(_d(p["pattern_normal"]))
-        geo = F.when(country_risky(country), _d(p["geo_risky"])).otherwise(_d(p["geo_normal"]))
+        pat = F.when(risky_cat, _d(p["pattern_risky"])).otherwise(_d(p["pattern_normal"]))
+        geo = F.when(risky_ctry, _d(p["geo_risky"])).otherwise(_d(p["geo_normal"]))
         w = C.SERVICE_NUMERICAL_WEIGHTS
         score = rnd(aa * _d(w[0]) + vel * _d(w[1]) + pat * _d(w[2]) + geo * _d(w[3]), 4)
     else:
         vel = velocity if velocity is not None else _d(C.DASH_VELOCITY)
-        risky_cat = category_risky(category, policy)
-        risky_ctry = country_risky(country, policy)
         pat = F.when(risky_cat, _d(C.DASH_PATTERN[0])).otherwise(_d(C.DASH_PATTERN[1]))
         geo = F.when(risky_ctry, _d(C.DASH_GEO[0])).otherwise(_d(C.DASH_GEO[1]))
         compound = F.when(risky_cat & risky_ctry, _d(C.DASH_COMPOUND)).otherwise(_d(0.0))

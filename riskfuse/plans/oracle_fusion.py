@@ -157,6 +157,25 @@ FROM dn2
 """)
 
 
+register("lookup_versioned", f"""
+WITH {REQ_CTE},
+r AS (SELECT *, lower(coalesce(merchant_category, '')) AS cat, upper(coalesce(country, 'US')) AS ctry FROM req),
+k AS (SELECT *,
+    coalesce(CASE WHEN cat = 'forex' THEN ts >= TIMESTAMP '1997-01-01' WHEN cat = 'crypto' THEN ts < TIMESTAMP '1999-01-01' OR ts >= TIMESTAMP '2000-01-01'
+         ELSE ts IS NOT NULL AND cat IN {_in(C.SERVICE_RISK_CATEGORIES)} END, false) AS category_risky,
+    coalesce(CASE WHEN ctry = 'KE' THEN ts >= TIMESTAMP '1998-06-01' WHEN ctry = 'NG' THEN ts < TIMESTAMP '1998-06-01'
+         ELSE ts IS NOT NULL AND ctry IN {_in(C.SERVICE_RISK_COUNTRIES)} END, false) AS country_risky FROM r),
+s AS (SELECT *,
+    CASE WHEN amount > 5000 THEN least(0.95e0, 0.5e0 + (amount - 5000e0) / 20000e0) WHEN amount < 10 THEN 0.6e0
+         ELSE greatest(0.1e0, least(0.4e0, amount / 10000e0)) END AS aa,
+    CASE WHEN category_risky THEN {_SVC['pattern_risky']}e0 ELSE {_SVC['pattern_normal']}e0 END AS pat,
+    CASE WHEN country_risky THEN {_SVC['geo_risky']}e0 ELSE {_SVC['geo_normal']}e0 END AS geo FROM k)
+SELECT transaction_id, round(aa * {C.SERVICE_NUMERICAL_WEIGHTS[0]}e0 + {_SVC['velocity_risk']}e0 * {C.SERVICE_NUMERICAL_WEIGHTS[1]}e0
+         + pat * {C.SERVICE_NUMERICAL_WEIGHTS[2]}e0 + geo * {C.SERVICE_NUMERICAL_WEIGHTS[3]}e0, 4) AS score_numerical,
+       round(pat, 4) AS pattern_deviation, round(geo, 4) AS geo_risk, category_risky, country_risky FROM s
+""")
+
+
 def _locale_amount(x: str) -> str:
     """JS toLocaleString (en-US) of a 2-decimal amount: grouping, no trailing zeros."""
     cents = f"CAST(round({x} * 100e0) AS BIGINT)"

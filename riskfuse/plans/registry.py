@@ -129,6 +129,22 @@ def q_numerical_score(spark, sf_dir):
                     *[d[k].alias(f"dash_{k}") for k in ("score", "amount_anomaly", "velocity_risk", "pattern_deviation", "geo_risk")])
 
 
+#: Changes of the risk lists for the query: (list, value, risky, from).
+LIST_CHANGES = [("country", "NG", False, "1998-06-01"), ("country", "KE", True, "1998-06-01"), ("category", "forex", True, "1997-01-01"),
+                ("category", "crypto", False, "1999-01-01"), ("category", "crypto", True, "2000-01-01")]
+
+
+@query("lookup_versioned")
+def q_lookup_versioned(spark, sf_dir):
+    """Numerical scores under risk lists that change over time: the policy's own lists, then LIST_CHANGES."""
+    from riskfuse.operators import lookup as LK
+    first = [("country", v, True, "1970-01-01") for v in C.SERVICE_RISK_COUNTRIES] + [("category", v, True, "1970-01-01") for v in C.SERVICE_RISK_CATEGORIES]
+    lists = spark.createDataFrame(first + LIST_CHANGES, "list string, value string, risky boolean, at string")
+    lists = lists.withColumn("valid_from", F.col("at").cast("timestamp_ntz"))
+    req = view(spark, sf_dir, "txn_req").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return LK.attach_numerical(req, lists).select("transaction_id", "score_numerical", "pattern_deviation", "geo_risk", "category_risky", "country_risky")
+
+
 @query("numerical_flags")
 def q_numerical_flags(spark, sf_dir):
     t = view(spark, sf_dir, "txn_req")
