@@ -85,6 +85,32 @@ def typosquat_distance(df: DataFrame, text_col: str = "merchant_text", id_col: s
             .select(id_col, "pos", "token", "h.brand", "h.distance"))
 
 
+def shortened(word: F.Column) -> F.Column:
+    """Hashes of a word and of the word with one character left out, each place in turn. Two words are within edit
+    distance 1 only if they share one."""
+    cut = F.transform(F.sequence(F.lit(1), F.char_length(word)),
+                      lambda i: F.xxhash64(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word)))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(word)), cut))
+
+
+def typosquat_brands(df: DataFrame, brands: DataFrame, text_col: str = "merchant_text", id_col: str = "transaction_id",
+                     brand_col: str = "brand") -> DataFrame:
+    """``typosquat_distance`` for a table of brands of any size: an index of deletion neighbourhoods, joined by key, then
+    the exact distance. Each distinct token meets only brands that share a shortened form with it.
+
+    Brands are compared in lower case; null and empty ones are left out. Tokens longer than the longest brand by two
+    or more can't be near and are not indexed, so a token's keys are bounded by the brands' lengths."""
+    toks = df.select(id_col, F.posexplode(T.merchant_tokens(F.col(text_col))).alias("pos", "token"))
+    names = brands.select(F.lower(F.col(brand_col)).alias("brand")).where("brand <> ''").distinct()
+    longest = names.agg(F.max(F.char_length("brand"))).first()[0] or -1
+    words = toks.select("token").distinct().withColumn("folded", T.fold_digits(F.col("token"))).where(F.char_length("folded") <= longest + 1)
+    index = names.select("brand", F.explode(shortened(F.col("brand"))).alias("key"))
+    asked = words.select("token", "folded", F.explode(shortened(F.col("folded"))).alias("key"))
+    pairs = asked.join(index, "key").where(F.col("token") != F.col("brand")).select("token", "folded", "brand").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("folded", "brand", 1)).where("distance >= 0").select("token", "brand", "distance")
+    return toks.join(near, "token").select(id_col, "pos", "token", "brand", "distance")
+
+
 def match_spans(df: DataFrame, text_col: str = "merchant_text", other_col: str = "narrative_text",
                 id_col: str = "transaction_id") -> DataFrame:
     """Ordered pieces of the merchant text tagged typo / risk / plain (highlighter feed)."""

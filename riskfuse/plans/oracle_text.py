@@ -145,6 +145,18 @@ SELECT transaction_id, pos, token, brand, CAST(levenshtein(translate(token, '01'
 FROM t, b
 WHERE levenshtein(translate(token, '01', 'ol'), brand) <= 1 AND token <> brand""")
 
+register("typosquat_brands", f"""
+WITH {REQ_CTE},
+tk AS (SELECT transaction_id,
+         list_filter(regexp_split_to_array(lower(coalesce(merchant_text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks
+       FROM req),
+t AS (SELECT transaction_id, CAST(unnest(range(len(toks))) AS INTEGER) AS pos, unnest(toks) AS token FROM tk),
+w AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+')) AS brand FROM conversations),
+b AS (SELECT DISTINCT brand FROM w WHERE length(brand) >= 4 UNION VALUES {_BRANDS}),
+n AS (SELECT token, brand, CAST(levenshtein(translate(token, '01', 'ol'), brand) AS INTEGER) AS distance
+      FROM (SELECT DISTINCT token FROM t), b WHERE token <> brand)
+SELECT transaction_id, pos, token, brand, distance FROM t JOIN n USING (token) WHERE distance <= 1""")
+
 _TYPO_LIST = "list_filter([" + ", ".join(
     f"CASE WHEN coalesce(regexp_matches(merchant_text, '(?i){p}'), false) "
     f"THEN regexp_extract(merchant_text, '(?i)({p})', 1) END" for p in C.DASH_TYPO_PATTERNS) + "], lambda x: x IS NOT NULL)"

@@ -105,6 +105,15 @@ def q_typosquat_distance(spark, sf_dir):
     return TO.typosquat_distance(view(spark, sf_dir, "txn_req"))
 
 
+@query("typosquat_brands")
+def q_typosquat_brands(spark, sf_dir):
+    """Merchant tokens against a table of names: the watched brands and every word of four letters or more of the
+    conversations."""
+    words = read_table(spark, sf_dir, "conversations").select(F.explode(T.merchant_tokens(F.col("text"))).alias("brand")).where("char_length(brand) >= 4")
+    brands = words.union(spark.createDataFrame([(b,) for b in C.WATCHED_BRANDS], "brand string"))
+    return TO.typosquat_brands(view(spark, sf_dir, "txn_req"), brands)
+
+
 @query("match_spans")
 def q_match_spans(spark, sf_dir):
     return TO.match_spans(view(spark, sf_dir, "txn_req"))

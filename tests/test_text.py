@@ -77,3 +77,29 @@ def test_heuristic(spark):
 
 def test_caps_words_unicode_boundaries(spark):
     assert one(spark, T.caps_words, "ABCD ÉCOLE ABCDé xABCD ABC WXYZ") == 2
+
+
+def test_brand_table_against_brute_force(spark):
+    """The deletion index finds every pair within one edit, and no other."""
+    import random
+    from riskfuse.operators import text_ops as TO
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abl0o1é") for _ in range(rng.randint(1, 6)))
+    brands = sorted({word() for _ in range(120)} | {"aa", "a"})
+    texts = [(str(k), " ".join(word() for _ in range(rng.randint(0, 5)))) for k in range(150)] + [("n", None), ("long", "a" * 500), ("t", "aa aa")]
+    df = spark.createDataFrame(texts, "transaction_id string, merchant_text string")
+    table = spark.createDataFrame([(b.upper() if k % 3 else b,) for k, b in enumerate(brands)] + [(None,), ("",), (brands[0],)], "brand string")
+    got = sorted((r.transaction_id, r.pos, r.token, r.brand, r.distance) for r in TO.typosquat_brands(df, table).collect())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = sorted((i, p, t, b, distance(t.replace("0", "o").replace("1", "l"), b)) for i, text in texts for p, t in enumerate((text or "").split())
+                  for b in brands if t != b and distance(t.replace("0", "o").replace("1", "l"), b) <= 1)
+    assert got == want and len(got) > 100
+    assert TO.typosquat_brands(df, table.limit(0)).count() == 0
