@@ -18,17 +18,25 @@ def payload(df: DataFrame) -> dict:
 
 
 def canonicalize(df: DataFrame, combine: bool = True, **clean_kw) -> DataFrame:
-    """Raw text request -> canonical record (transaction_id, text, text_source, language)."""
-    src, txt = T.canonical(payload(df), combine=combine, **clean_kw)
+    """Raw text request -> canonical record (transaction_id, text, text_source, language).
+
+    The chosen and the cleaned text are columns of their own, so each is made once however often it is used."""
+    src, txt = T.combine_texts(payload(df)) if combine else T.choose_source(payload(df))
     lang = F.coalesce(F.col("language"), F.lit("en")) if "language" in df.columns else F.lit("en")
-    return df.select("transaction_id", txt.alias("text"), src.alias("text_source"), lang.alias("language"))
+    chosen = df.select("transaction_id", src.alias("_source"), txt.alias("_raw"), lang.alias("language"))
+    cleaned = chosen.withColumn("_clean", T.clean_text(F.col("_raw"), **clean_kw))
+    src, txt = T.or_no_text(F.col("_source"), F.col("_clean"))
+    return cleaned.select("transaction_id", txt.alias("text"), src.alias("text_source"), "language")
 
 
 def with_heuristic(df: DataFrame, text_col: str = "text", out: str = "heuristic_risk") -> DataFrame:
     """Keyword heuristic with each pass materialised as its own column (stripped text,
     lower-case text, cue hits, '!' count, CAPS words), so no regex or scan over a long
     text runs twice."""
-    staged = df.withColumn("_h_t", T.strip_ws(F.coalesce(F.col(text_col), F.lit(""))))
+    staged = df.withColumn("_h_raw", F.coalesce(F.col(text_col), F.lit("")))
+    raw = F.col("_h_raw")
+    edges = F.concat(F.left(raw, F.lit(1)), F.right(raw, F.lit(1)))  # most texts have no whitespace there
+    staged = staged.withColumn("_h_t", F.when(F.rlike(edges, F.lit(T.WS)), T.strip_ws(raw)).otherwise(raw))
     staged = staged.withColumn("_h_low", F.lower(F.col("_h_t")))
     staged = staged.withColumns({
         "cue_hits": T.cue_hits(F.col("_h_low")),
@@ -39,7 +47,7 @@ def with_heuristic(df: DataFrame, text_col: str = "text", out: str = "heuristic_
              + F.lit(0.03) * F.least(F.col("exclamations"), F.lit(5)).cast("double")
              + F.lit(0.02) * F.least(F.col("caps_words"), F.lit(5)).cast("double"))
     return staged.withColumn(out, F.when(F.col("_h_t") == "", F.lit(0.5)).otherwise(clip(score, 0.0, 1.0))) \
-        .drop("_h_t", "_h_low")
+        .drop("_h_raw", "_h_t", "_h_low")
 
 
 def nlp_output(canon: DataFrame, model_score: str | None = None, model_version: str | None = None,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskfuse.functions import text as T
+from riskfuse.operators import text_ops as TO
 
 
 def one(spark, col_fn, value):
@@ -103,3 +104,25 @@ def test_brand_table_against_brute_force(spark):
                   for b in brands if t != b and distance(t.replace("0", "o").replace("1", "l"), b) <= 1)
     assert got == want and len(got) > 100
     assert TO.typosquat_brands(df, table.limit(0)).count() == 0
+
+
+def test_canonicalize_cleans_a_text_once(spark):
+    df = spark.createDataFrame([("1", "a  b\t\r\nc 416-555-0100", "en"), ("2", "  \n", None), ("3", None, "fr")],
+                               "transaction_id string, narrative_text string, language string")
+    out = TO.canonicalize(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[PHONE]") == plan.count("[EMAIL]") == plan.count("[CARD]") == 1
+    assert "\\A[" not in plan  # blank texts are told by their first other character, not stripped
+    got = {r.transaction_id: (r.text, r.text_source, r.language) for r in out.collect()}
+    assert got == {"1": ("a b c [PHONE]", "narrative", "en"), "2": ("[NO_TEXT]", "combined", "en"), "3": ("[NO_TEXT]", "combined", "fr")}
+
+
+def test_status_and_heuristic_strip_no_whole_text(spark):
+    texts = ["12345678", " 1234567 ", " 1234567\n", "1      8", "", " \t", "URGENT!! WIREX", "  URGENT!! WIRE "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = TO.with_heuristic(df).withColumn("status", T.text_status(F.col("text"), F.lit("m")))
+    assert "length(regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.id: r for r in out.collect()}
+    assert [rows[k].status for k in range(8)] == ["ok", "degraded", "degraded", "ok", "degraded", "degraded", "ok", "ok"]
+    assert [rows[k].caps_words for k in (6, 7)] == [2, 2]
+    assert rows[4].heuristic_risk == rows[5].heuristic_risk == 0.5
