@@ -34,9 +34,7 @@ def with_heuristic(df: DataFrame, text_col: str = "text", out: str = "heuristic_
     lower-case text, cue hits, '!' count, CAPS words), so no regex or scan over a long
     text runs twice."""
     staged = df.withColumn("_h_raw", F.coalesce(F.col(text_col), F.lit("")))
-    raw = F.col("_h_raw")
-    edges = F.concat(F.left(raw, F.lit(1)), F.right(raw, F.lit(1)))  # most texts have no whitespace there
-    staged = staged.withColumn("_h_t", F.when(F.rlike(edges, F.lit(T.WS)), T.strip_ws(raw)).otherwise(raw))
+    staged = staged.withColumn("_h_t", T.strip_edges(F.col("_h_raw")))
     staged = staged.withColumn("_h_low", F.lower(F.col("_h_t")))
     staged = staged.withColumns({
         "cue_hits": T.cue_hits(F.col("_h_low")),

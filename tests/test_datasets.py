@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskfuse.operators import datasets as DS
+from riskfuse.operators import validate as V
 
 
 def test_split_20_rows_alternating(spark):
@@ -101,3 +102,24 @@ def test_no_rows_are_shuffled(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "transaction_id string, label int, x int")
     assert DS.stratified_sample(df, 10).count() == 0 and DS.stratified_split(df).count() == 0
+
+
+def test_cleaning_makes_a_text_once_and_ledger_numbers_share_one_expression(spark):
+    row = [("1", "PAYMENT", 12345678.5, 1e-5, 0.5, 1e16, float("nan"), 1), ("2", "DEBIT", 1.0, None, 2.0, 3.0, 4.0, 0), ("3", "DEBIT", 2e7, 2e-4, -1e7, -1.5e20, 100.0, 0)]
+    df = spark.createDataFrame(row, "ledger_id string, type string, amount double, oldbalanceOrg double, newbalanceOrig double, "
+                                    "oldbalanceDest double, newbalanceDest double, isFraud int")
+    made = DS.to_interim(DS.text_paysim(df), "ledger_id", "transaction_text", "isFraud", "amount", "type", "paysim")
+    out = V.clean_dataset(made)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Transaction type: ") == 1 and plan.count("as decimal(38,20)") == 1
+    got = {r.transaction_id: r.text for r in out.collect()}
+    assert got == {"1": "Transaction type: PAYMENT. Amount: 12345678.5. Origin balance before: 1e-05. Origin balance after: 0.5. "
+                        "Destination balance before: 1e+16. Destination balance after: NaN.",
+                   "3": "Transaction type: DEBIT. Amount: 20000000.0. Origin balance before: 0.0002. Origin balance after: -10000000.0. "
+                        "Destination balance before: -1.5e+20. Destination balance after: 100.0."}
+
+
+def test_clean_dataset_strips_and_drops(spark):
+    df = spark.createDataFrame([("1", " a b\n", 1), ("2", "\t ", 0), ("3", None, 1), ("4", "x", None), ("5", "y", 0)], "transaction_id string, text string, label long")
+    got = sorted((r.transaction_id, r.text, r.label) for r in V.clean_dataset(df).collect())
+    assert got == [("1", "a b", 1), ("5", "y", 0)]
