@@ -45,3 +45,18 @@ def test_export_jsonl_counts_written_lines(spark):
 def test_accent_table_is_rule_built():
     assert len(ML.ACCENT_SRC) == len(ML.ACCENT_DST) > 200
     assert ML.ACCENT_DST[ML.ACCENT_SRC.index("é")] == "e"
+
+
+def test_generated_methods_stay_short_enough_to_be_compiled(spark):
+    from riskfuse.session import compiled_methods
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        compiled_methods(spark)
+        assert int(spark.conf.get(name)) <= 8000
+        spark.conf.set(name, "1234")
+        compiled_methods(spark)
+        assert spark.conf.get(name) == "1234"
+    finally:
+        spark.conf.set(name, before)
