@@ -85,6 +85,25 @@ def test_ring_of_days():
     assert not ring.ring.exists()
 
 
+def test_customers_share_the_stream_state(spark, monkeypatch):
+    """The worker is called by group, not by customer; totals are still each customer's own."""
+    from riskfuse.operators import fusion as FO
+    from riskfuse.streaming import velocity as VE
+    monkeypatch.setattr(VE, "GROUPS", 3, raising=False)
+    rows = [(f"t{k}", k % 40, f"2024-01-{1 + k // 10:02d} 08:00:00") for k in range(200)] + [("end", -1, "2024-06-01 00:00:00")]
+    req = spark.createDataFrame(rows, "transaction_id string, cust_id long, t string").selectExpr("transaction_id", "cust_id", "cast(t as timestamp_ntz) ts")
+    src, sink, ck = (ST.work_dir(spark, n) for n in ("requests", "sink", "ck"))
+    ST.stage_files_ordered(req, src, "ts", files=3)
+    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    with VE.keyed_state(spark):
+        q = ST.run_available_now(VE.with_velocity_stream(stream, days=6), sink, ck)
+    calls = [o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert 0 < max(calls) <= 3
+    got = spark.read.parquet(sink).where("transaction_id <> 'end'")
+    want = FO.with_velocity(req.where("transaction_id <> 'end'"), days=6).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 200
+
+
 def test_late_rows_and_windows_add_up(spark):
     """What the watermarked windows count and what is written aside as late is the whole table, batch by batch."""
     from riskfuse.plans import queries_stream as QS
