@@ -12,6 +12,7 @@
 """
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,14 +24,18 @@ from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normal
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskfuse import config as C
 from riskfuse.functions.numeric import clip
 from riskfuse.operators import linear
 from riskfuse.operators.text_ops import with_heuristic
+from riskfuse.session import hashed_joins, materialize
 
+#: Tokens that a task counts at once; a longer text is still counted whole.
+SLICE = 500_000
 
 #: Letters with marks: Latin, Greek and Cyrillic blocks that hold precomposed letters (fixed values).
 ACCENT_BLOCKS = ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000))
@@ -73,10 +78,67 @@ def ngrams(toks: Column, n_max: int = 2) -> Column:
     return runs
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 2) -> DataFrame:
-    """(doc, term, tf) for every n-gram up to ``n_max`` of every document (partial aggregation per task)."""
-    return (docs.select(F.col(id_col).alias("doc"), F.explode(ngrams(tokens(F.col(text_col)), n_max)).alias("term"))
-            .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+def counted(docs: DataFrame, toks: Column, keep: list[str], n_max: int = 2) -> DataFrame:
+    """``keep``, term and tf for every n-gram up to ``n_max`` of every row's tokens, an array of texts.
+
+    Rows are counted where they lie, nothing is shuffled: tokens are numbered, an n-gram is a pair of numbers (of the
+    n-gram before it and of its last token), and equal pairs of a row are counted by sorting."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def slices(batch):
+            """Stretches of the batch with up to ``SLICE`` tokens, one row at least."""
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_toks")), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+                yield batch.slice(first, last - first)
+                first = last
+
+        for part in (p for batch in batches for p in slices(batch)):
+            words = pc.list_flatten(part.column("_toks")).dictionary_encode()
+            row = pc.list_parent_indices(part.column("_toks")).to_numpy(zero_copy_only=False)
+            token, texts = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+            gram, names = token, texts
+            for n in range(1, n_max + 1):
+                if n > 1:  # the n-gram at a place: the shorter one there, and the token after it, if of the same row
+                    inside = row[:len(gram)][:len(token) - n + 1] == row[n - 1:]
+                    pairs = np.where(inside, gram[:len(token) - n + 1] * len(texts) + token[n - 1:], -1)
+                    distinct, gram = np.unique(pairs, return_inverse=True)
+                    head, tail = np.divmod(np.maximum(distinct, 0), max(1, len(texts)))
+                    names = pc.binary_join_element_wise(names.take(pa.array(head)), texts.take(pa.array(tail)), " ")
+                    held = np.flatnonzero(inside)
+                else:
+                    held = np.arange(len(gram))
+                if not len(held):
+                    break
+                found, tf = np.unique(row[held] * len(names) + gram[held], return_counts=True)
+                at, term = np.divmod(found, len(names))
+                own = part.select(keep)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in own.columns), names.take(pa.array(term)), pa.array(tf, pa.int64())],
+                                                 names=[*keep, "term", "tf"])
+
+    made = T.StructType([*(docs.schema[c] for c in keep), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return docs.select(*keep, toks.alias("_toks")).mapInArrow(run, made)
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, term, tf) for every n-gram up to ``n_max`` of every document, once for each of its rows if their columns ``keep``
+    are wanted too (then without null ids). Only the counts of ids that several rows share are shuffled, to be added up."""
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), *keep)
+    toks = tokens(F.col("_text"))
+    shared = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc is null").select(F.col("doc").alias("_shared"))
+    shared = materialize(shared, "shared-ids")
+    if shared.isEmpty():
+        return counted(docs, toks, ["doc", *keep], n_max)
+    same = F.col("doc").eqNullSafe(F.col("_shared"))
+    once = counted(docs.join(shared, same, "left_anti"), toks, ["doc", *keep], n_max)
+    again = (counted(docs.join(shared, same, "left_semi"), toks, ["doc"], n_max)
+             .groupBy("doc", "term").agg(F.sum("tf").alias("tf")))
+    return once.unionByName(again.join(docs.select("doc", *keep), "doc") if keep else again)
 
 
 def fit_vocabulary(train_tc: DataFrame, n_docs: int, max_features: int | None = None, min_df: int | float = 1,
@@ -98,14 +160,16 @@ def fit_vocabulary(train_tc: DataFrame, n_docs: int, max_features: int | None =
 def tfidf_long(tc: DataFrame, vocab: DataFrame, digits: int = 10, sublinear_tf: bool = False) -> DataFrame:
     """(doc, term, weight) = tf * idf, L2-normalised per document; ``sublinear_tf`` takes 1 + ln(tf).
 
-    The vocabulary joins by term (Spark broadcasts it if it is small enough); the norm is a
-    grouped sum per document joined back on the document id.
+    The vocabulary joins by term (Spark broadcasts it if it is small enough); the norm is a sum over
+    the rows of the document, which are dealt out by its id once.
     """
     tf = F.col("tf").cast("double")
     tf = F.lit(1.0) + F.log(tf) if sublinear_tf else tf
-    w = tc.join(vocab.select("term", "idf"), "term").select("doc", "term", (tf * F.col("idf")).alias("w"))
-    norms = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, "doc").select("doc", "term", F.round(F.col("w") / F.col("norm"), digits).alias("weight"))
+    hashed_joins(tc.sparkSession)
+    known = tc.where(F.col("doc").isNotNull()).join(vocab.select("term", "idf"), "term")
+    w = known.select("doc", "term", (tf * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return w.select("doc", "term", F.round(F.col("w") / norm, digits).alias("weight"))
 
 
 # ------------------------------------------------------------------ MLlib path

@@ -30,8 +30,7 @@ def q_tfidf(spark, sf_dir):
     """Vocabulary + idf fitted on the train split only; every labelled document transformed. Term
     counts are written once, with the document's split."""
     df = split_labelled(spark, sf_dir)
-    tc = ML.term_counts(df, "transaction_id", "text")
-    tc = materialize(tc.join(df.select(F.col("transaction_id").alias("doc"), "split"), "doc"), "terms")
+    tc = materialize(ML.term_counts(df, "transaction_id", "text", keep=("split",)), "terms")
     train = tc.filter(F.col("split") == "train")
     n_train = df.filter(F.col("split") == "train").count()
     return ML.tfidf_long(tc, ML.fit_vocabulary(train, n_train))
