@@ -11,6 +11,7 @@
                        task); rows it cannot score fall back to the keyword heuristic per row.
 """
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ import pandas as pd
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normalizer, NGram, RegexTokenizer,
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, NGram, RegexTokenizer,
                                 SQLTransformer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -191,12 +192,25 @@ def tfidf_pipeline(text_col: str = "text", max_features: int | None = None, min_
 
 
 def fit_features(train: DataFrame, text_col: str = "text", **kw) -> PipelineModel:
-    """Fit TF-IDF on the training rows only; add 1 to MLlib's idf and L2-normalise."""
-    model = Pipeline(stages=tfidf_pipeline(text_col, **kw)).fit(train)
-    idf = model.stages[-1].idf.toArray() + 1.0   # bounded by the vocabulary size
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
+    """Fit TF-IDF on the training rows only; MLlib's idf plus 1, L2-normalised.
+
+    Document frequencies come with the corpus frequencies from one count of the n-grams, in place of a pass for each.
+    As MLlib reads them, ``min_df`` and ``max_df`` below 1 are shares of the rows and else numbers of rows. Of terms with
+    the same corpus frequency the first by term order stay."""
+    fold, split, pairs, both, counter, idf = tfidf_pipeline(text_col, **kw)
+    n_rows = train.count()
+    low, high = (b if b >= 1 else b * n_rows for b in (counter.getMinDF(), counter.getMaxDF()))
+    tc = counted(PipelineModel([fold, split]).transform(train), F.col("_tok"), [], pairs.getN())
+    stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    kept = stats.filter((F.col("df") >= F.lit(float(low))) & (F.col("df") <= F.lit(float(high))))
+    top = kept.orderBy(F.col("ctf").desc(), "term").limit(counter.getVocabSize()).select("term", "df").collect()  # the vocabulary
+    if not top:
+        raise ValueError("no term is within min_df and max_df")
+    counts = CountVectorizerModel.from_vocabulary([r.term for r in top], counter.getInputCol(), counter.getOutputCol())
+    weights = Vectors.dense([math.log((n_rows + 1.0) / (r.df + 1.0)) + 1.0 for r in top])
+    scale = ElementwiseProduct(scalingVec=weights, inputCol=idf.getInputCol(), outputCol="_tfidf")
     norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")
-    return PipelineModel(stages=model.stages[:-1] + [scale, norm])
+    return PipelineModel(stages=[fold, split, pairs, both, counts, scale, norm])
 
 
 def balanced_weights(df: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:

@@ -64,3 +64,27 @@ def test_the_user_keeps_a_join_limit(spark):
         assert spark.conf.get(name) == spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     finally:
         spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("kw", [{}, {"max_df": 0.9}, {"min_df": 2.0, "max_df": 9.0}, {"max_df": 1000.0, "max_features": 3}])
+def test_vocabulary_and_frequencies_from_one_count(spark, monkeypatch, kw):
+    texts = ["The cat eat the mouse", "the cat the cat", "dog dog dog runs", None, "Dog eats cat"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for stage in ("CountVectorizer", "IDF"):  # each would go through all texts once more
+        monkeypatch.setattr(getattr(ML, stage), "fit", lambda *a, **k: pytest.fail("texts are counted again"))
+    model = ML.fit_features(docs, **kw)
+    counts = [grams(t, 2) for t in texts]
+    df, ctf = Counter(t for c in counts for t in c), sum(counts, Counter())
+    low, high = (b if b >= 1 else b * len(texts) for b in (kw.get("min_df", 1.0), kw.get("max_df", 1.0)))
+    want = sorted((t for t in df if low <= df[t] <= high), key=lambda t: (-ctf[t], t))[:kw.get("max_features")]
+    assert model.stages[4].vocabulary == want
+    for r in model.transform(docs).select("text", "features").collect():
+        w = {t: n * (math.log(6 / (1 + df[t])) + 1) for t, n in grams(r.text, 2).items() if t in want}
+        norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        got = {want[i]: v for i, v in zip(r.features.indices, r.features.values)}
+        assert got == pytest.approx({t: v / norm for t, v in w.items()}, abs=1e-12)
+
+
+def test_no_term_within_the_bounds(spark):
+    with pytest.raises(ValueError):
+        ML.fit_features(spark.createDataFrame([("ab",)], "text string"), min_df=2.0, max_df=3.0)
