@@ -70,7 +70,9 @@ def remove(docs: DataFrame, min_sites: int = 10, site_col: str = "source", long_
     row with an id holds.
     """
     found = shared.written(occurrences(docs, site_col, long_sites is not None), "lines")
-    gone = found.join(boilerplate(found, min_sites, long_sites), "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
+    # written, so that Spark compares sizes of tables: of a join's rows it takes too many, and would broadcast the lines
+    hot = shared.written(boilerplate(found, min_sites, long_sites), "boilerplate")
+    gone = found.join(hot, "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__removed")).withColumnRenamed("doc_id", "__id")
     both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = lines_of(F.col("text"))

@@ -147,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             rest = [batch.column(c) for c in range(2, 5)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], names=["rep", "n", "sketch", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "doc")
     return rows.select("text", "digest", "rep", "n", "sketch").mapInArrow(run, "rep long, n long, sketch array<long>, shingles binary")
 
 
@@ -211,11 +211,13 @@ def links_of(members: DataFrame, similarity: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, comp): the least id that each linked id reaches over ``links`` (a, b). Every step takes the least
-    label of the neighbours, then the label of the label, until nothing changes."""
+    """(rep, comp): the least id that each linked id reaches over ``links`` (a, b), ``sized`` for a join. Every step takes the
+    least label of the neighbours, then the label of the label, until nothing changes."""
     both = shared.written(links.union(links.select("b", "a")).distinct(), "links")
     label = both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("comp"))
     label = shared.written(label.select("rep", F.least("rep", "comp").alias("comp")), "labels")
+    n = label.count()
+    label = shared.sized(label, n)
     while True:
         near = both.join(label, both.b == label.rep).groupBy("a").agg(F.min("comp").alias("near"))
         step = label.join(near, label.rep == near.a).select("rep", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
@@ -223,24 +225,27 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(up, step.comp == up.up).select("rep", F.least("comp", "above").alias("comp"), "was")
         step = shared.written(step, "labels")
         if not step.where("comp <> was").limit(1).count():
-            return step.select("rep", "comp")
-        label = step.select("rep", "comp")
+            return shared.sized(step.select("rep", "comp"), n)
+        label = shared.sized(step.select("rep", "comp"), n)
 
 
 def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (the text's md5), n_shingles, component_id, and node, which rows of one
     component share and no others (null for texts without words and for null ids of no class).
 
-    Equal shingle sets are one class; links join classes, so an id that repeats with other texts joins nothing."""
+    Equal shingle sets are one class; links join classes, so an id that repeats with other texts joins nothing.
+
+    Joins with exploded rows are merged by a hint: Spark takes an explode's rows for as many as it began with, and would
+    broadcast 32 rows of every class where it counts on one."""
     own = shared.written(sketched(docs, k), "sketches")
     classes = own.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = shared.written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     in_band = classes.select("rep", F.posexplode("sketch").alias("band", "key"))
     count = in_band.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = shared.written(in_band.join(count, ["band", "key"]), "buckets")
+    buckets = shared.written(in_band.hint("merge").join(count, ["band", "key"]), "buckets")
     wanted = buckets.select("rep").distinct()
-    sets = shared.written(full_sets(docs, classes.join(wanted, "rep").select("doc", "digest", "rep", "n", "sketch"), k), "sets", **{"parquet.enable.dictionary": "false"})
+    sets = shared.written(full_sets(docs, classes.join(wanted.hint("merge"), "rep").select("doc", "digest", "rep", "n", "sketch"), k), "sets", **{"parquet.enable.dictionary": "false"})
 
     links, comp = [], None
     for first, upto in PASSES:
@@ -255,7 +260,7 @@ def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
         rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
-        links.append(shared.written(links_of(rows.join(sets, "rep"), similarity), "found-links"))
+        links.append(shared.written(links_of(rows.hint("merge").join(sets, "rep"), similarity), "found-links"))
         comp = components(reduce(DataFrame.union, links))
 
     low = classes.join(comp, "rep").groupBy("comp").agg(F.min("doc").alias("low"))
