@@ -146,3 +146,35 @@ def test_text_scores_without_a_time_pass_at_once(spark):
     ST.run_available_now(ST.refuse_join(*streams), *paths[2:])
     got = {r.transaction_id: r.score_voice for r in spark.read.parquet(paths[2]).collect()}
     assert got == {"a": None, "b": 0.2}
+
+
+def test_a_batch_commits_few_and_small_states(spark, monkeypatch):
+    """One store for each partition of the join, no more partitions than the cores can use, and commits of what changed;
+    the session's own settings come back."""
+    import os
+
+    from riskfuse.operators import fusion as FO
+    from riskfuse.streaming import velocity as VE
+    monkeypatch.setattr(VE, "STATE_TASKS", 1, raising=False)
+    req = awkward_requests(spark)
+    src, sink, ck = (ST.work_dir(spark, n) for n in ("requests", "sink", "ck"))
+    ST.stage_files_ordered(req, src, "ts", files=3)
+    ST.stage_files(spark.sql("select 'end' transaction_id, -1L cust_id, timestamp_ntz'2024-09-01 00:00:00' ts"), src)
+    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    name = "spark.sql.shuffle.partitions"
+    before, cores = spark.conf.get(name), spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(cores + 3))
+    try:
+        with VE.keyed_state(spark):
+            q = ST.run_available_now(VE.with_velocity_stream(stream, days=5), sink, ck)
+        assert spark.conf.get(name) == str(cores + 3) and spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "2"
+    finally:
+        spark.conf.set(name, before)
+    state = [o for p in q.recentProgress for o in p["stateOperators"]]
+    assert len(state) >= 9 and {o["numShufflePartitions"] for o in state} == {cores}
+    assert {o["numStateStoreInstances"] for o in state if o["operatorName"] == "symmetricHashJoin"} == {cores}
+    kinds = {os.path.splitext(n)[1] for _, _, names in os.walk(ck.removeprefix("file:") + "/state") for n in names}
+    assert ".changelog" in kinds
+    got = spark.read.parquet(sink).where("transaction_id <> 'end'")
+    want = FO.with_velocity(req, days=5).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == req.count()
